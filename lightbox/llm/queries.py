@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, sharding, urlfilter
+from . import bpe, editprint, fertility, mixing, pii, sharding, tokencount, urlfilter
+from .common import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,17 +31,37 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(u,) for u in urlfilter.listed_urls()], "key string")
     return urlfilter.judge(_table(spark, sf_dir, "pages"), listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"  # a cache of this run's own: it shows the work of a first run
+    counted = tokencount.count_tokens(_table(spark, sf_dir, "documents"), cache, public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = fertility.judge(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "entropy")
+
+
+def op10_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.with_neighbours(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_pii, op4_url_filter, op6_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_bpe, op4_url_filter, op5_token_counts, op6_mixing, op9_fertility, op10_edit_prints)}
 
 
 def oracle_sql() -> dict[str, str]:

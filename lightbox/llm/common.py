@@ -1,37 +1,19 @@
-"""Shared helpers: written intermediate tables, let-bindings for columns, running sums."""
+"""Shared helpers: let-bindings for columns, running sums."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.materialize import shared_dir, written
+
+__all__ = ["SPACE", "WORD", "let", "shared_dir", "sums_before", "written"]
+
 #: ASCII white space as the contracts define it, and its complement (a word).
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder
-    of our own only where that is unset (a local session, as in tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="lightbox-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it again, so
-    that lost executors never make earlier steps run twice and plans see true sizes."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for a row, however often it is used."""
     return F.transform(F.array(value), body)[0]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, editprint, fertility, mixing, pii, sharding, tokencount, urlfilter
+from . import bpe, editprint, fertility, mixing, ngramjoin, pii, sharding, tokencount, urlfilter
 from .common import shared_dir
 
 
@@ -51,6 +51,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = fertility.judge(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "entropy")
@@ -61,7 +65,7 @@ def op10_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_bpe, op4_url_filter, op5_token_counts, op6_mixing, op9_fertility, op10_edit_prints)}
+    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_bpe, op4_url_filter, op5_token_counts, op6_mixing, op8_ngram_join, op9_fertility, op10_edit_prints)}
 
 
 def oracle_sql() -> dict[str, str]:

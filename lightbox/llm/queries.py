@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, editprint, fertility, mixing, ngramjoin, pii, sharding, tokencount, urlfilter
+from . import bpe, editprint, fertility, mixing, ngramjoin, pii, quality, sharding, tokencount, urlfilter
 from .common import shared_dir
 
 
@@ -51,6 +51,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs.select("doc_id", "text", "lang", "source"), model).select("doc_id", *quality.SCORES)
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.similar_documents(_table(spark, sf_dir, "documents"))
 
@@ -65,7 +71,7 @@ def op10_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_bpe, op4_url_filter, op5_token_counts, op6_mixing, op8_ngram_join, op9_fertility, op10_edit_prints)}
+    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_bpe, op4_url_filter, op5_token_counts, op6_mixing, op7_quality, op8_ngram_join, op9_fertility, op10_edit_prints)}
 
 
 def oracle_sql() -> dict[str, str]:

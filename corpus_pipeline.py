@@ -1,13 +1,36 @@
-"""A corpus pipeline: classify quality, drop near copies, mask personal data, mix, encode."""
+"""A corpus pipeline: classify quality, keep one of each group of near copies, mask personal data,
+mix sources to their weights, encode to token ids."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lightbox.llm import mixing, pii
+from lightbox.llm import bpe, mixing, ngramjoin, pii, quality
 from lightbox.llm.common import written
 
+#: Ids of dropped near copies are broadcast up to this many (8 bytes each), else joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier keeps; it learns from ``labels``."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model, only_kept=True)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents the one with the smallest doc_id, and of rows that
+    share that doc_id one. Rows with a null doc_id stay only if their component has no other."""
+    found = written(ngramjoin.similar_documents(docs), "pipeline-components")
+    dropped = found.where("component_id is not null and not (doc_id <=> component_id)").select("doc_id").distinct()
+    small = dropped.count() <= BROADCAST_IDS
+    drop = (F.broadcast(dropped) if small else dropped).withColumnRenamed("doc_id", "dropped_id")
+    left = docs.join(drop, docs["doc_id"].eqNullSafe(F.col("dropped_id")), "left_anti")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return left.dropDuplicates(["doc_id"]) if repeated else left
+
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data masked; none is dropped."""
@@ -15,16 +38,22 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus: a document comes as often as it is drawn."""
+    """The mixed corpus: a document comes as often as it is drawn, a last one perhaps in part."""
     return mixing.draw(docs).drop("mix_shard")
 
 
-STAGES = [("pii", mask_personal_data), ("mixing", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, source, n_tokens, ids) of each row."""
+    return bpe.encode_documents(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=False)
+
+
+STAGES = [("quality", reject_low_quality), ("near_copies", drop_near_copies), ("pii", mask_personal_data), ("mixing", mix_sources), ("encode", encode)]
+#: A fitted classifier can't be written in SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again before the next."""
+    """All stages over ``documents``, each but the last written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")

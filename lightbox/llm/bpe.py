@@ -23,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: Pre-tokens that a worker keeps with their ids before it starts anew, and characters in a chunk.
 KEPT_WORDS = 300_000
@@ -215,7 +216,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = T
     decoded_sha256, else ids (an array of ints). ``path`` must be readable on the executors."""
     others = [c for c in docs.columns if c != "text"]
     schema = docs.select(*others).schema.add("n_tokens", "long")
-    schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string") if digests else schema.add("ids", "array<int>")
+    schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string") if digests else schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256

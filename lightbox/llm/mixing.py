@@ -120,7 +120,7 @@ def draw(docs: DataFrame, n_blocks: int = 256, n_shards: int = 8, seed: int = 17
     body = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("body")
     rows = sized.select("doc_id", "source", F.col("mix_size").alias("size"), F.col("mix_block").alias("block"), body)
     drawn = _drawn(rows, plan, seed).select("body", "size", F.explode("takes").alias("take"))
-    cut = F.regexp_extract(F.col("body.text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("take.words").cast("string"), F.lit("}+")), 0)
+    cut = F.call_function("regexp_extract", F.col("body.text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("take.words").cast("string"), F.lit("}+")), F.lit(0))
     text = F.when(F.col("take.words") < F.col("size"), cut).otherwise(F.col("body.text"))
     length = {"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {}
     columns = [({"text": text} | length).get(c, F.col("body").getField(c)).alias(c) for c in docs.columns]

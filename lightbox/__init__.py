@@ -1,0 +1,3 @@
+"""Media-catalog entity analytics on Spark."""
+
+__version__ = "0.1.0"

@@ -4,11 +4,11 @@ Base rules count words, symbols, repeated lines and repeated windows as their co
 The method encodes each whole text with a public vocabulary and measures characters per token,
 the share of byte-fallback tokens and the entropy of its tokens in bits. What is usual depends
 on the language and on a text's length, so all documents that pass the base rules set, for each
-language and doubling of token count, the quartiles of each measure; quartiles are set again
+language and half a doubling of token count, the quartiles of each measure; quartiles are set again
 without what lay far off. A text is rejected whose joint distance from the medians (fertility
 on both sides, entropy below, byte fallback above) is over ``BAND`` robust deviations. A cell
-with under ``LEAST`` documents uses its language's quartiles, a language with under ``LEAST``
-those of all documents.
+with under ``LEAST`` documents uses those of the whole doubling, of its language, or of all documents,
+the first that has enough.
 
 Defined results: a null text has no words and fails the base rules, as an empty one does; a
 null lang is a language of its own; repeated rows are judged alike; an empty table gives an
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import chunks
-from .common import written
+from .common import lean, written
 
 # The characters that count as symbols, the window, and the base rules' limits.
 SYMBOLS = "#*$%&|<>"
@@ -37,6 +37,8 @@ BAND, LEAST = 6.0, 50
 #: Deviations are at least this, so that uniform corpora don't reject what hardly differs.
 FLOORS = {"chars_per_token": 0.01, "entropy": 0.03, "byte_share": 0.004}
 
+LEVELS = [["lang", "half"], ["lang", "octave"], ["lang"], []]
+
 MEASURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"
 
 
@@ -113,7 +115,7 @@ def measure(docs: DataFrame, path: str) -> DataFrame:
                 columns = [pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *columns], names=[f.split()[0] for f in MEASURES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(run, MEASURES)
+    return docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(lean(run), MEASURES)
 
 
 def _quartiles(usual: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,7 +129,7 @@ def _quartiles(usual: DataFrame, keys: list[str]) -> DataFrame:
 def _far(measures: DataFrame, usual: DataFrame) -> DataFrame:
     """``measures`` with ``far``, the joint distance from the bands that ``usual`` sets."""
     columns = measures.columns
-    for keys in (["lang", "octave"], ["lang"], []):
+    for keys in LEVELS:
         bands = written(_quartiles(usual, keys), "fertility-bands")
         suffix = "_".join(["by", *keys]) if keys else "by_none"
         same = [F.col(k).eqNullSafe(F.col(f"band_{k}_{suffix}")) for k in keys]
@@ -135,7 +137,7 @@ def _far(measures: DataFrame, usual: DataFrame) -> DataFrame:
         measures = measures.join(bands, reduce(lambda a, b: a & b, same), "left") if keys else measures.join(F.broadcast(bands))
 
     def z(m: str) -> Column:
-        band = F.coalesce(*(F.col(f"{m}_{s}") for s in ("by_lang_octave", "by_lang", "by_none")))
+        band = F.coalesce(*(F.col(f"{m}_" + ("_".join(["by", *keys]) if keys else "by_none")) for keys in LEVELS))
         return (F.col(m) - band["mid"]) / band["dev"]
 
     zero = F.lit(0.0)
@@ -146,7 +148,8 @@ def _far(measures: DataFrame, usual: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, path: str) -> DataFrame:
     """Base measures, base_failed, kept, and the method's measures with ``far``."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEATED) * F.col("n_words"))
-    measures = measure(docs, path).withColumns({"base_failed": failed, "octave": F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int")})
+    measures = measure(docs, path).withColumns({"base_failed": failed, "half": F.floor(2 * F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int")})
+    measures = measures.withColumn("octave", F.floor(F.col("half") / 2).cast("int"))
     measures = written(measures, "fertility")
     usual = measures.where(~F.col("base_failed"))
     for _ in range(2):

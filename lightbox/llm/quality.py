@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .bpe import chunks
+from .common import lean
 
 MOST_LABELLED, MOST_POOLED = 6_000, 4_000
 ROUNDS, SURE, GIVEN = 3, 0.98, 300
@@ -194,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     chosen = F.broadcast(sample(docs, labels))  # at most MOST_LABELLED + MOST_POOLED rows of two numbers
     rows = docs.select("doc_id", "text", "lang", "source").join(chosen, "doc_id").select("doc_id", "quality", "text", "lang", "source")
-    found = rows.mapInArrow(run, "doc_id long, quality int, text binary, meta binary").toArrow().to_pandas().drop_duplicates("doc_id").sort_values("doc_id")
+    found = rows.mapInArrow(lean(run), "doc_id long, quality int, text binary, meta binary").toArrow().to_pandas().drop_duplicates("doc_id").sort_values("doc_id")
     if not len(found):
         return co_train(np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0), np.zeros(0, dtype=bool), np.zeros((0, 1)), np.zeros((0, 1)))
     text, meta = (np.frombuffer(b"".join(found[c]), dtype=np.float16).reshape(len(found), -1).astype(np.float32) for c in ("text", "meta"))
@@ -224,4 +225,4 @@ def score(docs: DataFrame, model: Model, only_kept: bool = False) -> DataFrame:
                 else:
                     yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(s, pa.float64()) for s in scores), kept], names=[*others, *SCORES])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import chunks
-from .common import written
+from .common import lean, written
 
 CACHE = "tokenizer string, key binary, n_tokens long"
 
@@ -76,7 +76,7 @@ def append_misses(keyed: DataFrame, cache: str, path: str) -> None:
                     [pa.array([version] * len(texts), pa.string()), rows.column(0), pa.array(count(texts), pa.int64())], names=["tokenizer", "key", "n_tokens"]
                 )
 
-    misses.mapInArrow(run, CACHE).write.mode("append").parquet(cache)
+    misses.mapInArrow(lean(run), CACHE).write.mode("append").parquet(cache)
 
 
 def count_tokens(docs: DataFrame, cache: str, path: str) -> DataFrame:

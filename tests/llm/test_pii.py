@@ -1,0 +1,76 @@
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from lightbox.llm import pii
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum((2 * int(c) - 9 * (int(c) > 4)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def valid(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    return {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m.split(".")), "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+
+
+def brute(text):
+    return [(k, m.start(), m.end()) for k, p in PLAIN.items() for m in re.finditer(p, text or "") if valid(k, m.group())]
+
+
+def found(df):
+    return [(r["text"], [(s["kind"], s["start"], s["end"]) for s in r["pii_base"]], [(s["kind"], s["start"], s["end"]) for s in r["pii_added"]]) for r in pii.find(df).collect()]
+
+
+def test_base_spans_equal_the_plain_patterns(docs, odd):
+    r = random.Random(7)
+    pieces = ["a@b.co", "x.y_@q-1.z.w", "@", ".", "..", " ", "-", "+", "_", "1.2.3.4", "256.1.1.1", "01.002.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (414) 555-3519", "+12", "123", "7", "é🙂", "漢", "\n", "abc", "4532015112830366", "%", "()"]
+    texts = odd + ["".join(r.choice(pieces) for _ in range(r.randint(1, 30))) for _ in range(1500)] + ["a.b.c@" + ".x" * 5000, "1." * 20_000, "9" * 20_000, "+" + "1-" * 9000 + "1"]
+    for text, base, _ in found(docs(texts)):
+        assert base == brute(text), text
+
+
+def test_checksums_and_context_decide_added_kinds(docs):
+    texts = [
+        "IBAN GB82 WEST 1234 5698 7654 32 thanks", "code GB82 WEST 1234 5698 7654 33 thanks", "DE89370400440532013000", "amex card 378282246310005", "number 378282246310005 of many", "card 378282246310006",
+        "ssn 123-45-6789", "part 123-45-6789", "ssn 000-45-6789",
+    ]
+    got = [[k for k, _, _ in added] for _, _, added in found(docs(texts))]
+    assert got == [["iban"], [], ["iban"], ["card_short"], [], [], ["ssn"], [], []]
+
+
+def test_digest_of_no_spans(docs):
+    row = pii.find(docs([None])).select(F.sha2(pii.listed(F.col("pii_base")), 256).alias("d")).first()
+    assert row["d"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_masking_keeps_the_rest(docs, odd):
+    texts = ["mail a.b@c.de and x@1.2.3.4, +1 (414) 555-3519.", "plain words stay", *odd]
+    df = docs(texts)
+    got = {r["doc_id"]: r for r in pii.redact(df).collect()}
+    assert pii.redact(df).columns == df.columns and len(got) == len(texts)
+    assert got[0]["text"] == "mail <EMAIL> and <EMAIL>, <PHONE>." and got[1]["text"] == "plain words stay" and got[0]["n_chars"] == len(got[0]["text"])
+    for i, t in enumerate(texts):
+        spans = brute(t)
+        if t is not None and not spans:
+            assert got[i]["text"] == t
+        assert (got[i]["text"] is None) == (t is None)
+
+
+def test_empty_table(docs):
+    assert pii.find(docs([])).count() == 0 and pii.redact(docs([])).count() == 0
+
+
+def test_long_runs_of_matches(docs):
+    text = " ".join(f"u{i}@h{i}.org" for i in range(3000))
+    (_, base, _), = found(docs([text]))
+    assert base == brute(text) and len(base) == 3000

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.materialize import shared_dir, written
 
-__all__ = ["SPACE", "WORD", "let", "lean", "shared_dir", "sums_before", "written"]
+__all__ = ["SPACE", "WORD", "let", "lean", "shared_dir", "sums_before", "trim", "written"]
 
 #: ASCII white space as the contracts define it, and its complement (a word).
 SPACE = r"[\x20\x09-\x0D]"
@@ -47,18 +47,23 @@ def sums_before(lengths: Column, block: int = 256) -> Column:
     )
 
 
+def trim() -> None:
+    """Gives free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library; there is nothing to give back by hand
+
+
 def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``run`` for mapInArrow; at the end of a task its worker gives free memory back to the system, since
-    idle workers stay and count against the executor."""
+    """``run`` for mapInArrow; at the end of a task its worker gives free memory back, since idle workers
+    stay and count against the executor."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):
-                pass  # another C library; there is nothing to give back by hand
+            trim()
 
     return task

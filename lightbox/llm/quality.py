@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .bpe import chunks
-from .common import lean
+from .common import lean, trim
 
 MOST_LABELLED, MOST_POOLED = 6_000, 4_000
 ROUNDS, SURE, GIVEN = 3, 0.98, 300
@@ -89,15 +89,18 @@ def meta_features(lang: str | None, source: str | None, n_chars: int, n_lines: i
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12) -> np.ndarray:
     """Weights, the last one the bias, by Newton's method with a ridge (not on the bias)."""
-    x = np.concatenate((x, np.ones((len(x), 1), dtype=x.dtype)), axis=1).astype(np.float64)
-    penalty = np.full(x.shape[1], ridge)
+    n = x.shape[1] + 1
+    penalty = np.full(n, ridge)
     penalty[-1] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(n)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + penalty * w
-        h = (x.T * np.maximum(p * (1 - p), 1e-6)) @ x
-        h[np.diag_indices_from(h)] += penalty
+        grad, h = penalty * w, np.diag(penalty)
+        for k in range(0, len(x), 1000):  # some rows at a time in doubles: the driver's memory stays small
+            part = np.ones((len(x[k : k + 1000]), n))
+            part[:, :-1] = x[k : k + 1000]
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            grad += part.T @ (p - y[k : k + 1000])
+            h += (part.T * np.maximum(p * (1 - p), 1e-6)) @ part
         step = np.linalg.solve(h, grad)
         w -= step
         if np.abs(step).max() < 1e-4:
@@ -198,11 +201,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     found = rows.mapInArrow(lean(run), "doc_id long, quality int, text binary, meta binary").toArrow().to_pandas().drop_duplicates("doc_id").sort_values("doc_id")
     if not len(found):
         return co_train(np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0), np.zeros(0, dtype=bool), np.zeros((0, 1)), np.zeros((0, 1)))
-    text, meta = (np.frombuffer(b"".join(found[c]), dtype=np.float16).reshape(len(found), -1).astype(np.float32) for c in ("text", "meta"))
+    text, meta = (np.frombuffer(b"".join(found.pop(c)), dtype=np.float16).reshape(len(found), -1).astype(np.float32) for c in ("text", "meta"))
     has = found["quality"].notna().to_numpy()
     y = found["quality"].fillna(0).to_numpy()[has] > 0
     held = (found["doc_id"].to_numpy()[has].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(4) == 0
-    return co_train(text[has], meta[has], y, held, text[~has], meta[~has])
+    del found
+    model = co_train(text[has], meta[has], y, held, text[~has], meta[~has])
+    del text, meta
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, only_kept: bool = False) -> DataFrame:

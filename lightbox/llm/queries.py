@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, editprint, fertility, mixing, ngramjoin, pii, quality, sharding, tokencount, urlfilter
-from .common import shared_dir
+from .common import shared_dir, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,7 @@ def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return editprint.with_neighbours(_table(spark, sf_dir, "documents"))
+    return editprint.near_copies(written(editprint.with_neighbours(_table(spark, sf_dir, "documents")), "editprint-rows"))
 
 
 def queries() -> dict:

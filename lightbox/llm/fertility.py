@@ -3,11 +3,11 @@
 Base rules count words, symbols, repeated lines and repeated windows as their contract says.
 The method encodes each whole text with a public vocabulary and measures characters per token,
 the share of byte-fallback tokens and the entropy of its tokens in bits. What is usual depends
-on the language and on a text's length, so all documents that pass the base rules set, for each
-language and half a doubling of token count, the quartiles of each measure; quartiles are set again
-without what lay far off. A text is rejected whose joint distance from the medians (fertility
+on the language and on a text's length, so all distinct texts that pass the base rules set, for each
+language and half a doubling of token count, the quartiles of each measure, copies counting once;
+quartiles are set again without what lay far off. A text is rejected whose joint distance from the medians (fertility
 on both sides, entropy below, byte fallback above) is over ``BAND`` robust deviations. A cell
-with under ``LEAST`` documents uses those of the whole doubling, of its language, or of all documents,
+with under ``LEAST`` distinct texts uses those of the whole doubling, of its language, or of all texts,
 the first that has enough.
 
 Defined results: a null text has no words and fails the base rules, as an empty one does; a
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ FLOORS = {"chars_per_token": 0.01, "entropy": 0.03, "byte_share": 0.004}
 
 LEVELS = [["lang", "half"], ["lang", "octave"], ["lang"], []]
 
-MEASURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"
+MEASURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double, digest binary"
 
 
 class _Numbers(dict):
@@ -110,8 +111,8 @@ def measure(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for rows, texts in chunks(batch, limit=1_000_000):
                 encoded = model.encode(texts, num_threads=1)
-                made = [(*base_measures(t), *token_measures(ids, len(t), is_byte)) for t, ids in zip(texts, encoded, strict=True)]
-                kinds = [pa.int64()] * 6 + [pa.float64()] * 3
+                made = [(*base_measures(t), *token_measures(ids, len(t), is_byte), blake2b(t.encode(), digest_size=16).digest()) for t, ids in zip(texts, encoded, strict=True)]
+                kinds = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.binary()]
                 columns = [pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *columns], names=[f.split()[0] for f in MEASURES.split(", ")])
 
@@ -119,6 +120,8 @@ def measure(docs: DataFrame, path: str) -> DataFrame:
 
 
 def _quartiles(usual: DataFrame, keys: list[str]) -> DataFrame:
+    """Bands of the cells of ``keys``; ``usual`` has a text once a language, and here once a cell."""
+    usual = usual if "lang" in keys else usual.dropDuplicates(["digest"])
     each = [F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(m) for m in FLOORS]
     found = usual.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *each).where(F.col("n") >= LEAST) if keys else usual.agg(F.count(F.lit(1)).alias("n"), *each)
     suffix = "_".join(["by", *keys]) if keys else "by_none"
@@ -151,7 +154,8 @@ def judge(docs: DataFrame, path: str) -> DataFrame:
     measures = measure(docs, path).withColumns({"base_failed": failed, "half": F.floor(2 * F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int")})
     measures = measures.withColumn("octave", F.floor(F.col("half") / 2).cast("int"))
     measures = written(measures, "fertility")
-    usual = measures.where(~F.col("base_failed"))
+    usual = measures.where(~F.col("base_failed")).select("lang", "half", "octave", "digest", *FLOORS).dropDuplicates(["lang", "digest"])
+    usual = written(usual, "fertility-usual")
     for _ in range(2):
         usual = _far(usual, usual).where(F.col("far") <= 4).drop("far")
-    return _far(measures, usual).withColumn("kept", ~F.col("base_failed") & (F.col("far") <= BAND))
+    return _far(measures.drop("digest"), usual).withColumn("kept", ~F.col("base_failed") & (F.col("far") <= BAND))

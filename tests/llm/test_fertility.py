@@ -46,5 +46,16 @@ def test_bands_reject_what_a_language_does_not_look_like(docs, prose):
     assert sum(rows[i] for i in range(300)) >= 298 and not any(rows[i] for i in range(300, 303))
 
 
+def test_copies_set_the_bands_once(docs, prose):
+    clean = [prose(k, 60 + k % 40) for k in range(300)]
+    kept = lambda texts, langs=None: {r["doc_id"]: (r["kept"], round(r["far"], 9)) for r in fertility.judge(docs(texts, langs=langs), PATH).collect()}
+    alone, hot = kept(clean), kept(clean + [clean[7]] * 2000)
+    assert all(hot[i] == alone[i] for i in range(300)) and all(hot[i] == alone[7] for i in range(300, 2300))
+    assert sum(k for k, _ in alone.values()) >= 298
+    # one text in many small languages counts once where all languages are one cell
+    spread = kept(clean + [clean[7]] * 900, [f"x{k % 30}" for k in range(300)] + [f"y{k}" for k in range(900)])
+    assert sum(spread[i][0] for i in range(300)) >= 298
+
+
 def test_empty(docs):
     assert fertility.judge(docs([]), PATH).count() == 0

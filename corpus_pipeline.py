@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lightbox.llm import bpe, mixing, ngramjoin, pii, quality
 from lightbox.llm.common import written
 
-#: Ids of dropped near copies are broadcast up to this many (8 bytes each), else joined by a shuffle.
+#: Rows of dropped near copies are broadcast up to this many (a doc_id and 16 bytes each), else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
@@ -21,15 +21,28 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest doc_id, and of rows that
-    share that doc_id one. Rows with a null doc_id stay only if their component has no other."""
-    found = written(ngramjoin.similar_documents(docs), "pipeline-components")
-    dropped = found.where("component_id is not null and not (doc_id <=> component_id)").select("doc_id").distinct()
-    small = dropped.count() <= BROADCAST_IDS
-    drop = (F.broadcast(dropped) if small else dropped).withColumnRenamed("doc_id", "dropped_id")
-    left = docs.join(drop, docs["doc_id"].eqNullSafe(F.col("dropped_id")), "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return left.dropDuplicates(["doc_id"]) if repeated else left
+    """Of each component of similar documents one row: the one with the smallest doc_id, null last, then
+    the smallest digest of the text. A doc_id with texts in several components stays in each. Empty texts
+    link with nothing: rows of one doc_id leave one, and those of a null doc_id stay."""
+    found = ngramjoin.components(docs, digests=True)
+    component = F.when(F.col("n_shingles") > 0, F.concat(F.lit("set "), "top")).when(F.col("doc_id").isNotNull(), F.concat(F.lit("id "), "doc_id")).alias("component")
+    rows = written(found.select("doc_id", "digest", component).where("component is not null").groupBy("component", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n")), "pipeline-components")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest")))
+    dropped = written(rows.join(first, "component").where(other).select("doc_id", "digest"), "pipeline-dropped")
+    keyed = docs.withColumn("row_digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+
+    def matched(left: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("key_id"), F.col("digest").alias("key_digest"))
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+        return left.join(keys, left["doc_id"].eqNullSafe(F.col("key_id")) & (left["row_digest"] == F.col("key_digest")), how)
+
+    left = matched(keyed, dropped, "left_anti")
+    # rows that share doc_id and text
+    repeated = rows.where("n > 1").select("doc_id", "digest")
+    if repeated.limit(1).count():
+        left = matched(left, repeated, "left_anti").unionByName(matched(left, repeated, "left_semi").dropDuplicates(["doc_id", "row_digest"]))
+    return left.drop("row_digest")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,26 @@ def test_repeated_and_null_ids_leave_one_of_each_group(spark, docs, prose):
     assert sorted(r["doc_id"] for r in left if r["doc_id"] is not None) == [4, 5, 6]
 
 
+def test_each_component_keeps_exactly_one_row(spark, docs, prose):
+    def near(k):
+        return prose(k, 200) + " end"
+
+    families = [[prose(k, 200), near(k), prose(k, 200)] for k in range(6)]
+    # a null id beside an id; ids only null; an id with two unrelated texts; one row twice; alone with a null id
+    ids = [[1, None, None], [None, None, None], [7, 2, None], [7, 7, 8], [3, 3, 3], [None, 7, 9]]
+    alone = [(None, prose(50, 60)), (None, prose(51, 60)), (7, prose(52, 60)), (None, ""), (None, None), (6, None), (6, ""), (5, " ")]
+    rows = [(i, t) for texts, some in zip(families, ids, strict=True) for i, t in zip(some, texts, strict=True)] + alone
+    df = docs([t for _, t in rows], ids=[i for i, _ in rows])
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, df, SF).collect()]
+    for texts, some in zip(families, ids, strict=True):
+        kept = [i for i, t in left if t in texts]
+        assert kept == [min((i for i in some if i is not None), default=None)]
+    for i, t in alone[:3]:
+        assert left.count((i, t)) == 1
+    assert sorted((str(i) for i, t in left if not (t or "").strip())) == ["5", "6", "None", "None"]
+    assert len(left) == 13
+
+
 def test_empty(spark, docs, tmp_path):
     docs([]).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

@@ -1,7 +1,6 @@
 import os
 import sys
 
-import numpy as np
 import pytest
 from pyspark.sql import SparkSession
 
@@ -22,16 +21,6 @@ def spark(tmp_path_factory):
     s.stop()
 
 
-def unit(seed: int, dim: int = 512) -> np.ndarray:
-    v = np.random.RandomState(seed).randn(dim)
-    return (v / np.linalg.norm(v)).astype(np.float32)
-
-
-def near(base: np.ndarray, seed: int, noise: float = 0.02) -> np.ndarray:
-    v = base + np.random.RandomState(seed).randn(len(base)) * noise
-    return (v / np.linalg.norm(v)).astype(np.float32)
-
-
 @pytest.fixture(scope="session")
 def make(spark):
     """make(vectors, clusters=..., ...) -> Catalog with a photo for each face."""
@@ -51,12 +40,3 @@ def make(spark):
         return Catalog.of(spark, faces=f, photos=p, clusters=spark.createDataFrame(list(clusters), "id long, name string"))
 
     return build
-
-
-def of(catalog) -> dict:
-    """face id -> cluster id."""
-    return {r["id"]: r["cluster_id"] for r in catalog.faces.select("id", "cluster_id").collect()}
-
-
-def named(catalog) -> dict:
-    return {r["id"]: r["name"] for r in catalog.clusters.select("id", "name").collect()}

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import named, near, of, unit
+from catalog_helpers import named, near, of, unit
 
 from lightbox.functions import vectors
 from lightbox.operators import clustering, neighbors

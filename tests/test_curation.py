@@ -1,5 +1,5 @@
 import pytest
-from conftest import named, near, of, unit
+from catalog_helpers import named, near, of, unit
 
 from lightbox.functions import names
 from lightbox.operators import curation

@@ -2,7 +2,7 @@ import os
 import subprocess
 import sys
 
-from conftest import ROOT
+from catalog_helpers import ROOT
 
 
 def test_entry(spark):

@@ -83,4 +83,5 @@ def test_all_queries_run_and_the_sql_agrees(spark):
 def test_quality_model_is_small(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    assert len(model.text) == quality.N_TEXT + 1 and len(model.meta) == quality.N_META + 1
+    assert len(model.weights["text"]) == quality.N_TEXT + 1 and len(model.weights["meta"]) == quality.N_META + 1
+    assert sum(r[0] + r[1] for r in model.rounds) and sum(r[2] + r[3] for r in model.rounds)

@@ -1,4 +1,4 @@
-"""Shared helpers: let-bindings for columns, running sums."""
+"""Shared helpers: names that can't clash, let-bindings for columns, running sums."""
 
 from __future__ import annotations
 
@@ -6,18 +6,37 @@ import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import shared_dir, written
 
-__all__ = ["SPACE", "WORD", "let", "lean", "shared_dir", "sums_before", "trim", "written"]
+__all__ = ["SPACE", "WORD", "fresh", "let", "named", "other_names", "lean", "shared_dir", "sums_before", "trim", "written"]
 
 #: ASCII white space as the contracts define it, and its complement (a word).
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def fresh(docs: DataFrame, stem: str) -> str:
+    """``stem``, or it with underscores after it: a column name that ``docs`` doesn't have in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def other_names(docs: DataFrame, *names: str) -> list[str]:
+    """The columns of ``docs`` that have none of ``names`` in any case."""
+    left_out = {n.lower() for n in names}
+    return [c for c in docs.columns if c.lower() not in left_out]
+
+
+def named(*names: str) -> list[Column]:
+    """Columns by their plain names, whatever characters these hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for a row, however often it is used."""
     return F.transform(F.array(value), body)[0]

@@ -2,16 +2,19 @@
 
 Base kinds (email, ip, card, phone) are found exactly as their contract says and always stay.
 The method adds kinds of its own if their score reaches ``THRESHOLD``: a score starts from the
-kind, rises with a confirmed checksum (Luhn, mod 97) and with words of the kind near the match.
-Only DataFrame functions are used. Positions come from the lengths of the pieces between the
+kind, rises with a confirmed check (Luhn, mod 97, for secrets the entropy of their characters) and
+with words of the kind near the match. ``key`` are credentials with a form of their own, ``secret``
+any run of letters and digits that looks random and that a word such as token or password is assigned to or
+stands near; such a word alone, or a random run alone (a digest, an id), isn't enough. Only DataFrame functions are used. Positions come from the lengths of the pieces between the
 matches, so each pattern scans a text once, and once more only where it matched.
 
 Patterns are written with possessive quantifiers and a look-behind (or the end of the last
 match), which gives the leftmost matches of the plain patterns without their backtracking: time
 stays linear and the stack flat on very long texts.
 
-Defined results: a null text is an empty one; rows are judged one by one, so nulls, ties and
-repeated rows in other columns change nothing; columns other than text pass through.
+Defined results: a null text is an empty one (``redact`` leaves it null); rows are judged one by one, so nulls, ties and
+repeated rows in other columns change nothing; an empty table gives an empty result. ``redact`` passes all columns other
+than text and n_chars through whatever their names; ``find`` leaves out columns of ``docs`` that have its results' names.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, sums_before
+from .common import fresh, let, named, other_names, sums_before
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
-ADDED_KINDS = ["card_short", "iban", "ssn"]
+ADDED_KINDS = ["card_short", "iban", "ssn", "key", "secret"]
 THRESHOLD = 0.8
 
 LOCAL = "A-Za-z0-9._%+-"
@@ -34,11 +37,24 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "key": (
+        r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[oprsu]_[A-Za-z0-9]{36,255}+|github_pat_[A-Za-z0-9_]{22,255}+|glpat-[A-Za-z0-9_-]{20,255}+|xox[abprs]-[A-Za-z0-9-]{10,255}+"
+        r"|sk-[A-Za-z0-9_-]{20,255}+|[rs]k_live_[A-Za-z0-9]{16,255}+|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,4096}+\.eyJ[A-Za-z0-9_-]{8,4096}+\.[A-Za-z0-9_-]{8,4096}+)(?![A-Za-z0-9])"
+        r"|-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]++-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----)?"
+    ),
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{8,}+={0,2}+",
 }
+# Words that a secret is assigned to.
+SECRET_WORDS = r"(?i:token|passw(?:or)?d|passphrase|passcode|\bpwd\b|secret|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|bearer|authorization|contraseña|passwort|kennwort|mot de passe)"
+#: A secret's word is assigned to it if only these signs stand between them.
+ASSIGNED = SECRET_WORDS + r"""[\"']?\s*(?:\b(?:is|ist|est|es)\b)?\s*(?:=>|:=|[=:])?\s*[\"']?$"""
+LONGEST_SECRET, LEAST_BITS, LONG_SECRET = 512, 3.0, 32
 # Starting scores, gain of a confirmed checksum, and words that raise a score when near.
-START = {"email": 0.9, "ip": 0.8, "card": 0.4, "phone": 0.8, "iban": 0.4, "ssn": 0.4, "card_short": 0.2}
+START = {"email": 0.9, "ip": 0.8, "card": 0.4, "phone": 0.8, "iban": 0.4, "ssn": 0.4, "card_short": 0.2, "key": 0.9, "secret": 0.0}
 CHECKED = {"card": 0.5, "iban": 0.4, "card_short": 0.3}
-CONTEXT_GAIN = {"email": 0.1, "ip": 0.2, "card": 0.1, "phone": 0.2, "iban": 0.2, "ssn": 0.5, "card_short": 0.4}
+CONTEXT_GAIN = {"email": 0.1, "ip": 0.2, "card": 0.1, "phone": 0.2, "iban": 0.2, "ssn": 0.5, "card_short": 0.4, "key": 0.1, "secret": 0.3}
+#: A secret's further gains: random characters, a long run of them, and a word that it is assigned to.
+RANDOM_GAIN, LONG_GAIN, ASSIGNED_GAIN = 0.3, 0.2, 0.2
 CONTEXT = {
     "email": "mail|contact",
     "ip": r"\bip\b|address|server|host",
@@ -47,6 +63,8 @@ CONTEXT = {
     "phone": r"phone|call|\btel|mobile|fax|whatsapp",
     "iban": "iban|account|bank|konto|compte|cuenta",
     "ssn": r"\bssn\b|social security|tax id|taxpayer",
+    "key": SECRET_WORDS,
+    "secret": SECRET_WORDS,
 }
 BEFORE, AFTER = 48, 24
 
@@ -96,6 +114,8 @@ def _matches(text: Column, kind: str) -> Column:
         )
 
     some = let(F.split(text, pattern, -1), lambda parts: F.when(F.size(parts) > 1, let(F.struct(parts.alias("parts"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("found")), placed)).otherwise(empty))
+    if kind == "secret":  # without one of the words none is found
+        return F.when(text.rlike(SECRET_WORDS), some).otherwise(empty)
     return F.when(F.contains(text, F.lit({"email": "@", "phone": "+", "ssn": "-", "ip": "."}.get(kind, ""))), some).otherwise(empty)
 
 
@@ -116,13 +136,35 @@ def _valid(kind: str, match: Column) -> Column:
         return let(F.replace(match, F.lit(" "), F.lit("")), lambda m: F.length(m).between(15, 34) & mod97(m))
     if kind == "ssn":
         return ~match.rlike("^(000|666|9)|-00-|-0000$")
+    if kind == "secret":
+        return F.length(match) <= LONGEST_SECRET
     return F.lit(True)
 
 
+def entropy(text: Column) -> Column:
+    """Bits a character, from how often each of them occurs in the text."""
+
+    def of(chars: Column) -> Column:
+        n = F.size(chars).cast("double")
+        counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)).cast("double"))
+        return F.log2(n) - F.aggregate(counts, F.lit(0.0), lambda s, k: s + k * F.log2(k)) / n
+
+    return let(F.split(text, ""), of)
+
+
 def _scored(kind: str, matches: Column) -> Column:
     """The valid ones of the matches as (kind, start, end, score)."""
     near = lambda m: F.lower(F.concat_ws(" ", m["before"], m["after"])).rlike(CONTEXT[kind])
-    score = lambda m: F.lit(START[kind] + CHECKED.get(kind, 0.0)) + F.when(near(m), F.lit(CONTEXT_GAIN[kind])).otherwise(F.lit(0.0))
+    gain = lambda condition, much: F.when(condition, F.lit(much)).otherwise(F.lit(0.0))
+
+    def score(m: Column) -> Column:
+        from_context = gain(near(m), CONTEXT_GAIN[kind])
+        if kind == "secret":
+            is_random = entropy(m["match"]) >= LEAST_BITS
+            of_form = F.when(is_random, F.lit(RANDOM_GAIN) + gain(F.length(m["match"]) >= LONG_SECRET, LONG_GAIN)).otherwise(F.lit(0.0))
+            return F.when(from_context > 0, F.round(from_context + of_form + gain(m["before"].rlike(ASSIGNED), ASSIGNED_GAIN), 3)).otherwise(F.lit(0.0))
+        return F.lit(START[kind] + CHECKED.get(kind, 0.0)) + from_context
+
     valid = F.filter(matches, lambda m: _valid(kind, m["match"]))
     return F.transform(valid, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), score(m).alias("score")))
 
@@ -140,7 +182,7 @@ def spans_of(text: Column) -> Column:
                 lambda base: F.struct(
                     base.alias("base"),
                     F.filter(
-                        F.concat(c["card_short"], _scored("iban", _matches(t, "iban")), _scored("ssn", _matches(t, "ssn"))),
+                        F.concat(c["card_short"], *(_scored(k, _matches(t, k)) for k in ADDED_KINDS[1:])),
                         lambda a: (a["score"] >= THRESHOLD) & ~F.exists(base, lambda b: (b["start"] < a["end"]) & (a["start"] < b["end"])),
                     ).alias("added"),
                 ),
@@ -155,9 +197,14 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+RESULTS = ["pii_base", "pii_added"]
+
+
 def find(docs: DataFrame) -> DataFrame:
     """``docs`` with the columns ``pii_base`` and ``pii_added``, arrays of (kind, start, end, score)."""
-    return docs.withColumn("pii", spans_of(F.col("text"))).withColumns({"pii_base": F.col("pii.base"), "pii_added": F.col("pii.added")}).drop("pii")
+    spans = fresh(docs, "pii")
+    found = docs.withColumn(spans, spans_of(F.col("text")))
+    return found.select(*named(*other_names(docs, *RESULTS)), *(F.col(spans)[r.split("_")[1]].alias(r) for r in RESULTS))
 
 
 def masked(text: Column, spans: Column) -> Column:
@@ -185,8 +232,9 @@ def masked(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` masked, and ``n_chars`` (if there) recounted."""
-    found = find(docs)
-    new = found.withColumn("text", F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(masked(F.col("text"), F.concat("pii_base", "pii_added"))))
-    if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return new.select(*docs.columns)
+    spans, new = fresh(docs, "pii"), fresh(docs, "masked")
+    found = docs.withColumn(spans, spans_of(F.col("text")))
+    both = F.concat(F.col(spans)["base"], F.col(spans)["added"])
+    found = found.withColumn(new, F.when(F.col("text").isNotNull(), masked(F.col("text"), both)))
+    result = {"text": F.col(new).alias("text"), "n_chars": F.coalesce(F.length(new).cast("long"), F.col("n_chars")).alias("n_chars") if "n_chars" in docs.columns else None}
+    return found.select(*(result[c] if c in result else named(c)[0] for c in docs.columns))

@@ -19,6 +19,8 @@ than text and n_chars through whatever their names; ``find`` leaves out columns
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,9 @@ PATTERNS = {
 }
 # Words that a secret is assigned to.
 SECRET_WORDS = r"(?i:token|passw(?:or)?d|passphrase|passcode|\bpwd\b|secret|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|bearer|authorization|contraseña|passwort|kennwort|mot de passe)"
+# A text without any of these parts has no match of the kind (for secrets: of its words, in lower case).
+MARKS = {"email": ["@"], "phone": ["+"], "ssn": ["-"], "ip": ["."], "key": ["AKIA", "ASIA", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat_", "glpat-", "xox", "sk-", "k_live_", "AIza", "eyJ", "PRIVATE KEY-----"]}
+SECRET_MARKS = ["token", "passw", "passphrase", "passcode", "pwd", "secret", "api", "access", "private", "credential", "bearer", "authorization", "contraseña", "kennwort", "passe"]
 #: A secret's word is assigned to it if only these signs stand between them.
 ASSIGNED = SECRET_WORDS + r"""[\"']?\s*(?:\b(?:is|ist|est|es)\b)?\s*(?:=>|:=|[=:])?\s*[\"']?$"""
 LONGEST_SECRET, LEAST_BITS, LONG_SECRET = 512, 3.0, 32
@@ -114,9 +119,8 @@ def _matches(text: Column, kind: str) -> Column:
         )
 
     some = let(F.split(text, pattern, -1), lambda parts: F.when(F.size(parts) > 1, let(F.struct(parts.alias("parts"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("found")), placed)).otherwise(empty))
-    if kind == "secret":  # without one of the words none is found
-        return F.when(text.rlike(SECRET_WORDS), some).otherwise(empty)
-    return F.when(F.contains(text, F.lit({"email": "@", "phone": "+", "ssn": "-", "ip": "."}.get(kind, ""))), some).otherwise(empty)
+    of, marks = (F.lower(text), SECRET_MARKS) if kind == "secret" else (text, MARKS.get(kind, [""]))
+    return F.when(let(of, lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(m)) for m in marks))), some).otherwise(empty)
 
 
 def _digits(match: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -14,29 +18,29 @@ def from_hex(h: Column) -> Column:
     return F.when(h.rlike("^[0-9a-fA-F]{16}$"), F.conv(h, 16, -10).cast("long"))
 
 
-def to_hex(high: Column, low: Column) -> Column:
-    return F.format_string("%08x%08x", high, low)
-
-
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
 def simhash64(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, hi, lo, phash): bit i of a half is set if more of the text's distinct space-separated
-    tokens have it in the same half of their MD5 than not. One aggregation of 64 sums."""
-    tokens = docs.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("token")).withColumn("h", F.md5("token"))
-    halves = tokens.select(key, *(F.conv(F.substring("h", at, 8), 16, 10).cast("long").alias(name) for name, at in (("hi", 1), ("lo", 9))))
-    bit = lambda c, i: F.shiftright(c, i).bitwiseAND(F.lit(1).cast("long")) * 2 - 1
-    sums = halves.groupBy(key).agg(*(F.sum(bit(F.col(half), i)).alias(f"{half}{i}") for half in ("hi", "lo") for i in range(32)))
-
-    def packed(half: str) -> Column:
-        out = F.lit(0).cast("long")
-        for i in range(32):
-            out = out + F.when(F.col(f"{half}{i}") > 0, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-        return out
-
-    return sums.select(key, packed("hi").alias("hi"), packed("lo").alias("lo")).withColumn("phash", to_hex(F.col("hi"), F.col("lo")))
+    tokens have it in the same half of their MD5 than not. A pass over the rows without a shuffle; null texts have no row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):  # bits of some documents at a time
+                rows = batch.slice(start, 256)
+                tokens = [set(t.split(" ")) for t in rows.column(1).to_pylist()]
+                sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+                digests = b"".join(md5(w.encode(), usedforsecurity=False).digest()[:8] for t in tokens for w in t)
+                bits = np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8), axis=1)
+                sums = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int64)
+                packed = np.packbits(2 * sums > sizes[:, None], axis=1)
+                halves = packed.view(">u4").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([x.tobytes().hex() for x in packed], pa.string())], names=[key, "hi", "lo", "phash"])
+
+    wanted = docs.select(key, text).where(F.col(text).isNotNull())
+    return wanted.mapInArrow(run, docs.select(key).schema.add("hi", "long").add("lo", "long").add("phash", "string"))
 
 
 def phash_of_gray(gray: np.ndarray) -> str | None:

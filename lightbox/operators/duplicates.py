@@ -23,7 +23,7 @@ def duplicate_labels(hashes: DataFrame, bits: int = BITS, least: int = LEAST_GRO
 
 def detect_duplicates(catalog: Catalog, bits: int = BITS, least: int = LEAST_GROUP) -> tuple[Catalog, int]:
     """Old groups go; photos whose hashes are near each other get a group; (catalog, number of groups)."""
-    hashed = catalog.photos.select("id", from_hex(F.col("phash")).alias("hash")).where("hash is not null")
+    hashed = written(catalog.photos.select("id", from_hex(F.col("phash")).alias("hash")).where("hash is not null"), "hashes")  # read by several joins
     cleared = catalog.to(photos=catalog.photos.withColumn("duplicate_group_id", F.lit(None).cast("long")), duplicate_groups=catalog.duplicate_groups.where(F.lit(False)))
     if hashed.limit(least).count() < least:
         return cleared, 0

@@ -3,24 +3,41 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashes import hamming
 from ..functions.vectors import FLOOR
+from ..plans.materialize import written
 
-#: Vectors in a block, and blocks at most (their centres are held by the driver: bounded).
+#: Vectors in a part of a block, and blocks at most (their centres are held by the driver: bounded).
 BLOCK, MOST_BLOCKS = 2048, 4096
 #: Centroids that a task holds at a time.
 CENTROIDS = 4096
+#: Bands of bits whose values are probed within this many bits at most.
+LEAST_BANDS, PROBED = 4, 2
 
 
 def unit(rows) -> np.ndarray:
-    m = np.asarray(list(rows), dtype=np.float64)
+    """Rows of an Arrow list column or of a sequence as unit vectors."""
+    if isinstance(rows, pa.ChunkedArray):
+        rows = rows.combine_chunks()
+    if isinstance(rows, pa.Array):
+        n = len(rows)
+        flat = rows.flatten().to_numpy(zero_copy_only=False)
+        if n and len(flat) % n == 0 and len(pc.unique(pc.list_value_length(rows))) == 1:
+            m = flat.reshape(n, -1).astype(np.float64)
+        else:
+            m = np.asarray(rows.to_pylist(), dtype=np.float64)
+    else:
+        m = np.asarray(list(rows), dtype=np.float64)
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), FLOOR) if len(m) else m.reshape(0, 0)
 
 
@@ -28,69 +45,74 @@ def radius_join(vectors: DataFrame, eps: float) -> DataFrame:
     """All pairs (a, b, dist), a < b, of rows of ``vectors`` (id, embedding) with cosine distance <= eps.
 
     Exact. Vectors lie in blocks around pivots; two blocks meet only if the angle between their
-    centres, less both radii, is within the angle of eps, and each meeting is a task's matrix
-    product over two blocks. Rows of null vectors are dropped."""
+    centres, less both radii, is within the angle of eps. A block of any size is dealt to parts of about BLOCK
+    vectors, and each meeting of two parts is a matrix product. Rows of null vectors are dropped."""
     vectors = vectors.where("id is not null and embedding is not null").select("id", "embedding")
+    spark = vectors.sparkSession
     n = vectors.count()
     n_blocks = min(MOST_BLOCKS, max(1, -(-n // BLOCK)))
     if n_blocks == 1:
         placed = vectors.select("id", "embedding", F.lit(0).alias("block"))
-        meets = {0: [0]}
+        meets = np.zeros((1, 1), dtype=bool) | True
     else:
         pivots = unit(r[0] for r in vectors.orderBy(F.xxhash64("id"), "id").select("embedding").limit(n_blocks).collect())
 
         def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                m = unit(batch.column(1).to_pylist())
+                m = unit(batch.column(1))
                 at = np.argmax(m @ pivots.T, axis=1) if len(m) else np.zeros(0, dtype=np.int64)
                 angle = np.arccos(np.clip(np.einsum("ij,ij->i", m, pivots[at]), -1, 1)) if len(m) else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at.astype(np.int32)), pa.array(angle)], names=["id", "embedding", "block", "angle"])
 
-        placed = vectors.mapInArrow(near, "id long, embedding array<float>, block int, angle double")
+        placed = written(vectors.mapInArrow(near, "id long, embedding array<float>, block int, angle double"), "vectors")
         radius = np.full(n_blocks, -np.inf)
         for row in placed.groupBy("block").agg(F.max("angle").alias("r")).collect():
             radius[row["block"]] = row["r"]
         apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1)) - radius[:, None] - radius[None, :]
-        bound = np.arccos(max(-1.0, 1 - eps)) + 1e-6
-        meets = {i: [j for j in range(n_blocks) if apart[i, j] <= bound] for i in range(n_blocks)}
-        placed = placed.select("id", "embedding", "block")
-    met = vectors.sparkSession.createDataFrame([(i, j) for i, js in meets.items() for j in js], "block int, other int")
-    # at most MOST_BLOCKS ** 2 rows of two ints; a block pair (i, j) is met once, at (min, max)
-    dealt = placed.join(met, "block").select("id", "embedding", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        out = []
-        if len(left) and len(right):
-            x, y = unit(left["embedding"]), unit(right["embedding"])
-            a, b = left["id"].to_numpy(), right["id"].to_numpy()
-            for k in range(0, len(a), 1024):
-                dist = 1.0 - x[k : k + 1024] @ y.T
-                r, c = np.nonzero(dist <= eps)
-                keep = a[k + r] < b[c] if i == j else np.ones(len(r), dtype=bool)
-                r, c = r[keep], c[keep]
-                out.append((np.minimum(a[k + r], b[c]), np.maximum(a[k + r], b[c]), dist[r, c]))
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pd.DataFrame({"a": cols[0], "b": cols[1], "dist": cols[2]})
-
-    return dealt.groupBy("i", "j").applyInPandas(product, "a long, b long, dist double")
+        meets = apart <= np.arccos(max(-1.0, 1 - eps)) + 1e-6
+    i, j = np.nonzero(np.triu(meets))
+    met = spark.createDataFrame(pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32)}))  # at most MOST_BLOCKS ** 2 / 2 rows of two ints
+    parts = placed.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    part = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    met = met.join(parts.toDF("i", "ni"), "i").join(parts.toDF("j", "nj"), "j").select("i", "j", "nj", part("ni").alias("pi")).select("i", "j", "pi", part("nj").alias("pj")).where("i < j or pi <= pj")
+    members = placed.join(parts, "block").select("id", "embedding", "block", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
+    task = ["i", "pi", "j", "pj"]
+    left = members.join(met, (F.col("block") == F.col("i")) & (F.col("part") == F.col("pi"))).select(*task, F.lit(0).alias("side"), "id", "embedding")
+    right = members.join(met.where("i <> j or pi <> pj"), (F.col("block") == F.col("j")) & (F.col("part") == F.col("pj"))).select(*task, F.lit(1).alias("side"), "id", "embedding")
+
+    def product(table: pa.Table) -> pa.Table:
+        side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
+        m = unit(table.column("embedding"))
+        x, a = m[side == 0], ids[side == 0]
+        alone = not (side == 1).any()
+        y, b = (x, a) if alone else (m[side == 1], ids[side == 1])
+        if alone and any(table.column(c)[0] != table.column(d)[0] for c, d in (("i", "j"), ("pi", "pj"))):
+            x, a = x[:0], a[:0]  # the other part is empty
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for k in range(0, len(a), 1024):
+            dist = 1.0 - x[k : k + 1024] @ y.T
+            r, c = np.nonzero(dist <= eps)
+            keep = a[k + r] < b[c] if alone else np.ones(len(r), dtype=bool)
+            r, c = r[keep], c[keep]
+            out.append((np.minimum(a[k + r], b[c]), np.maximum(a[k + r], b[c]), dist[r, c]))
+        return pa.table(dict(zip(("a", "b", "dist"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    return left.unionByName(right).groupBy(*task).applyInArrow(product, "a long, b long, dist double")
 
 
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, key: str = "cluster_id") -> DataFrame:
     """(id, key, dist) for each row of ``vectors`` (id, embedding): the centroid (key, centroid) of the least
     cosine distance, the lowest key of equal ones; no row if there are no centroids. Centroids are
-    taken to the tasks in slices of CENTROIDS."""
-    ordered = centroids.orderBy(key)
-    n = centroids.count()
-    found = None
-    for start in range(0, n, CENTROIDS):
-        rows = ordered.offset(start).limit(CENTROIDS).collect()
+    sorted once and taken to the tasks in slices of CENTROIDS."""
+    ordered = written(centroids.select(key, "centroid"), "centroids").orderBy(key).toLocalIterator(prefetchPartitions=False)
+    n, found = 0, None
+    while rows := list(islice(ordered, CENTROIDS)):
+        n += len(rows)
         keys, matrix = np.array([r[key] for r in rows], dtype=np.int64), np.asarray([r["centroid"] for r in rows], dtype=np.float64)
 
         def best(batches: Iterable[pa.RecordBatch], keys=keys, matrix=matrix) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                dots = unit(batch.column(1).to_pylist()) @ matrix.T if batch.num_rows else np.zeros((0, len(keys)))
+                dots = unit(batch.column(1)) @ matrix.T if batch.num_rows else np.zeros((0, len(keys)))
                 at = np.argmax(dots, axis=1) if batch.num_rows else np.zeros(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys[at]), pa.array(1.0 - dots[np.arange(len(at)), at])], names=["id", key, "dist"])
 
@@ -101,21 +123,43 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, key: str = "clust
     return found if n <= CENTROIDS else found.groupBy("id").agg(F.min(F.struct("dist", key)).alias("m")).select("id", f"m.{key}", "m.dist")
 
 
+def _masks(width: int, radius: int) -> list[int]:
+    """All values of ``width`` bits with at most ``radius`` bits set."""
+    return [sum(1 << b for b in some) for r in range(radius + 1) for some in combinations(range(width), r)]
+
+
 def hamming_join(hashes: DataFrame, most: int) -> DataFrame:
     """All pairs (a, b, bits), a < b, of rows of ``hashes`` (id, hash long) that differ in at most ``most`` bits.
 
-    Exact: of most + 1 bands of bits one is equal. Equal hashes are one row in the band join, and a
-    pair is made in its first equal band only, so nothing is made twice."""
+    Exact: of m bands of bits one differs in at most most // m, so each hash is entered once a band and
+    looks up all values of its bands within that many bits (2 at most; 4 bands of 16 bits up to 11 bits). Equal hashes
+    are one row in this join, and a pair is made in the first band that shows it only, so nothing is made twice."""
     hashes = hashes.where("id is not null and hash is not null").select("id", "hash")
-    bands = most + 1
+    if most >= 64:  # any two
+        bands, radius = 1, 64
+    else:
+        bands = most + 1 if most < LEAST_BANDS else max(LEAST_BANDS, -(-(most + 1) // (PROBED + 1)))
+        radius = most // bands
     cuts = [64 * k // bands for k in range(bands + 1)]
-    part = lambda h, k: F.shiftrightunsigned(h, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1 if cuts[k + 1] - cuts[k] < 64 else -1))
+    widths = [b - a for a, b in zip(cuts, cuts[1:], strict=False)]
+    part = lambda h, k: F.shiftrightunsigned(h, cuts[k]).bitwiseAND(F.lit((1 << widths[k]) - 1 if widths[k] < 64 else -1))
     distinct = hashes.select("hash").distinct()
-    keyed = distinct.select("hash", F.posexplode(F.array(*(part(F.col("hash"), k) for k in range(bands)))).alias("band", "bits"))
-    x, y = keyed.alias("x"), keyed.withColumnRenamed("hash", "other").alias("y")
-    first = F.lit(True)
-    for k in range(bands - 1):
-        first = first & ((F.col("x.band") <= k) | (part(F.col("x.hash"), k) != part(F.col("y.other"), k)))
+    if radius > PROBED:  # a threshold that tells nothing: one key
+        key = lambda h: F.array(F.struct(F.lit(0).alias("band"), F.lit(0).cast("long").alias("bits")))
+        entered, looked = distinct.select("hash", F.inline(key("hash"))), distinct.select(F.col("hash").alias("other"), F.inline(key("hash")))
+        first = F.lit(True)
+    else:
+        entry = lambda k, bits: F.struct(F.lit(k).alias("band"), bits.alias("bits"))
+        entered = distinct.select("hash", F.inline(F.array(*(entry(k, part(F.col("hash"), k)) for k in range(bands)))))
+
+        def probes(k: int):
+            near_by = F.array(*(F.lit(m).cast("long") for m in _masks(widths[k], radius)))
+            return F.transform(near_by, lambda m: entry(k, part(F.col("hash"), k).bitwiseXOR(m)))
+
+        looked = distinct.select(F.col("hash").alias("other"), F.inline(F.concat(*map(probes, range(bands)))))
+        shown = lambda k: F.bit_count(part(F.col("x.hash").bitwiseXOR(F.col("y.other")), k)) <= radius
+        first = reduce(lambda a, b: a & b, (((F.col("x.band") <= k) | ~shown(k)) for k in range(bands - 1)), F.lit(True))
+    x, y = entered.alias("x"), looked.alias("y")
     near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.hash") < F.col("y.other")) & (hamming(F.col("x.hash"), F.col("y.other")) <= most) & first).select(
         F.col("x.hash").alias("h1"), F.col("y.other").alias("h2"), hamming(F.col("x.hash"), F.col("y.other")).alias("bits")
     )

@@ -119,3 +119,19 @@ def test_packed_vectors_round_trip(spark):
     df = spark.createDataFrame([(1, [0.5, -2.0]), (2, None)], "id long, v array<float>")
     back = df.select("id", vectors.decode_f32(vectors.encode_f32("v")).alias("v")).orderBy("id").collect()
     assert back[0]["v"] == [0.5, -2.0] and back[1]["v"] is None
+
+
+@pytest.mark.parametrize("block, most", [(2048, 4096), (16, 4096), (16, 3)])
+def test_radius_join_over_parts_of_blocks(spark, monkeypatch, block, most):
+    """Blocks larger than BLOCK are dealt to parts; every pair is found once."""
+    monkeypatch.setattr(neighbors, "BLOCK", block)
+    monkeypatch.setattr(neighbors, "MOST_BLOCKS", most)
+    r = np.random.RandomState(1)
+    m = r.randn(6, 8)[r.randint(0, 6, 150)] + 0.3 * r.randn(150, 8)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, embedding array<float>")
+    u = m.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    dist = 1 - u @ u.T
+    got = sorted((r["a"], r["b"]) for r in neighbors.radius_join(df, 0.1).collect())
+    assert got == sorted((i, j) for i in range(150) for j in range(i + 1, 150) if dist[i, j] <= 0.1)
+    assert neighbors.radius_join(df.limit(0), 0.1).count() == 0

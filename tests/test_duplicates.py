@@ -33,7 +33,7 @@ def test_threshold_and_rerun(make):
     assert duplicates.detect_duplicates(photos(make, ("8f8f8f8f8f8f8f8f", 1)))[1] == 0
 
 
-@pytest.mark.parametrize("most", [0, 3, 10])
+@pytest.mark.parametrize("most", [0, 3, 6, 10, 17, 64])
 def test_hamming_join_is_exact(spark, most):
     random.seed(most)
     base = [random.getrandbits(64) for _ in range(12)]

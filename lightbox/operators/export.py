@@ -3,32 +3,85 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..functions.names import sanitized
+from ..plans.materialize import written
 
+#: Entities that one job exports; a stop is heeded between jobs.
+PER_JOB = 64
+#: A name's number before its extension, which a free name adds to.
+NUMBERED = r"^(.+)_[0-9]+((?:\.[^.]*)?)$"
 
-def export_plan(catalog: Catalog, existing: DataFrame | None = None) -> DataFrame:
-    """(cluster_id, name, folder, src, file_name): each distinct picture of a cluster once. Clusters with names
-    that sanitise alike share a folder; a name already there gets ``_1``, ``_2`` ... before its
-    extension, in order of cluster and path, after those of ``existing`` (folder, file_name)."""
+
+def split_name(name: str) -> tuple[str, str]:
+    """Stem and extension; a name that starts with its only dot has none."""
+    found = re.fullmatch(r"(?s)(.+?)(\.[^.]*)?", name)
+    return (found[1], found[2] or "") if found else (name, "")
+
+
+def free_names(names: Iterable[str], taken: set[str]) -> list[str]:
+    """For each name in turn itself or, if it is taken, the first free one of ``stem_1.ext``, ``stem_2.ext`` ...; all
+    given names are taken for the next ones."""
+    out, tried = [], {}
+    for name in names:
+        stem, ext = split_name(name)
+        k, found = tried.get(name, 0), name
+        while (found := f"{stem}_{k}{ext}" if k else name) in taken:
+            k += 1
+        tried[name] = k  # lower numbers stay taken
+        taken.add(found)
+        out.append(found)
+    return out
+
+
+def pictures_of(catalog: Catalog) -> DataFrame:
+    """(cluster_id, name, folder, src, base): each distinct picture of a cluster once."""
     named = catalog.clusters.select(F.col("id").alias("cluster_id"), "name", sanitized(F.col("name")).alias("folder"))
     photos = catalog.photos.select(F.col("id").alias("photo_id"), F.col("path").alias("src"))
     pictures = catalog.faces.where("cluster_id is not null").join(photos, "photo_id").select("cluster_id", "src").distinct().join(named, "cluster_id")
-    base = F.regexp_extract("src", r"([^/]*)$", 1)
-    pictures = pictures.withColumns({"base": base, "stem": F.regexp_replace(base, r"(?<=.)\.[^.]*$", ""), "ext": F.regexp_extract(base, r"(?<=.)(\.[^.]*)$", 1)})
-    n = F.row_number().over(Window.partitionBy("folder", "base").orderBy("cluster_id", "src")) - 1
-    if existing is not None:
-        taken = existing.select(F.col("folder"), F.regexp_replace("file_name", r"(?:_[0-9]+)?(\.[^.]*)?$", "$1").alias("base")).groupBy("folder", "base").agg(F.count(F.lit(1)).alias("taken"))
-        pictures = pictures.join(taken, ["folder", "base"], "left")
-        n = n + F.coalesce("taken", F.lit(0))
-    numbered = pictures.withColumn("k", n)
-    return numbered.select("cluster_id", "name", "folder", "src", F.when(F.col("k") == 0, F.col("base")).otherwise(F.concat("stem", F.lit("_"), F.col("k").cast("string"), "ext")).alias("file_name"))
+    return pictures.select("cluster_id", "name", "folder", "src", F.regexp_extract("src", r"([^/]*)$", 1).alias("base"))
+
+
+def export_plan(catalog: Catalog, existing: DataFrame | None = None) -> DataFrame:
+    """(cluster_id, name, folder, src, file_name): each distinct picture of a cluster once. Clusters with names
+    that sanitise alike share a folder; in order of cluster and path each picture gets its own name if that is free in the folder,
+    else the first free one with ``_1``, ``_2`` ... before its extension. ``existing`` (folder, file_name) are taken.
+
+    Names can only meet in a family: a name, and those that add a number to a name of the family that is there.
+    Only families of two names or more are gone through in order, each by one task."""
+    pictures = pictures_of(catalog)
+    taken = pictures.select("folder", F.col("base").alias("file_name")).limit(0) if existing is None else existing.select("folder", "file_name").distinct()
+    pictures = written(pictures, "export-pictures")
+    there = pictures.select("folder", "base").union(taken).distinct()
+    # every ancestor of a name: one number less each time, up to the first that isn't there
+    family = written(there.select("folder", "base", F.col("base").alias("root"), F.lit(True).alias("open")), "export-names")
+    known = there.select(F.col("folder").alias("of_folder"), F.col("base").alias("parent"), F.lit(True).alias("known"))
+    while family.where(F.col("open") & F.col("root").rlike(NUMBERED)).limit(1).count():
+        up = family.withColumn("up", F.when(F.col("open") & F.col("root").rlike(NUMBERED), F.regexp_replace("root", NUMBERED, "$1$2")))
+        up = up.join(known, (up["folder"] == known["of_folder"]) & (up["up"] == known["parent"]), "left")
+        family = written(up.select("folder", "base", F.when(F.col("known"), F.col("up")).otherwise(F.col("root")).alias("root"), F.coalesce("known", F.lit(False)).alias("open")), "export-names")
+    family = family.select("folder", "base", "root")
+    rooted = pictures.join(family, ["folder", "base"])
+    old = taken.withColumnRenamed("file_name", "base").join(family, ["folder", "base"])
+    members = rooted.unionByName(old, allowMissingColumns=True)
+    sizes = members.groupBy("folder", "root").agg(F.count(F.lit(1)).alias("size"))
+    sized = rooted.join(sizes, ["folder", "root"])
+
+    def name(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf["cluster_id"].notna()].sort_values(["cluster_id", "src"], kind="stable")
+        return own.assign(file_name=free_names(own["base"], set(pdf.loc[pdf["cluster_id"].isna(), "base"])))[["cluster_id", "name", "folder", "src", "file_name"]].astype({"cluster_id": "int64"})
+
+    several = members.join(sizes.where("size > 1").select("folder", "root"), ["folder", "root"], "left_semi")
+    searched = several.select("cluster_id", "name", "folder", "src", "base", "root").groupBy("folder", "root").applyInPandas(name, "cluster_id long, name string, folder string, src string, file_name string")
+    return sized.where("size = 1").select("cluster_id", "name", "folder", "src", F.col("base").alias("file_name")).unionByName(searched)
 
 
 def export_summary(catalog: Catalog, plan: DataFrame) -> DataFrame:
@@ -39,37 +92,40 @@ def export_summary(catalog: Catalog, plan: DataFrame) -> DataFrame:
 
 def run_export(catalog: Catalog, output: str, symlink: bool = False, on_progress: Callable[[int, int], None] | None = None, stop: Callable[[], bool] | None = None) -> dict[str, int]:
     """Copies (or links) on a file system that driver and executors share; {name: pictures}. Missing
-    pictures are skipped, files that are there are never overwritten; stops between clusters."""
-    plan = export_plan(catalog).persist()
-    clusters = catalog.clusters.select("id", "name", sanitized(F.col("name")).alias("folder")).orderBy("id").collect()  # the entities a user named, one row each
-    summary: dict[str, int] = {}
+    pictures are skipped, files that are there are never overwritten; a job exports PER_JOB clusters, a task a
+    folder, and it stops between jobs. A task that runs again after a failure leaves what it copied before and adds new names."""
+    pictures = written(pictures_of(catalog), "export-run")
+    clusters = catalog.clusters.select("id", "name", sanitized(F.col("name")).alias("folder")).orderBy("folder", "id").collect()  # the entities a user named, one row each
+    done: dict[int, int] = {}
 
-    def copy(rows):
-        done = 0
-        for row in rows:
-            if not os.path.exists(row["src"]):
-                continue
-            folder = os.path.join(output, row["folder"])
-            stem, ext = os.path.splitext(os.path.basename(row["src"]))
-            target, k = os.path.join(folder, stem + ext), 0
-            while os.path.lexists(target):
-                k += 1
-                target = os.path.join(folder, f"{stem}_{k}{ext}")
+    def copy(pdf: pd.DataFrame) -> pd.DataFrame:
+        folder = os.path.join(output, pdf["folder"].iloc[0])
+        os.makedirs(folder, exist_ok=True)
+        rows = [r for r in pdf.sort_values(["cluster_id", "src"], kind="stable").itertuples() if os.path.exists(r.src)]
+        for row, name in zip(rows, free_names([r.base for r in rows], set(os.listdir(folder))), strict=True):
             if symlink:
-                os.symlink(row["src"], target)
+                os.symlink(row.src, os.path.join(folder, name))
             else:
-                shutil.copy2(row["src"], target)
-            done += 1
-        yield (done,)
-
-    for k, c in enumerate(clusters):
-        if stop is not None and stop():
-            break
-        os.makedirs(os.path.join(output, c["folder"]), exist_ok=True)
-        # one folder is one task's: names in it are given out in order
-        own = plan.where(F.col("cluster_id") == c["id"]).select("src", "folder").coalesce(1).sortWithinPartitions("src")
-        summary[c["name"]] = sum(r[0] for r in own.rdd.mapPartitions(copy).collect())
+                shutil.copy2(row.src, os.path.join(folder, name))
+        counts = pd.Series([r.cluster_id for r in rows], dtype="int64").value_counts()
+        return pd.DataFrame({"cluster_id": counts.index, "n": counts.to_numpy()})
+
+    at = 0
+    while at < len(clusters) and not (stop is not None and stop()):
+        end = at + PER_JOB
+        while end < len(clusters) and clusters[end]["folder"] == clusters[end - 1]["folder"]:  # a folder is one task's
+            end += 1
+        some = clusters[at:end]
+        for c in some:
+            os.makedirs(os.path.join(output, c["folder"]), exist_ok=True)
+        ids = [c["id"] for c in some]
+        found = pictures.where(F.col("cluster_id").isin(ids)).groupBy("folder").applyInPandas(copy, "cluster_id long, n long").collect()
+        done |= dict.fromkeys(ids, 0) | {r["cluster_id"]: r["n"] for r in found}
+        at = min(end, len(clusters))
         if on_progress:
-            on_progress(k + 1, len(clusters))
-    plan.unpersist()
+            on_progress(at, len(clusters))
+    summary: dict[str, int] = {}
+    for c in sorted(clusters, key=lambda c: c["id"]):
+        if c["id"] in done:
+            summary[c["name"]] = summary.get(c["name"], 0) + done[c["id"]]
     return summary

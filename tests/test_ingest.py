@@ -76,13 +76,49 @@ def test_export(spark, make, tmp_path):
     existing = spark.createDataFrame([("Ann_Lee", "photo.jpg")], "folder string, file_name string")
     assert sorted(r["file_name"] for r in export.export_plan(c, existing).collect()) == ["missing.jpg", "photo_1.jpg", "photo_2.jpg"]
     seen = []
-    assert export.run_export(c, str(tmp_path / "out"), on_progress=lambda d, n: seen.append((d, n))) == {"Ann/Lee": 2, "Empty": 0} and seen == [(1, 2), (2, 2)]
+    assert export.run_export(c, str(tmp_path / "out"), on_progress=lambda d, n: seen.append((d, n))) == {"Ann/Lee": 2, "Empty": 0} and seen == [(2, 2)]
     assert sorted(os.listdir(tmp_path / "out/Ann_Lee")) == ["photo.jpg", "photo_1.jpg"] and os.path.isdir(tmp_path / "out/Empty")
     export.run_export(c, str(tmp_path / "out"), symlink=True)
     assert os.path.islink(tmp_path / "out/Ann_Lee/photo_2.jpg")
     assert export.run_export(c, str(tmp_path / "none"), stop=lambda: True) == {}
 
 
+def test_names_are_free_in_their_folder(spark, make):
+    """Against a plain walk in order of cluster and path, with natural names that look numbered."""
+    import random
+
+    r = random.Random(4)
+    names = ["a.jpg", "a_1.jpg", "a_1_1.jpg", "a_2.jpg", "b", "b_1", ".hid", ".hid_1", "x_7.png", "c.tar.gz", "c.tar_1.gz"]
+    paths = sorted({f"/{k}/{r.choice(names)}" for k in range(60)})
+    photos = [{"id": i, "path": p} for i, p in enumerate(paths)]
+    # three clusters, of which two share a folder
+    c = make([{"id": i, "photo_id": i, "cluster": 1 + i % 3} for i in range(len(paths))], [(1, "Ann/Lee"), (2, "Bob"), (3, "Ann_Lee")], photos)
+    for old in ([], ["a.jpg", "a_3.jpg", "b_1"]):
+        existing = spark.createDataFrame([("Ann_Lee", n) for n in old], "folder string, file_name string")
+        want, taken = {}, {"Ann_Lee": set(old), "Bob": set()}
+        for cluster, folder in ((1, "Ann_Lee"), (2, "Bob"), (3, "Ann_Lee")):
+            for p in [p for i, p in enumerate(paths) if 1 + i % 3 == cluster]:
+                base = os.path.basename(p)
+                stem, ext = os.path.splitext(base)
+                name, k = base, 0
+                while name in taken[folder]:
+                    k += 1
+                    name = f"{stem}_{k}{ext}"
+                taken[folder].add(name)
+                want[cluster, p] = name
+        rows = export.export_plan(c, existing if old else None).collect()
+        assert {(x["cluster_id"], x["src"]): x["file_name"] for x in rows} == want and len(rows) == len(want)
+
+
+def test_shared_folder_and_discard(spark, make, tmp_path):
+    from lightbox.plans import materialize
+
+    kept = materialize.written(make([{"id": 1}]).photos, "t")
+    assert kept.count() == 1 and os.path.isdir(materialize.run_dir(spark))
+    materialize.discard(spark)
+    assert not os.path.isdir(materialize.run_dir(spark))
+
+
 def test_state_survives_saving(spark, make, tmp_path):
     c = make([{"id": 1, "cluster": 1}], [(1, "Alice")]).to(last_auto=9)
     c.save(str(tmp_path / "cat"))

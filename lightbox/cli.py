@@ -6,6 +6,7 @@ it and swaps the folders, so a failure leaves the old one whole."""
 from __future__ import annotations
 
 import argparse
+import logging
 import os
 import shutil
 import sys
@@ -17,8 +18,9 @@ from pyspark.sql import SparkSession
 from . import __version__
 from .catalog import Catalog
 from .operators import clustering, curation, duplicates, export, ingest
-from .plans import views
-from .sources.files import discover
+from .plans import materialize, views
+
+log = logging.getLogger("lightbox")
 
 
 def session() -> SparkSession:
@@ -43,22 +45,59 @@ def saved(catalog: Catalog, path: str) -> None:
     shutil.rmtree(old, ignore_errors=True)
 
 
-def no_detector():
-    """Stores pictures without looking for objects: models aren't part of this package."""
-    return lambda path, content: {"file_size": len(content), "format": os.path.splitext(path)[1][1:].upper(), "scale": 1.0, "boxes": []}
+def settings_path(catalog: str) -> str:
+    return os.path.abspath(catalog) + "-settings.json"
+
+
+def log_path(catalog: str) -> str:
+    return os.path.abspath(catalog) + ".log"
+
+
+def now() -> str:
+    return time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime())
+
+
+def committed(spark: SparkSession, path: str) -> Callable[[Catalog], Catalog]:
+    """Saves a state and goes on from what was saved."""
+
+    def save(catalog: Catalog) -> Catalog:
+        saved(catalog, path)
+        return Catalog.load(spark, path)
 
+    return save
 
-def scan(spark, args, analyser: Callable = no_detector) -> int:
-    catalog = Catalog.load(spark, args.catalog) if os.path.isdir(os.path.join(args.catalog, "meta")) else Catalog.empty(spark)
-    files = discover(spark, args.folder, not args.flat, content=True)
-    stale = ingest.stale_files(files.select("path", "mtime"), catalog.photos)
-    found = ingest.written(ingest.analyse(files.join(stale.select("path"), "path", "left_semi"), analyser), "analysed")
-    counts = ingest.scan_counts(files, stale, found)
-    saved(ingest.store(catalog, found, time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime()), min_face=args.min_face), args.catalog)
+
+def scan(spark, args, analyser: Callable = ingest.headers) -> int:
+    exists = os.path.isdir(os.path.join(args.catalog, "meta"))
+    catalog = Catalog.load(spark, args.catalog) if exists else Catalog.empty(spark)
+    show_progress = lambda **c: log.info("%s of %s", c["processed"] + c["errors"], c["total"] - c["skipped"])
+    save = committed(spark, args.catalog)
+    state, counts = ingest.scan(catalog, args.folder, now(), analyser, not args.flat, args.commit, save, show_progress, min_face=args.min_face)
+    if not exists and not counts["processed"]:
+        save(state)
     print(", ".join(f"{k}: {v}" for k, v in counts.items()))
     return 0
 
 
+def backfill(spark, args) -> int:
+    _, n = ingest.backfill(opened(spark, args.catalog), args.commit, committed(spark, args.catalog), lambda done, of: log.info("%s of %s", done, of))
+    print(f"{n} photos got a hash")
+    return 0
+
+
+def serve(spark, args) -> int:
+    from .server import serve as made
+
+    opened(spark, args.catalog)
+    server = made(spark, args.catalog, args.port)
+    print(f"http://127.0.0.1:{server.server_port}/")
+    try:
+        server.serve_forever()
+    except KeyboardInterrupt:
+        server.server_close()
+    return 0
+
+
 def cluster(spark, args) -> int:
     catalog = opened(spark, args.catalog)
     if args.incremental:
@@ -173,7 +212,10 @@ def parser() -> argparse.ArgumentParser:
     number = lambda n: ((n,), {"type": int})
     eps = (("--threshold",), {"type": float, "default": clustering.EPS})
     least = (("--min-size",), {"type": int, "default": clustering.MIN_SAMPLES})
-    add("scan", scan, (("folder",), {}), (("--flat",), {"action": "store_true"}), (("--min-face",), {"type": int, "default": None}))
+    commit = (("--commit",), {"type": int, "default": ingest.COMMIT})
+    add("scan", scan, (("folder",), {}), (("--flat",), {"action": "store_true"}), (("--min-face",), {"type": int, "default": None}), commit)
+    add("backfill-hashes", backfill, commit)
+    add("serve", serve, (("--port",), {"type": int, "default": 5050}))
     add("cluster", cluster, eps, least, (("--incremental",), {"action": "store_true"}))
     add("show", show)
     add("stats", stats)
@@ -194,7 +236,16 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    return args.run(session(), args)
+    logging.basicConfig(level=[logging.WARNING, logging.INFO, logging.DEBUG][min(2, args.verbose)], format="%(asctime)s %(levelname)s %(name)s: %(message)s")
+    kept = logging.FileHandler(log_path(args.catalog), delay=True)
+    kept.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s"))
+    log.addHandler(kept)
+    spark = session()
+    try:
+        return args.run(spark, args)
+    finally:
+        materialize.discard(spark)
+        log.removeHandler(kept)
 
 
 if __name__ == "__main__":

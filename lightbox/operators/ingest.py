@@ -1,22 +1,28 @@
-"""Ingestion: which files are new or changed, per-photo analysis, storing with counters."""
+"""Ingestion: which files are new or changed, per-photo analysis, storing with counters, and the scan of a folder."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from .. import schema
 from ..catalog import Catalog
 from ..functions.geometry import large_enough, rescaled
+from ..functions.hashes import phash64
+from ..functions.media import described
 from ..functions.times import exif_iso, is_stale
 from ..plans.materialize import written
+from ..sources import files as sources
 from .curation import drop_photos
 
-#: Photos that are stored together by the streaming ingest.
+#: Photos that are read and stored together, so that a scan that breaks off loses no more than these.
 COMMIT = 50
 CONFIDENCE = 0.9
 
@@ -32,6 +38,52 @@ class Analyser(Protocol):
     def __call__(self, path: str, content: bytes) -> dict: ...
 
 
+class Detector(Protocol):
+    """Finds objects in a picture (rows, columns, channels as bytes): dicts with x, y, w, h, score and, if it knows them, landmarks."""
+
+    def __call__(self, pixels: np.ndarray) -> list[dict]: ...
+
+
+class Embedder(Protocol):
+    """The vector of an object's picture, cut out and aligned."""
+
+    def __call__(self, pixels: np.ndarray) -> np.ndarray: ...
+
+
+def headers() -> Analyser:
+    """An analyser that reads headers only and looks for no objects: models aren't part of this package."""
+    return lambda path, content: {"file_size": len(content), "scale": 1.0, "boxes": []} | described(content)
+
+
+def object_table(detector: Callable[[], Detector], embedder: Callable[[], Embedder]):
+    """A table function (height, width, channels, data) -> rows (x, y, w, h, score, embedding) of a picture's objects,
+    for lateral joins with rows of Spark's image source. Both models are made once a worker; of boxes that overlap much the
+    surest stays; a picture that can't be read has no rows."""
+    from ..functions import pixels
+
+    @udtf(returnType=BOX)
+    class Objects:
+        def __init__(self):
+            self.detect, self.embed = detector(), embedder()
+
+        def eval(self, height: int, width: int, channels: int, data: bytes):
+            if data is None or len(data) != height * width * channels:
+                return
+            image, factor = pixels.downscaled(np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels))
+            found = self.detect(image)
+            if not found:
+                return
+            boxes, scores = np.array([[f[k] for k in "xywh"] for f in found], dtype=float), np.array([f["score"] for f in found], dtype=float)
+            for k in pixels.suppressed(boxes, scores):
+                x, y, w, h = boxes[k]
+                marks = found[k].get("landmarks")
+                part = pixels.aligned(image, np.asarray(marks)) if marks is not None else image[max(0, int(y)) : int(y + h), max(0, int(x)) : int(x + w)]
+                vector = np.asarray(self.embed(part), dtype=float)
+                yield float(x / factor), float(y / factor), float(w / factor), float(h / factor), float(scores[k]), [float(v) for v in vector]
+
+    return Objects
+
+
 def stale_files(files: DataFrame, photos: DataFrame) -> DataFrame:
     """Files (path, mtime) that the catalog doesn't have or that changed since their scan."""
     known = photos.select(F.col("path"), "scanned_at", F.lit(True).alias("known"))
@@ -96,8 +148,75 @@ def scan_counts(files: DataFrame, stale: DataFrame, analysed: DataFrame) -> dict
     return {"total": total, "skipped": total - todo, "processed": row[0], "errors": row[1], "faces_found": row[2]}
 
 
+def unhashed(photos: DataFrame) -> DataFrame:
+    """(id, path) of the photos without a hash: the work list of a backfill."""
+    return photos.where("phash is null").select("id", "path")
+
+
 def backfill_hashes(catalog: Catalog, hashes: DataFrame) -> Catalog:
-    """Fills missing hashes from ``hashes`` (path, phash)."""
-    new = hashes.select("path", F.col("phash").alias("new_phash"))
+    """Fills missing hashes from ``hashes`` (path, phash); hashes that are there stay."""
+    new = hashes.where("phash is not null").groupBy("path").agg(F.first("phash").alias("new_phash"))
     photos = catalog.photos.join(new, "path", "left").withColumn("phash", F.coalesce("phash", "new_phash"))
     return catalog.to(photos=photos.select(*catalog.photos.columns))
+
+
+def in_commits(paths: DataFrame, size: int = COMMIT) -> Iterator[list[str]]:
+    """The paths in order, so many at a time; the driver holds one lot (and a partition of the sorted list)."""
+    rows = paths.select("path").orderBy("path").toLocalIterator()
+    while lot := [r["path"] for r in islice(rows, size)]:
+        yield lot
+
+
+def hashes_of(spark, paths: list[str]) -> DataFrame:
+    """(path, phash) of picture files; null where they can't be decoded."""
+    return sources.pixels(spark, paths).select("path", phash64("height", "width", "channels", "data").alias("phash"))
+
+
+def scan(
+    catalog: Catalog, folder: str, scanned_at: str, factory: Callable[[], Analyser] = headers, recursive: bool = True, commit: int = COMMIT, save: Callable[[Catalog], Catalog] | None = None,
+    on_progress: Callable[..., None] | None = None, stop: Callable[[], bool] | None = None, confidence: float = CONFIDENCE, min_face: int | None = None,
+) -> tuple[Catalog, dict[str, int]]:
+    """All new or changed pictures of ``folder`` in the catalog, with size, time taken, hash and objects; (catalog, counts).
+
+    Files are listed first; only stale ones are read, ``commit`` of them at a time. Each lot is stored whole and passed to ``save``
+    (which returns the catalog to go on with; by default ``settled``), so that a scan that breaks off or is stopped keeps
+    the lots before. A file that can't be read counts as an error and is tried again by the next scan."""
+    spark = catalog.photos.sparkSession
+    listed = written(sources.discover(spark, folder, recursive), "listed")
+    stale = written(stale_files(listed.select("path", "mtime"), catalog.photos), "stale")
+    total, todo = listed.count(), stale.count()
+    counts = {"total": total, "skipped": total - todo, "processed": 0, "errors": 0, "faces_found": 0}
+    for lot in in_commits(stale, commit):
+        if stop is not None and stop():
+            break
+        good = boxes = 0
+        if there := sources.readable(spark, lot):  # others went since they were listed
+            found = analyse(sources.contents(spark, there), factory)
+            found = written(found.drop("phash").join(hashes_of(spark, there), "path", "left").select(*found.columns), "analysed")
+            good, boxes = found.agg(F.count_if(F.col("error").isNull()), F.coalesce(F.sum(F.size("boxes")), F.lit(0))).first()
+            catalog = store(catalog, found, scanned_at, confidence, min_face)
+            catalog = catalog.settled() if save is None else save(catalog)
+        counts |= {"processed": counts["processed"] + good, "errors": counts["errors"] + len(lot) - good, "faces_found": counts["faces_found"] + boxes}
+        if on_progress:
+            on_progress(**counts)
+    return catalog, counts
+
+
+def backfill(catalog: Catalog, commit: int = COMMIT, save: Callable[[Catalog], Catalog] | None = None, on_progress: Callable[[int, int], None] | None = None, stop: Callable[[], bool] | None = None) -> tuple[Catalog, int]:
+    """Hashes for photos without one, from their files, so many at a time; (catalog, photos that got one)."""
+    spark = catalog.photos.sparkSession
+    work = written(unhashed(catalog.photos), "unhashed")
+    total, seen, updated = work.count(), 0, 0
+    for lot in in_commits(work, commit):
+        if stop is not None and stop():
+            break
+        if there := sources.readable(spark, lot):
+            new = written(hashes_of(spark, there).where("phash is not null"), "hashes")
+            if n := new.count():
+                catalog = backfill_hashes(catalog, new)
+                catalog = catalog.settled() if save is None else save(catalog)
+                updated += n
+        seen += len(lot)
+        if on_progress:
+            on_progress(seen, total)
+    return catalog, updated

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import re
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import cli
 from .catalog import Catalog
-from .operators import clustering, curation, duplicates
+from .operators import clustering, curation, duplicates, export, ingest
 from .operators.curation import ActionError, require_int
 from .plans import views
 from .sources import files
@@ -44,6 +45,57 @@ class App:
     def background(self, kind: str, action) -> dict:
         return {"task_id": self.tasks.submit(kind, lambda task: self.change(action)).id}
 
+    def settings(self) -> files.Settings:
+        return files.Settings.load(cli.settings_path(self.path))
+
+    def configure(self, body: dict) -> dict:
+        """The known fields of ``body`` changed, if all values are in range."""
+        found = self.settings()
+        for name, value in body.items():
+            if name in found.__dataclass_fields__:
+                setattr(found, name, type(getattr(found, name))(value))
+        found.checked().save(cli.settings_path(self.path))
+        return found.__dict__ | {"ok": True}
+
+    def scan(self, folder: str, recursive: bool) -> dict:
+        """A scan as a task: every lot is saved, progress is shown, and a stop is heeded between lots."""
+        if not os.path.isdir(folder):
+            raise ActionError("folder not found", 400)
+        found = self.settings()
+        found.remember(folder)
+        found.save(cli.settings_path(self.path))
+
+        def run(task):
+            with self.lock:
+                catalog = self.catalog() if os.path.isdir(os.path.join(self.path, "meta")) else Catalog.empty(self.spark)
+                _, counts = ingest.scan(catalog, folder, cli.now(), recursive=recursive, save=cli.committed(self.spark, self.path), on_progress=task.report, stop=task.stop.is_set, confidence=found.confidence, min_face=found.min_face)
+            task.report(last=True, **counts)
+            return counts
+
+        return {"task_id": self.tasks.submit("scan", run).id}
+
+    def backfill(self) -> dict:
+        def run(task):
+            with self.lock:
+                _, n = ingest.backfill(self.catalog(), save=cli.committed(self.spark, self.path), on_progress=lambda done, of: task.report(done=done, total=of), stop=task.stop.is_set)
+            return {"updated": n}
+
+        return {"task_id": self.tasks.submit("backfill", run).id}
+
+    def export(self, output: str, symlink: bool) -> dict:
+        if not output:
+            raise ActionError("output is missing", 400)
+
+        def run(task):
+            summary = export.run_export(self.catalog(), output, symlink, lambda done, of: task.report(done=done, total=of), task.stop.is_set)
+            return {"exported": sum(summary.values()), "summary": summary}
+
+        return {"task_id": self.tasks.submit("export", run).id}
+
+    def logs(self, n: int) -> list[str]:
+        path = cli.log_path(self.path)
+        return [r["line"] for r in files.log_tail(self.spark, path, n).collect()] if os.path.exists(path) else []
+
     def get(self, path: str, query: dict) -> dict | list | None:
         c = self.catalog
         simple = {
@@ -57,6 +109,8 @@ class App:
             "/api/dismissed": lambda: rows(views.dismissed_faces(c())),
             "/api/duplicates": lambda: rows(views.duplicate_groups(c())),
             "/api/browse": lambda: files.browse(query.get("path", ".")),
+            "/api/settings": lambda: self.settings().__dict__,
+            "/api/logs": lambda: {"lines": self.logs(require_int(query.get("n", 200), "n"))},
         }
         if path in simple:
             return simple[path]()
@@ -117,6 +171,17 @@ class App:
             return self.background("cluster", lambda c: (lambda r: (r[0], {"clusters": r[1]}))(clustering.full_clustering(c, eps)))
         if path == "/api/detect-duplicates":
             return self.background("duplicates", lambda c: (lambda r: (r[0], {"groups": r[1]}))(duplicates.detect_duplicates(c, int(body.get("threshold", duplicates.BITS)))))
+        if path == "/api/scan":
+            return self.scan(str(body.get("folder", "")), bool(body.get("recursive", True)))
+        if path == "/api/backfill-hashes":
+            return self.backfill()
+        if path == "/api/export":
+            return self.export(str(body.get("output", "")), bool(body.get("symlink", False)))
+        if path == "/api/settings":
+            return self.configure(body)
+        if path == "/api/logs/clear":
+            files.truncate_log(cli.log_path(self.path))
+            return {"ok": True}
         if m := re.fullmatch(r"/api/task/(\w+)/cancel", path):
             return {"cancelled": self.tasks.cancel(m[1])}
         return None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from dataclasses import asdict, dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,19 +15,50 @@ EXTENSIONS = ["jpg", "jpeg", "png", "bmp", "tiff", "tif", "webp", "heic", "heif"
 DATA_DIR = ".lightbox"
 
 
+#: The same as a file name pattern in any case, so that other files aren't even listed.
+PICTURES = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in EXTENSIONS) + "}"
+
+
+def plain_path(column):
+    """Paths as the local system writes them."""
+    return F.regexp_replace(column, "^file:/+", "/")
+
+
+def as_it_is(path: str) -> str:
+    """A path as a pattern that fits only itself."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def discover(spark: SparkSession, root: str, recursive: bool = True, data_dir: str = DATA_DIR, content: bool = False) -> DataFrame:
     """(path, mtime, length[, content]) of pictures under ``root`` in order of path; the catalog's own folder
     is left out. Extensions match in any case. Without ``content`` no file is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.*").load(root)
-    path = F.regexp_replace("path", "^file:/+", "/")
-    wanted = files.select(path.alias("path"), F.col("modificationTime").alias("mtime"), "length", *(["content"] if content else []))
-    return wanted.where(F.lower("path").rlike(rf"\.({'|'.join(EXTENSIONS)})$") & ~F.contains("path", F.lit(f"/{data_dir}/"))).orderBy("path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", PICTURES).load(root)
+    wanted = files.select(plain_path("path").alias("path"), F.col("modificationTime").alias("mtime"), "length", *(["content"] if content else []))
+    return wanted.where(~F.contains("path", F.lit(f"/{data_dir}/"))).orderBy("path")
+
+
+def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, content) of the files."""
+    return spark.read.format("binaryFile").load(list(map(as_it_is, paths))).select(plain_path("path").alias("path"), "content")
+
+
+def readable(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths that are there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def there(path: str) -> bool:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf).exists(p)
+
+    return [p for p in paths if there(p)]
 
 
-def pixels(spark: SparkSession, root: str) -> DataFrame:
-    """(path, height, width, channels, data) of the pictures that Spark's image source can decode."""
-    image = spark.read.format("image").option("dropInvalid", True).load(root)
-    return image.select(F.regexp_replace("image.origin", "^file:/+", "/").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+def pixels(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, height, width, channels, data) of the pictures in a folder or a list of files that Spark's image source can decode."""
+    image = spark.read.format("image").option("dropInvalid", True)
+    image = image.load(paths if isinstance(paths, str) else list(map(as_it_is, paths)))
+    origin = F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B")))
+    return image.select(plain_path(origin).alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
 
 
 def log_tail(spark: SparkSession, path: str, n: int = 200) -> DataFrame:

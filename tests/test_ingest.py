@@ -53,6 +53,97 @@ def test_scan_stores_skips_and_isolates_errors(spark, folder):
     assert sorted(r["id"] for r in again.photos.collect()) == [2, 3] and sorted(r["id"] for r in again.faces.collect()) == [2, 3]
 
 
+def png(gray, text: bytes = b"") -> bytes:
+    """A gray picture file, with an EXIF block if there is a text."""
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = b"".join(b"\0" + bytes(int(v) for v in row) for row in gray)
+    exif = chunk(b"eXIf", b"II*\0\x08\0\0\0\x01\0" + struct.pack("<HHII", 0x0132, 2, 20, 26) + bytes(4) + text.ljust(20, b"\0")) if text else b""
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", len(gray[0]), len(gray), 8, 0, 0, 0, 0)) + exif + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def jpeg(width, height, taken=None, big_endian=False) -> bytes:
+    """Header segments only: an EXIF directory within the first directory, and a frame."""
+    import struct
+
+    o = ">" if big_endian else "<"
+    text = (taken or "").encode() + b"\0"
+    tiff = (b"MM\0*" if big_endian else b"II*\0") + struct.pack(o + "I", 8) + struct.pack(o + "HHHII", 1, 0x8769, 4, 1, 26) + bytes(4)
+    tiff += struct.pack(o + "HHHII", 1, 0x9003, 2, len(text), 44) + bytes(4) + text
+    app1 = b"Exif\0\0" + tiff if taken else b"other"
+    return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(app1) + 2) + app1 + b"\xff\xff\xc2" + struct.pack(">HBHHB", 11, 8, height, width, 1) + b"\1\x11\0" + b"\xff\xda"
+
+
+def test_headers_tell_format_size_and_time():
+    import struct
+
+    from lightbox.functions.media import described
+
+    d = lambda data: tuple(described(data)[k] for k in ("format", "width", "height", "exif_text"))
+    assert d(jpeg(640, 480, "2021:05:06 07:08:09")) == ("JPEG", 640, 480, "2021:05:06 07:08:09") == d(jpeg(640, 480, "2021:05:06 07:08:09", True))
+    assert d(jpeg(7, 5)) == ("JPEG", 7, 5, None) and d(b"\xff\xd8\xff\xe1\0") == ("JPEG", None, None, None)
+    assert d(png([[1, 2, 3]] * 2, b"2020:01:02 03:04:05")) == ("PNG", 3, 2, "2020:01:02 03:04:05")
+    assert d(b"BM" + bytes(16) + struct.pack("<ii", 9, -4)) == ("BMP", 9, 4, None)
+    assert d(b"RIFF\0\0\0\0WEBPVP8X" + struct.pack("<I", 10) + bytes(4) + (99).to_bytes(3, "little") + (49).to_bytes(3, "little")) == ("WEBP", 100, 50, None)
+    tiff = b"II*\0\x08\0\0\0" + struct.pack("<H", 2) + struct.pack("<HHIHH", 0x100, 3, 1, 33, 0) + struct.pack("<HHII", 0x101, 4, 1, 44) + bytes(4)
+    assert d(tiff) == ("TIFF", 33, 44, None) and d(tiff[:16]) == ("TIFF", None, None, None)
+    for bad in (b"", b"text", b"GIF89a"):
+        with pytest.raises(ValueError):
+            described(bad)
+
+
+def test_scan_fills_the_catalog_in_commits(spark, tmp_path, capsys, monkeypatch):
+    import numpy as np
+
+    r = np.random.RandomState(0)
+    small = np.kron(r.randint(0, 255, (8, 8)), np.ones((8, 8), dtype=int))
+    other = np.kron(r.randint(0, 255, (8, 8)), np.ones((8, 8), dtype=int))
+    folder, cat = tmp_path / "pics", str(tmp_path / "cat")
+    folder.mkdir()
+    for name, data in {"a.png": png(small, b"2020:01:02 03:04:05"), "b[1].PNG": png(np.kron(small, np.ones((2, 2), dtype=int))), "c.png": png(other), "d.jpg": jpeg(30, 20, "2019:01:01 00:00:00"), "e.png": b"broken", "note.txt": b"x"}.items():
+        (folder / name).write_bytes(data)
+        os.utime(folder / name, (1_700_000_000, 1_700_000_000))
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    monkeypatch.setattr(cli.materialize, "discard", lambda spark: None)
+    assert cli.main(["-v", "scan", str(folder), "--catalog", cat, "--commit", "2"]) == 0
+    assert capsys.readouterr().out.strip() == "total: 5, skipped: 0, processed: 4, errors: 1, faces_found: 0"
+    rows = {os.path.basename(x["path"]): x for x in Catalog.load(spark, cat).photos.collect()}
+    assert [(n, x["width"], x["height"], x["format"], x["exif_date"]) for n, x in sorted(rows.items())] == [
+        ("a.png", 64, 64, "PNG", "2020-01-02T03:04:05"), ("b[1].PNG", 128, 128, "PNG", None), ("c.png", 64, 64, "PNG", None), ("d.jpg", 30, 20, "JPEG", "2019-01-01T00:00:00"),
+    ]
+    assert rows["a.png"]["file_size"] == (folder / "a.png").stat().st_size and rows["d.jpg"]["phash"] is None and rows["a.png"]["phash"] == rows["b[1].PNG"]["phash"] != rows["c.png"]["phash"]
+    assert cli.main(["find-duplicates", "--catalog", cat]) == 0 and "1 duplicate groups" in capsys.readouterr().out
+    # fresh files are skipped, failed ones tried again; hashes that are missing are filled from the files
+    assert cli.main(["scan", str(folder), "--catalog", cat]) == 0 and capsys.readouterr().out.strip() == "total: 5, skipped: 4, processed: 0, errors: 1, faces_found: 0"
+    c = Catalog.load(spark, cat)
+    cut = ingest.written(c.photos.withColumn("phash", ingest.F.when(ingest.F.col("path").contains("c.png"), ingest.F.col("phash"))), "t")
+    assert sorted(os.path.basename(x["path"]) for x in ingest.unhashed(cut).collect()) == ["a.png", "b[1].PNG", "d.jpg"]
+    (folder / "a.png").unlink()
+    seen = []
+    back, n = ingest.backfill(c.to(photos=cut), 2, on_progress=lambda done, of: seen.append((done, of)))
+    assert n == 1 and seen == [(2, 3), (3, 3)]
+    assert {os.path.basename(x["path"]): x["phash"] for x in back.photos.collect()} == {n: x["phash"] if n[0] in "bc" else None for n, x in rows.items()}
+    # a scan that is stopped keeps the lots before
+    stops = iter([False, True])
+    state, counts = ingest.scan(Catalog.empty(spark), str(folder), "2999-01-01 00:00:00", commit=2, stop=lambda: next(stops))
+    assert counts["processed"] == 2 and state.photos.count() == 2
+
+
+def test_objects_of_pictures_by_a_table_function(spark):
+    import numpy as np
+
+    def detector():
+        return lambda image: [{"x": 1, "y": 1, "w": 4, "h": 4, "score": 0.9}, {"x": 2, "y": 1, "w": 4, "h": 4, "score": 0.8}, {"x": 8, "y": 8, "w": 2, "h": 2, "score": 0.7}] if image.shape[0] > 5 else []
+
+    spark.udtf.register("objects", ingest.object_table(detector, lambda: lambda part: np.array([part.mean(), part.shape[0]])))
+    image = np.full((12, 12, 3), 7, dtype=np.uint8)
+    spark.createDataFrame([(1, 12, 12, 3, bytearray(image.tobytes())), (2, 2, 2, 3, bytearray(12)), (3, 9, 9, 3, bytearray(b"x")), (4, 9, 9, 3, None)], "id int, h int, w int, c int, d binary").createOrReplaceTempView("pictures")
+    got = [tuple(r) for r in spark.sql("select id, x, score, embedding from pictures, lateral objects(h, w, c, d) order by id, x").collect()]
+    assert got == [(1, 1.0, 0.9, [7.0, 4.0]), (1, 8.0, 0.7, [7.0, 2.0])]
+
+
 def test_unreadable_scan_time_is_fresh(spark):
     df = spark.sql("select '/x' as path, timestamp'2024-01-02' as mtime union all select '/y', timestamp'2024-01-02'")
     known = spark.createDataFrame([("/x", "gibberish"), ("/y", "2024-01-01T00:00:00")], "path string, scanned_at string")

@@ -10,7 +10,8 @@ so the ids are those of the tiktoken library. A document's ids are then gathered
 pre-tokens' ids.
 
 Defined results: a null text is an empty one (no ids); rows are encoded one by one, so nulls,
-ties and repeated rows in other columns change nothing; very long texts are one chunk each.
+ties and repeated rows in other columns change nothing; very long texts are one chunk each; an empty table gives an
+empty result; other columns pass through, but for those with the results' names, which are left out.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import lean
+from .common import lean, named, other_names, plain
 
 #: Pre-tokens that a worker keeps with their ids before it starts anew, and characters in a chunk.
 KEPT_WORDS = 200_000
@@ -218,9 +219,10 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_CHARS
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = True) -> DataFrame:
     """The columns of ``docs`` other than text, with n_tokens, and with ``digests`` ids_sha256 and
-    decoded_sha256, else ids (an array of ints). ``path`` must be readable on the executors."""
-    others = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*others).schema.add("n_tokens", "long")
+    decoded_sha256, else ids (an array of ints); columns of ``docs`` with these names are left out. ``path`` must be readable on the executors."""
+    made_here = ["n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids"])]
+    others = other_names(docs, "text", *made_here)
+    schema = docs.select(*named(*others)).schema.add("n_tokens", "long")
     schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string") if digests else schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +232,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = T
         for batch in batches:
             for rows, texts in chunks(batch):
                 ids, counts = coder.encode(texts)
-                keep = [rows.column(i) for i, name in enumerate(rows.schema.names) if name != "text"]
+                keep = rows.columns[:-1]
                 made = [pa.array(counts, pa.int64())]
                 if digests:
                     raw = memoryview(ids.astype("<u4").tobytes())
@@ -241,18 +243,18 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = T
                     made.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids, pa.int32())))
                 yield pa.RecordBatch.from_arrays(keep + made, names=others + schema.names[len(others) :])
 
-    return docs.select(*others, "text").mapInArrow(lean(run), schema)
+    return plain(docs.select(*named(*others), "text")).mapInArrow(lean(run), schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Replaces ``ids`` by ``text``. Ids that don't make valid UTF-8 give U+FFFD there; null ids a null text."""
-    others = [c for c in encoded.columns if c != "ids"]
+    """Replaces ``ids`` by ``text``; another column text is left out. Ids that don't make valid UTF-8 give U+FFFD there; null ids a null text."""
+    others = other_names(encoded, "ids", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = replayer(path, pattern)
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("ids")).to_pylist()
+            lists = batch.column(batch.num_columns - 1).to_pylist()
             texts = [None if x is None else bytes(coder.decode(np.array(x, dtype=np.int64), np.array([len(x)]))[0]).decode(errors="replace") for x in lists]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in others] + [pa.array(texts, pa.string())], names=[*others, "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*others, "text"])
 
-    return encoded.select(*others, "ids").mapInArrow(lean(run), encoded.select(*others).schema.add("text", "string"))
+    return plain(encoded.select(*named(*others), "ids")).mapInArrow(lean(run), encoded.select(*named(*others)).schema.add("text", "string"))

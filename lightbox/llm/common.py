@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.materialize import shared_dir, written
 
-__all__ = ["SPACE", "WORD", "fresh", "let", "named", "other_names", "lean", "shared_dir", "sums_before", "trim", "written"]
+__all__ = ["SPACE", "WORD", "fresh", "let", "named", "other_names", "plain", "lean", "shared_dir", "sums_before", "trim", "written"]
 
 #: ASCII white space as the contracts define it, and its complement (a word).
 SPACE = r"[\x20\x09-\x0D]"
@@ -37,6 +37,11 @@ def named(*names: str) -> list[Column]:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` with its columns in their order, those with odd names (``a.b``) renamed, as mapInArrow needs it."""
+    return df.select(*(c.alias(n if n.isidentifier() else f"odd_{i}") for i, (n, c) in enumerate(zip(df.columns, named(*df.columns), strict=True))))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for a row, however often it is used."""
     return F.transform(F.array(value), body)[0]

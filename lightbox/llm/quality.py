@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .bpe import chunks
-from .common import lean, trim, written
+from .common import lean, named, other_names, plain, trim, written
 
 MOST_LABELLED = 6_000
 #: Rounds, the share of the unlabelled documents that a view passes on in each, and their weight against all labelled ones.
@@ -398,8 +398,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model, only_kept: bool = False) -> DataFrame:
     """``docs`` with SCORES; with ``only_kept`` the kept documents as they are."""
-    others = [c for c in docs.columns if c not in SCORES] if not only_kept else docs.columns
-    docs = docs.select(*(F.col(f"`{c}`") for c in others))
+    others = other_names(docs, *SCORES) if not only_kept else docs.columns
+    docs = docs.select(*named(*others))
     schema = StructType(list(docs.schema.fields))
     for name in SCORES[:3] if not only_kept else []:
         schema = schema.add(name, "double")
@@ -412,8 +412,8 @@ def score(docs: DataFrame, model: Model, only_kept: bool = False) -> DataFrame:
                 scores = model.score(np.stack([text_features(t) for t in texts]), np.stack(_meta_rows(rows, texts)))
                 kept = pa.array(scores[2] >= THRESHOLD, pa.bool_())
                 if only_kept:
-                    yield rows.filter(kept)
+                    yield rows.filter(kept).rename_columns(others)
                 else:
                     yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(s, pa.float64()) for s in scores), kept], names=[*others, *SCORES])
 
-    return docs.mapInArrow(lean(run), schema)
+    return plain(docs).mapInArrow(lean(run), schema)

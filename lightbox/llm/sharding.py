@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, fresh, named, other_names, written
 
 #: How much more the byte dimension counts than tokens and rows: the law is on bytes.
 BYTE_WEIGHT = 4.0
@@ -56,7 +56,7 @@ def _packer(n_bins: int, keys: list[str]):
 
 
 def assign_shards(docs: DataFrame, n_shards: int = 8, units_per_block: int = 20_000, fan_in: int = 1_000, hot_split: int = 32) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) for every row of ``docs``.
+    """(doc_id, size, text_crc32, shard, slot, digest) for every row of ``docs``; ``digest`` is the MD5 of the text.
 
     A group of equal texts with more than 1 / (n_shards * hot_split) of all bytes, tokens
     or rows is salted by doc_id; there are at most 3 * n_shards * hot_split such groups,
@@ -111,11 +111,19 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, units_per_block: int = 20_
     else:
         homes = placed.select("digest", "salt", F.col("bin").alias("shard"), "start")
     within = Window.partitionBy("digest", "salt").orderBy("doc_id")
-    return salted.join(homes, ["digest", "salt"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.row_number().over(within) - 1).alias("slot"))
+    return salted.join(homes, ["digest", "salt"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.row_number().over(within) - 1).alias("slot"), "digest")
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8, **options) -> None:
-    """Write ``docs`` as Parquet folders shard=0 .. n_shards-1 by ``assign_shards``. The doc_id
-    must be a key: rows that share one would otherwise be paired with each other's shards."""
-    plan = assign_shards(docs, n_shards, **options).select("doc_id", "shard")
-    docs.join(plan, "doc_id").repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(64))).write.partitionBy("shard").parquet(path)
+    """Write every row of ``docs`` as Parquet folders shard=0 .. n_shards-1 by ``assign_shards``; a column ``shard`` of ``docs`` (in
+    any case) is left out, as the folders' name takes its place. Rows of one doc_id and text, null or not, are
+    alike to the plan and share its places in any order."""
+    mark, copy, shard, plan_id, plan_mark, plan_copy = (fresh(docs, n) for n in ("shard_mark", "shard_copy", "shard_of", "plan_id", "plan_mark", "plan_copy"))
+    same = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    plan = assign_shards(docs, n_shards, **options)
+    plan = plan.select(F.col("doc_id").alias(plan_id), F.col("digest").alias(plan_mark), same("doc_id", "digest").alias(plan_copy), F.col("shard").alias(shard))
+    rows = docs.select(*named(*other_names(docs, "shard"))).withColumn(mark, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    rows = rows.withColumn(copy, same("doc_id", mark))
+    joined = rows.join(plan, F.col("doc_id").eqNullSafe(F.col(plan_id)) & (F.col(mark) == F.col(plan_mark)) & (F.col(copy) == F.col(plan_copy)))
+    kept = joined.select(*named(*other_names(docs, "shard")), F.col(shard).alias("shard"), F.pmod(F.xxhash64(mark, copy), F.lit(64)).alias(copy))
+    kept.repartition("shard", copy).drop(copy).write.partitionBy("shard").parquet(path)

@@ -57,3 +57,14 @@ def test_round_trip(docs, odd):
     ids = bpe.encode_documents(df, PATH, P.PATTERN, digests=False)
     back = {r["doc_id"]: r["text"] for r in bpe.decode_documents(ids.select("doc_id", "ids"), PATH, P.PATTERN).collect()}
     assert back == {i: t or "" for i, t in enumerate(odd)}
+
+
+def test_clashing_columns(docs):
+    df = docs(["a b", None])
+    for name in ("n_tokens", "IDS", "ids_sha256", "decoded_sha256", "odd_0", "a.b"):
+        df = df.withColumn(name, df["doc_id"] + 70)
+    out = bpe.encode_documents(df, PATH, P.PATTERN)
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "size", "kept", "IDS", "odd_0", "a.b", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted((r["IDS"], r["a.b"], r["n_tokens"]) for r in out.collect()) == [(70, 70, 2), (71, 71, 0)]
+    ids = bpe.encode_documents(df, PATH, P.PATTERN, digests=False)
+    assert "IDS" not in ids.columns and [r["text"] for r in bpe.decode_documents(ids, PATH, P.PATTERN).orderBy("doc_id").collect()] == ["a b", ""]

@@ -131,3 +131,14 @@ def test_metadata_of_the_page_count():
     assert quality.meta_features("x", "y", 1 << 40, 1 << 40).max() < quality.N_META
     with pytest.raises(AttributeError):
         quality.text_features(None)
+
+
+def test_clashing_columns(docs, spark):
+    df = docs(["some text of a page", None])
+    for name in ("P_TEXT", "quality_score", "quality", "meta", "odd_3", "a.b"):
+        df = df.withColumn(name, df["doc_id"] + 70)
+    model = quality.fit(df, spark.createDataFrame([], "doc_id long, quality int"))
+    out = quality.score(df, model)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "quality", "meta", "odd_3", "a.b", *quality.SCORES]
+    kept = quality.score(df, model, only_kept=True)
+    assert kept.columns == df.columns and sorted(r["a.b"] for r in kept.collect()) == [70, 71]

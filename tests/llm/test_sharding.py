@@ -50,6 +50,40 @@ def test_copies_stay_together_unless_hot(docs, prose):
     assert len({r["shard"] for r in rows if r["text_crc32"] == crc}) == 1
 
 
+def test_packing_against_a_plain_one():
+    """``place`` puts each vector, largest first, where the dot product with what is left of the capacity is highest."""
+    r = random.Random(9)
+    for n_bins in (2, 3, 8):
+        vectors = [(r.randint(1, 50) ** 2, r.randint(0, 90), 1) for _ in range(60)]
+        got = sharding.place(vectors, n_bins)
+        full = [sum(v[k] for v in vectors) / n_bins for k in range(3)]
+        weight = [sharding.BYTE_WEIGHT, 1.0, 1.0]
+        used = [[0.0] * 3 for _ in range(n_bins)]
+        size = lambda i: max(weight[k] * vectors[i][k] / full[k] for k in range(3))  # noqa: E731, B023
+        for i in sorted(range(60), key=lambda i: (-size(i), i)):
+            gain = [sum((weight[k] * vectors[i][k] / full[k]) * (weight[k] - weight[k] * used[b][k] / full[k]) for k in range(3)) for b in range(n_bins)]
+            assert gain[got[i]] >= max(gain) - 1e-9
+            for k in range(3):
+                used[got[i]][k] += vectors[i][k]
+        sums = [sum(v[0] for v, b in zip(vectors, got, strict=True) if b == k) for k in range(n_bins)]
+        assert max(sums) < 1.15 * sum(sums) / n_bins
+
+
+def test_files_hold_rows_of_null_and_repeated_ids(docs, prose, spark, tmp_path):
+    df = docs(["a b", "c", "c", "a b", None, None, prose(1, 9)], ids=[None, None, 1, 1, 1, None, 1])
+    for name in ("SHARD", "shard_mark", "shard_copy", "plan_id", "slot", "digest", "x.y"):
+        df = df.withColumn(name, df["doc_id"] * 0 + 5)
+    df.unionByName(df).write.parquet(str(tmp_path / "in"))  # every row twice
+    df = spark.read.parquet(str(tmp_path / "in"))
+    sharding.write_shards(df, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(c for c in back.columns if c != "shard") == sorted(c for c in df.columns if c != "SHARD")
+    key = lambda r: (str(r["doc_id"]), str(r["text"]), str(r["slot"]), str(r["x.y"]))
+    assert Counter(map(key, back.collect())) == Counter(map(key, df.collect()))
+    plan = Counter((r["text_crc32"], r["shard"]) for r in shards_of(df))
+    assert Counter((zlib.crc32((r["text"] or "").encode()), r["shard"]) for r in back.collect()) == plan
+
+
 def test_reruns_agree_and_files_hold_all(docs, prose, spark, tmp_path):
     df = docs([prose(k, 20) for k in range(60)])
     assert sorted(map(str, shards_of(df))) == sorted(map(str, shards_of(df.repartition(5))))

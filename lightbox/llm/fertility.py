@@ -38,8 +38,6 @@ BAND, LEAST = 6.0, 50
 #: Deviations are at least this, so that uniform corpora don't reject what hardly differs.
 FLOORS = {"chars_per_token": 0.01, "entropy": 0.03, "byte_share": 0.004}
 
-LEVELS = [["lang", "half"], ["lang", "octave"], ["lang"], []]
-
 MEASURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double, digest binary"
 
 
@@ -119,43 +117,45 @@ def measure(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(lean(run), MEASURES)
 
 
-def _quartiles(usual: DataFrame, keys: list[str]) -> DataFrame:
-    """Bands of the cells of ``keys``; ``usual`` has a text once a language, and here once a cell."""
-    usual = usual if "lang" in keys else usual.dropDuplicates(["digest"])
-    each = [F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(m) for m in FLOORS]
-    found = usual.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *each).where(F.col("n") >= LEAST) if keys else usual.agg(F.count(F.lit(1)).alias("n"), *each)
-    suffix = "_".join(["by", *keys]) if keys else "by_none"
-    bands = [F.struct(F.col(m)[1].alias("mid"), ((F.col(m)[2] - F.col(m)[0]) / 1.349 + floor).alias("dev")).alias(f"{m}_{suffix}") for m, floor in FLOORS.items()]
-    return found.select(*(F.col(k).alias(f"band_{k}_{suffix}") for k in keys), *bands)
+def _quartiles() -> list[Column]:
+    """Aggregates: the number of texts, and of each measure the median and a robust deviation."""
+    each = [F.percentile_approx(m, [0.25, 0.5, 0.75], 2000) for m in FLOORS]
+    return [F.count(F.lit(1)).alias("n"), *(F.struct(q[1].alias("mid"), ((q[2] - q[0]) / 1.349 + floor).alias("dev")).alias(m) for q, (m, floor) in zip(each, FLOORS.items(), strict=True))]
 
 
-def _far(measures: DataFrame, usual: DataFrame) -> DataFrame:
-    """``measures`` with ``far``, the joint distance from the bands that ``usual`` sets."""
-    columns = measures.columns
-    for keys in LEVELS:
-        bands = written(_quartiles(usual, keys), "fertility-bands")
-        suffix = "_".join(["by", *keys]) if keys else "by_none"
-        same = [F.col(k).eqNullSafe(F.col(f"band_{k}_{suffix}")) for k in keys]
-        # without keys it is a single row
-        measures = measures.join(bands, reduce(lambda a, b: a & b, same), "left") if keys else measures.join(F.broadcast(bands))
-
-    def z(m: str) -> Column:
-        band = F.coalesce(*(F.col(f"{m}_" + ("_".join(["by", *keys]) if keys else "by_none")) for keys in LEVELS))
-        return (F.col(m) - band["mid"]) / band["dev"]
+def _bands(usual: DataFrame, cells: DataFrame) -> DataFrame:
+    """``cells`` (lang, octave, half) with the bands that ``usual`` sets for each: those of the smallest part around the cell that has
+    LEAST distinct texts. ``usual`` has a text once a language; all texts together count it once."""
+    rolled = usual.rollup("lang", "octave", "half").agg(F.grouping_id().alias("level"), *_quartiles()).where(f"level in (0, 1, 3) and n >= {LEAST}")
+    whole = usual.dropDuplicates(["digest"]).agg(F.lit(7).alias("level"), *_quartiles())
+    found = written(rolled.unionByName(whole, allowMissingColumns=True), "fertility-bands")
+    out = cells
+    for level, keys in ((0, ["lang", "octave", "half"]), (1, ["lang", "octave"]), (3, ["lang"]), (7, [])):
+        part = found.where(F.col("level") == level).select(*(F.col(k).alias(f"of_{k}") for k in keys), F.struct(*FLOORS).alias(f"level_{level}"))
+        same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys), F.lit(True))
+        out = out.join(F.broadcast(part) if not keys else part, same, "left").drop(*(f"of_{k}" for k in keys))
+    return written(out.select("lang", "half", F.coalesce(*(f"level_{k}" for k in (0, 1, 3, 7))).alias("band")), "fertility-cells")
 
+
+def _far(measures: DataFrame, usual: DataFrame, cells: DataFrame) -> DataFrame:
+    """``measures`` with ``far``, the joint distance from the bands that ``usual`` sets."""
+    bands = _bands(usual, cells).withColumnsRenamed({"lang": "cell_lang", "half": "cell_half"})
+    joined = measures.join(bands, F.col("lang").eqNullSafe(F.col("cell_lang")) & (F.col("half") == F.col("cell_half")), "left")
+    z = lambda m: (F.col(m) - F.col("band")[m]["mid"]) / F.col("band")[m]["dev"]
     zero = F.lit(0.0)
     off = F.pow(z("chars_per_token"), 2) + F.pow(F.least(z("entropy"), zero), 2) + F.pow(F.greatest(z("byte_share") / 2, zero), 2)
-    return measures.withColumn("far", F.coalesce(F.sqrt(off), zero)).select(*columns, "far")
+    return joined.withColumn("far", F.coalesce(F.sqrt(off), zero)).select(*measures.columns, "far")
 
 
 def judge(docs: DataFrame, path: str) -> DataFrame:
     """Base measures, base_failed, kept, and the method's measures with ``far``."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEATED) * F.col("n_words"))
     measures = measure(docs, path).withColumns({"base_failed": failed, "half": F.floor(2 * F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int")})
-    measures = measures.withColumn("octave", F.floor(F.col("half") / 2).cast("int"))
+    measures = measures.withColumn("octave", F.floor(F.col("half") / 2).cast("int"))  # a cell is a language and a half
     measures = written(measures, "fertility")
     usual = measures.where(~F.col("base_failed")).select("lang", "half", "octave", "digest", *FLOORS).dropDuplicates(["lang", "digest"])
     usual = written(usual, "fertility-usual")
+    cells = written(measures.select("lang", "octave", "half").distinct(), "fertility-cells")
     for _ in range(2):
-        usual = _far(usual, usual).where(F.col("far") <= 4).drop("far")
-    return _far(measures.drop("digest"), usual).withColumn("kept", ~F.col("base_failed") & (F.col("far") <= BAND))
+        usual = _far(usual, usual, cells).where(F.col("far") <= 4).drop("far")
+    return _far(measures.drop("digest"), usual, cells).withColumn("kept", ~F.col("base_failed") & (F.col("far") <= BAND))

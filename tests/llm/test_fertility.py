@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 import public_tokenizers as P
@@ -57,5 +59,58 @@ def test_copies_set_the_bands_once(docs, prose):
     assert sum(spread[i][0] for i in range(300)) >= 298
 
 
+def brute_far(rows):
+    """The distances again, by plain lists: rows are dicts of measures with lang, half and digest."""
+    floors = fertility.FLOORS
+
+    def bands(usual):
+        def of(part):
+            out = {}
+            for m, floor in floors.items():
+                v = sorted(r[m] for r in part)
+                q = [v[max(0, math.ceil(p * len(v)) - 1)] for p in (0.25, 0.5, 0.75)]
+                out[m] = (q[1], (q[2] - q[0]) / 1.349 + floor)
+            return out
+
+        once = {}
+        for r in usual:
+            once.setdefault(r["text"], r)
+
+        def find(r):
+            for same in (lambda x: x["lang"] == r["lang"] and x["half"] == r["half"], lambda x: x["lang"] == r["lang"] and x["half"] // 2 == r["half"] // 2, lambda x: x["lang"] == r["lang"]):
+                part = [x for x in usual if same(x)]
+                if len(part) >= fertility.LEAST:
+                    return of(part)
+            return of(list(once.values()))
+
+        cells = {(r["lang"], r["half"]): r for r in rows}
+        return {c: find(r) for c, r in cells.items()}
+
+    def far(r, found):
+        z = {m: (r[m] - found[r["lang"], r["half"]][m][0]) / found[r["lang"], r["half"]][m][1] for m in floors}
+        return math.sqrt(z["chars_per_token"] ** 2 + min(z["entropy"], 0) ** 2 + max(z["byte_share"] / 2, 0) ** 2)
+
+    usual = list({(r["lang"], r["text"]): r for r in rows if not r["base_failed"]}.values())
+    for _ in range(2):
+        found = bands(usual)
+        usual = [r for r in usual if far(r, found) <= 4]
+    found = bands(usual)
+    return [far(r, found) for r in rows]
+
+
+def test_verdicts_against_plain_lists(docs, prose):
+    r = random.Random(6)
+    texts = [prose(k, r.choice([22, 30, 31, 60, 64, 120, 300])) for k in range(420)] + [prose(900, 80).upper().replace(" ", "!! "), " ".join(w + "###" for w in prose(901, 80).split()), "a b", None]
+    texts += texts[:30]
+    langs = [r.choice(["en", "en", "en", "de", None, "xx"]) for _ in texts]
+    rows = [x.asDict() for x in fertility.judge(docs(texts, langs=langs), PATH).collect()]
+    for x in rows:
+        x["text"] = texts[x["doc_id"]]
+        x["half"] = int(math.floor(2 * math.log2(max(1, x["n_tokens"]))))
+    for x, far in zip(rows, brute_far(rows), strict=True):
+        assert abs(x["far"] - far) < 1e-6 and x["kept"] == (not x["base_failed"] and far <= fertility.BAND)
+    assert 0 < sum(not x["kept"] for x in rows) < 60
+
+
 def test_empty(docs):
     assert fertility.judge(docs([]), PATH).count() == 0

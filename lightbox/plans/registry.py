@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..catalog import Catalog
-from ..functions import geometry, hashes, names, times, vectors
+from ..functions import display, geometry, hashes, names, times, vectors
 from ..operators import clustering, curation, duplicates, export, ingest, neighbors
 from ..sources import fixtures
 from . import views
@@ -84,6 +84,12 @@ _on_catalog("people_search_named", _with(*FPC, counted=COUNTED) + f"SELECT * FRO
 _on_catalog("people_search_auto", _with(*FPC, counted=COUNTED) + f"SELECT * FROM counted WHERE regexp_matches(name, '{names.AUTO}')", lambda c: views.people(c, "auto", "", "faces-asc"))
 _on_catalog("people_search_maybe", _with(*FPC, counted=COUNTED) + "SELECT * FROM counted WHERE starts_with(name, 'maybe ')", lambda c: views.people(c, "maybe", "", "name-desc"))
 _on_catalog("people_page", _with(*FPC, counted=COUNTED) + "SELECT * FROM counted ORDER BY face_count DESC, id LIMIT 4 OFFSET 4", lambda c: views.people(c, page=1, page_size=4))
+_on_catalog("clusters_top20", _with(*FPC, counted=COUNTED) + "SELECT * FROM counted ORDER BY face_count DESC, id LIMIT 20", lambda c: views.clusters_with_counts(c).orderBy(F.col("face_count").desc(), "id").limit(20))
+for _sort, _order in (("faces-asc", "face_count, id"), ("name-asc", "lower(name), id"), ("name-desc", "lower(name) DESC, id")):
+    _on_catalog(f"people_page_{_sort.replace('-', '_')}", _with(*FPC, counted=COUNTED) + f"SELECT * FROM counted ORDER BY {_order} LIMIT 3 OFFSET 3", lambda c, sort=_sort: views.people(c, sort=sort, page=1, page_size=3))
+_on_catalog("display_formats", _with("faces", "photos") + """SELECT f.id AS face_id, CAST(CAST(round_even(CAST(f.detection_confidence * 100 AS DECIMAL(9, 4)), 0) AS INT) AS VARCHAR) || '%' AS confidence,
+ printf('%.1f KB', round(p.file_size / 1024, 1)) AS size FROM faces f JOIN photos p ON p.id = f.photo_id""",
+            lambda c: c.faces.join(c.photos.select(F.col("id").alias("photo_id"), "file_size"), "photo_id").select(F.col("id").alias("face_id"), display.percent(F.col("detection_confidence").cast("decimal(9,6)")).alias("confidence"), display.kilobytes(F.col("file_size")).alias("size")))
 _on_catalog("user_defined_names", _with("clusters") + f"SELECT id, name FROM clusters WHERE NOT regexp_matches(name, '{AUTO_OR_MAYBE}')", lambda c: c.clusters.where(names.user_defined(F.col("name"))).select("id", "name"))
 
 # ---------------------------------------------------------------- timelines
@@ -277,6 +283,25 @@ _on_catalog("export_plan", _with(*FPC, plan=PLAN, numbered="SELECT *, row_number
 _on_catalog("export_summary", _with(*FPC, plan=PLAN) + f"SELECT c.id AS cluster_id, c.name, {SANITIZED.format(n='c.name')} AS folder, count(p.src) AS exported FROM clusters c LEFT JOIN plan p ON p.cluster_id = c.id GROUP BY c.id, c.name", lambda c: export.export_summary(c, export.export_plan(c)))
 
 
+#: Names that look as if an export had numbered them.
+NUMBERED = "CASE id % 5 WHEN 0 THEN 'a.jpg' WHEN 1 THEN 'a_1.jpg' WHEN 2 THEN 'a_1_1.jpg' WHEN 3 THEN 'a_2.jpg' ELSE 'b.jpg' END"
+RENAMED = f"SELECT id, concat('/photos/', CAST(id % 3 AS {{s}}), '/', CAST(id AS {{s}}), '/', {NUMBERED}) AS path FROM {{photos}}"
+
+
+@_register(_with("faces", "clusters", recursive=True, all_photos=fixtures.CTES["photos"], photos=RENAMED.format(s="VARCHAR", photos="all_photos"), plan=PLAN,
+                 placed="SELECT *, row_number() OVER (PARTITION BY folder ORDER BY cluster_id, src) AS place FROM plan",
+                 walk="""SELECT DISTINCT folder, 0::BIGINT AS place, NULL::VARCHAR AS file_name, []::VARCHAR[] AS taken FROM plan
+ UNION ALL SELECT folder, place, free, list_append(taken, free) FROM (SELECT w.folder, p.place, w.taken, list_filter(
+  list_prepend(p.base, list_transform(range(1, len(w.taken) + 2), lambda k: replace(p.base, '.jpg', '') || '_' || CAST(k AS VARCHAR) || '.jpg')),
+  lambda n: NOT list_contains(w.taken, n))[1] AS free FROM walk w JOIN placed p ON p.folder = w.folder AND p.place = w.place + 1)""") + """
+ SELECT p.cluster_id, p.name, p.folder, p.src, w.file_name FROM placed p JOIN walk w ON w.folder = p.folder AND w.place = p.place""")
+def export_plan_clashes(spark, d):
+    """Export names where pictures are called as an export would name them."""
+    c = fixtures.catalog(spark, d)
+    renamed = spark.sql(RENAMED.format(s="STRING", photos="{photos}"), photos=c.photos)
+    return export.export_plan(c.to(photos=c.photos.drop("path").join(renamed, "id").select(*schema.PHOTOS.names)))
+
+
 def _crops(c: Catalog) -> DataFrame:
     f = c.faces.select(F.col("id").alias("face_id"), "photo_id", *views.BOX).join(c.photos.select(F.col("id").alias("photo_id"), "width", "height"), "photo_id")
     made = f.withColumns(geometry.crop(*(F.col(x) for x in ("bbox_x", "bbox_y", "bbox_w", "bbox_h", "width", "height"))))
@@ -317,6 +342,39 @@ def stale_files(spark, d):
     return ingest.stale_files(fixtures.files_on_disk(spark, d), known).select("path")
 
 
+#: A picture's header: an EXIF block with the time, if there is one, and a frame of so many pixels; some files are broken.
+APP1, FRAME = "FFE10036" + "457869660000" + "49492A0008000000" + "0100" + "32010200140000001A000000" + "00000000", "FFC0001108"
+HEADER = f"""CASE WHEN id % 11 = 0 THEN '00' ELSE concat('FFD8', CASE WHEN raw IS NULL THEN 'FFFE0002' ELSE concat('{APP1}', rpad(hex(CAST(raw AS BINARY)), 40, '0')) END,
+ '{FRAME}', lpad(hex(height), 4, '0'), lpad(hex(width), 4, '0'), '03', '011100021101031101', 'FFDA') END"""
+
+
+@_register(_with("photos", raws=f"SELECT doc_id AS id, {RAW_DATE.format(s='VARCHAR')} AS raw FROM documents",
+                 found=f"SELECT p.*, r.raw, (p.id % 4 = 0 OR e.ts > TIMESTAMP '{SCANNED}') AND p.id % 11 <> 0 AS again FROM photos p JOIN raws r USING (id) LEFT JOIN events e ON e.event_id = p.id") + f"""
+ SELECT path, width, height, CASE WHEN again THEN CASE WHEN raw IS NULL THEN 27 ELSE 79 END ELSE file_size END AS file_size, format,
+ CASE WHEN again THEN strftime(coalesce(try_strptime(raw, '%Y:%m:%d %H:%M:%S'), try_strptime(raw, '%Y-%m-%d %H:%M:%S')), '%Y-%m-%dT%H:%M:%S') ELSE exif_date END AS exif_date
+ FROM found WHERE coalesce(again, false) OR id % 4 <> 0""")
+def scan_ingest(spark, d):
+    """A scan of files by their headers: new and changed ones are read and stored, broken ones aren't, the others stay."""
+    c = fixtures.catalog(spark, d)
+    known = c.to(photos=c.photos.where("id % 4 <> 0").withColumn("scanned_at", F.lit(SCANNED)).select(*schema.PHOTOS.names))
+    raws = fixtures.table(spark, d, "documents").selectExpr("doc_id as id", f"{RAW_DATE.format(s='STRING')} as raw")
+    contents = c.photos.join(raws, "id").select("path", F.unhex(F.expr(HEADER)).alias("content"))
+    stale = ingest.stale_files(fixtures.files_on_disk(spark, d), known.photos)
+    found = ingest.written(ingest.analyse(contents.join(stale.select("path"), "path", "left_semi"), ingest.headers), "analysed")
+    return ingest.store(known, found, SCANNED).photos.select("path", "width", "height", "file_size", "format", "exif_date")
+
+
+@_register(_with(simhash=SIMHASH) + "SELECT d.doc_id AS id, CASE WHEN d.doc_id % 6 <> 3 THEN printf('%08x%08x', hi, lo) END AS phash FROM documents d LEFT JOIN simhash s USING (doc_id)")
+def phash_backfill(spark, d):
+    """Photos without a hash are the work list; those whose files can still be read get one."""
+    c = _hashed_catalog(spark, d)
+    hashed = ingest.written(c.photos.select("id", "path", "phash"), "hashed")
+    cut = c.photos.drop("phash").join(hashed.select("id", F.when(F.col("id") % 3 != 0, F.col("phash")).alias("phash")), "id").select(*schema.PHOTOS.names)
+    work = ingest.unhashed(cut)
+    hashes_now = work.where("id % 2 = 0").join(hashed.select("id", "phash"), "id")
+    return ingest.backfill_hashes(c.to(photos=cut), hashes_now).photos.select("id", "phash")
+
+
 # ---------------------------------------------------------------- state transitions
 
 
@@ -377,7 +435,7 @@ def upsert_rescan(spark, d):
     return photos.unionByName(s.faces.select(F.lit("face").alias("kind"), "id", F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("num_faces")))
 
 
-@_register(None)
+@_register(_with("faces", u=ACTIVE_UNITS, cent=CENTROIDS, near=NEAREST) + f"SELECT CASE WHEN dist <= {NEAR} THEN cluster_id END AS cluster_id, count(*) AS faces FROM near GROUP BY 1")
 def ingest_stream_counts(spark, d):
     """Vectors streamed in micro-batches against the catalog's centroids: faces by cluster."""
     import uuid

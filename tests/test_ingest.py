@@ -144,6 +144,22 @@ def test_objects_of_pictures_by_a_table_function(spark):
     assert got == [(1, 1.0, 0.9, [7.0, 4.0]), (1, 8.0, 0.7, [7.0, 2.0])]
 
 
+def test_models_reach_the_workers(spark, tmp_path):
+    from lightbox.sources import models
+
+    assert models.processors(["CPUExecutionProvider", "CUDAExecutionProvider"]) == ["CUDAExecutionProvider", "CPUExecutionProvider"] and models.processors([]) == ["CPUExecutionProvider"]
+    assert models.processors()[-1] == "CPUExecutionProvider"
+    assert models.tasks_at_once(16, models.PROCESSORS) == 4 and models.tasks_at_once(16, ["CPUExecutionProvider"]) == 15 and models.tasks_at_once(1, models.PROCESSORS) == 1
+    (tmp_path / "weights.bin").write_bytes(b"12345")
+    there = models.distributed(spark, str(tmp_path / "weights.bin"))
+
+    def read(frames):
+        for pdf in frames:
+            yield pdf.assign(n=len(open(there(), "rb").read()))
+
+    assert [r["n"] for r in spark.range(3).repartition(2).mapInPandas(read, "id long, n int").collect()] == [5, 5, 5]
+
+
 def test_unreadable_scan_time_is_fresh(spark):
     df = spark.sql("select '/x' as path, timestamp'2024-01-02' as mtime union all select '/y', timestamp'2024-01-02'")
     known = spark.createDataFrame([("/x", "gibberish"), ("/y", "2024-01-01T00:00:00")], "path string, scanned_at string")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lightbox.llm import bpe, mixing, ngramjoin, pii, quality
-from lightbox.llm.common import written
+from lightbox.llm.common import fresh, named, written
 
 #: Rows of dropped near copies are broadcast up to this many (a doc_id and 16 bytes each), else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -30,19 +30,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
     other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest")))
     dropped = written(rows.join(first, "component").where(other).select("doc_id", "digest"), "pipeline-dropped")
-    keyed = docs.withColumn("row_digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    mark, key_id, key_digest = (fresh(docs, n) for n in ("row_digest", "key_id", "key_digest"))
+    keyed = docs.withColumn(mark, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
 
     def matched(left: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        keys = keys.select(F.col("doc_id").alias("key_id"), F.col("digest").alias("key_digest"))
+        keys = keys.select(F.col("doc_id").alias(key_id), F.col("digest").alias(key_digest))
         keys = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
-        return left.join(keys, left["doc_id"].eqNullSafe(F.col("key_id")) & (left["row_digest"] == F.col("key_digest")), how)
+        return left.join(keys, left["doc_id"].eqNullSafe(F.col(key_id)) & (left[mark] == F.col(key_digest)), how)
 
     left = matched(keyed, dropped, "left_anti")
     # rows that share doc_id and text
     repeated = rows.where("n > 1").select("doc_id", "digest")
     if repeated.limit(1).count():
-        left = matched(left, repeated, "left_anti").unionByName(matched(left, repeated, "left_semi").dropDuplicates(["doc_id", "row_digest"]))
-    return left.drop("row_digest")
+        left = matched(left, repeated, "left_anti").unionByName(matched(left, repeated, "left_semi").dropDuplicates(["doc_id", mark]))
+    return left.drop(mark)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +52,9 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus: a document comes as often as it is drawn, a last one perhaps in part."""
-    return mixing.draw(docs).drop("mix_shard")
+    """The mixed corpus, as the shards' quotas draw it: a document comes as often as it is drawn, one at a quota's end in
+    part. The shard itself isn't among the columns of ``documents``; it orders the rows."""
+    return mixing.draw(docs).select(*named(*docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

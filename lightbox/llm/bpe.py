@@ -29,8 +29,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 from .common import lean, named, other_names, plain
 
 #: Pre-tokens that a worker keeps with their ids before it starts anew, and characters in a chunk.
-KEPT_WORDS = 200_000
-CHUNK_CHARS = 2_000_000
+KEPT_WORDS = 150_000
+CHUNK_CHARS = 1_000_000
 #: Unicode's White_Space as in the tiktoken library; ``\s`` of Python's regex module has four characters more.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 NONE = np.int64(1 << 40)

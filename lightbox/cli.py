@@ -19,6 +19,7 @@ from . import __version__
 from .catalog import Catalog
 from .operators import clustering, curation, duplicates, export, ingest
 from .plans import materialize, views
+from .sources import files
 
 log = logging.getLogger("lightbox")
 
@@ -225,7 +226,7 @@ def parser() -> argparse.ArgumentParser:
     add("rename", change(_rename), number("cluster"), (("name",), {}))
     add("dismiss", change(lambda c, a: ((curation.restore_face if a.restore else curation.dismiss_face)(c, a.face), f"{'Restored' if a.restore else 'Dismissed'} face {a.face}")), number("face"), (("--restore",), {"action": "store_true"}))
     add("dismiss-cluster", change(_dismiss_cluster), number("cluster"))
-    add("delete-photo", change(lambda c, a: (curation.delete_photo(c, a.photo, os.remove), f"Deleted photo {a.photo}")), number("photo"))
+    add("delete-photo", change(lambda c, a: (curation.delete_photo(c, a.photo, files.recycle), f"Deleted photo {a.photo}")), number("photo"))
     add("merge", change(lambda c, a: (curation.merge_people(c, a.keep, a.merge), f"Merged {a.merge} into {a.keep}")), number("keep"), number("merge"))
     add("split", change(_split), number("face"), (("--name",), {"default": ""}))
     add("recluster", change(_recluster), number("cluster"), eps, least)

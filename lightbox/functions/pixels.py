@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -74,14 +76,35 @@ def similarity(source: np.ndarray, target: np.ndarray = TEMPLATE) -> np.ndarray
     return np.column_stack((m, target.mean(axis=0) - m @ source.mean(axis=0)))
 
 
+def robust_similarity(source: np.ndarray, target: np.ndarray = TEMPLATE) -> np.ndarray | None:
+    """``similarity`` of the points that agree: of the matrices that two points each give, the one whose squared errors have the least
+    median says which do (those within 2.5 deviations); a point that was found in the wrong place has no say."""
+    best, least = None, np.inf
+    for pair in combinations(range(len(source)), 2):
+        m = similarity(source[list(pair)], target[list(pair)])
+        if m is None:
+            continue
+        errors = ((source @ m[:, :2].T + m[:, 2] - target) ** 2).sum(axis=1)
+        median = float(np.median(errors))
+        if median < least:
+            best, least = errors, median
+    if best is None:
+        return None
+    deviation = 1.4826 * (1 + 5 / max(1, len(source) - 2)) * np.sqrt(least)
+    agree = best <= max((2.5 * deviation) ** 2, 1e-9)
+    return similarity(source[agree], target[agree])
+
+
 def aligned(image: np.ndarray, landmarks: np.ndarray, size: int = ALIGNED) -> np.ndarray:
-    """The face brought to the template by its five points (nearest pixels); without a fit its middle square."""
-    m = similarity(np.asarray(landmarks, dtype=np.float64), TEMPLATE * (size / ALIGNED))
+    """The face brought to the template by its five points (nearest pixels), of which some may be wrong; without a fit the
+    square of the template's size around the points' centre, cut at the edges."""
+    points = np.asarray(landmarks, dtype=np.float64)
+    m = robust_similarity(points, TEMPLATE * (size / ALIGNED))
     h, w = image.shape[:2]
     if m is None:
-        side = min(h, w)
-        top, left = (h - side) // 2, (w - side) // 2
-        return resized(image[top : top + side, left : left + side], size, size)
+        (x, y), half = points.mean(axis=0), ALIGNED // 2
+        part = image[max(0, int(y - half)) : min(h, int(y + half)), max(0, int(x - half)) : min(w, int(x + half))]
+        return resized(part if part.size else image, size, size)
     inverse = np.linalg.inv(m[:, :2])
     ys, xs = np.mgrid[0:size, 0:size]
     at = (np.stack((xs.ravel(), ys.ravel())) - m[:, 2:]).T @ inverse.T

@@ -6,12 +6,16 @@ from __future__ import annotations
 
 import argparse
 import json
+import mimetypes
 import os
 import re
+import shutil
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qsl
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import cli
 from .catalog import Catalog
@@ -19,6 +23,7 @@ from .operators import clustering, curation, duplicates, export, ingest
 from .operators.curation import ActionError, require_int
 from .plans import views
 from .sources import files
+from .sources.thumbnails import thumbnail
 from .streaming.tasks import Tasks
 
 PAGE = 200
@@ -92,6 +97,18 @@ class App:
 
         return {"task_id": self.tasks.submit("export", run).id}
 
+    def picture(self, kind: str, number: int) -> str:
+        """The path of a picture file to show: a photo itself, or the thumbnail of a photo or a face."""
+        c, cache = self.catalog(), os.path.abspath(self.path) + "-thumbnails"
+        found = views.face_by_id(c, number).first() if kind == "face" else c.photos.where(F.col("id") == number).first()
+        if found is None:
+            raise ActionError(f"{kind} not found", 404)
+        box = tuple(found[f"bbox_{k}"] for k in "xywh") if kind == "face" else None
+        made = found["path"] if kind == "file" else thumbnail(self.spark, cache, kind, number, found["path"], box)
+        if made is None or not os.path.exists(made):
+            raise ActionError("picture not found", 404)
+        return made
+
     def logs(self, n: int) -> list[str]:
         path = cli.log_path(self.path)
         return [r["line"] for r in files.log_tail(self.spark, path, n).collect()] if os.path.exists(path) else []
@@ -161,7 +178,7 @@ class App:
             "/api/dismiss-cluster": dismiss_cluster,
             "/api/dismiss": lambda c: (curation.dismiss_face(c, number("face_id")), None),
             "/api/restore": lambda c: (curation.restore_face(c, number("face_id")), None),
-            "/api/delete-photo": lambda c: (curation.delete_photo(c, number("photo_id")), None),
+            "/api/delete-photo": lambda c: (curation.delete_photo(c, number("photo_id"), files.recycle), None),
         }
         if path in actions:
             return self.change(actions[path])
@@ -219,8 +236,17 @@ def handler(app: App) -> type[BaseHTTPRequestHandler]:
                     self.wfile.write(event.encode())
                     self.wfile.flush()
                 return
-            from urllib.parse import parse_qsl
-
+            if m := re.fullmatch(r"/api/picture/(file|photo|face)/(\d+)", path):
+                try:
+                    made = app.picture(m[1], int(m[2]))
+                except ActionError as e:
+                    return self.answer(e.status, {"error": str(e)})
+                self.send_response(200)
+                self.send_header("Content-Type", mimetypes.guess_type(made)[0] or "application/octet-stream")
+                self.send_header("Content-Length", str(os.path.getsize(made)))
+                self.end_headers()
+                with open(made, "rb") as f:
+                    return shutil.copyfileobj(f, self.wfile)
             self.respond(lambda: app.get(path, dict(parse_qsl(query))))
 
         def do_POST(self) -> None:  # noqa: N802

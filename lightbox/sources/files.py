@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import shutil
+import time
 from dataclasses import asdict, dataclass, field, fields
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +76,34 @@ def truncate_log(path: str) -> None:
         pass
 
 
+def recycle(path: str, bin_: str | None = None) -> str:
+    """Moves a file to the user's recycle bin as desktops know it, with a note of where it was; its path there. OSError if
+    it can't be moved, FileNotFoundError if it isn't there."""
+    home = bin_ or os.path.join(os.environ.get("XDG_DATA_HOME") or os.path.expanduser("~/.local/share"), "Trash")
+    if not os.path.lexists(path):
+        raise FileNotFoundError(path)
+    for folder in ("files", "info"):
+        os.makedirs(os.path.join(home, folder), exist_ok=True)
+    stem, ext = os.path.splitext(os.path.basename(path))
+    k = 0
+    while True:
+        name = f"{stem}_{k}{ext}" if k else stem + ext
+        note = os.path.join(home, "info", name + ".trashinfo")
+        try:
+            with open(note, "x") as f:  # whoever makes the note owns the name
+                f.write(f"[Trash Info]\nPath={quote(os.path.abspath(path))}\nDeletionDate={time.strftime('%Y-%m-%dT%H:%M:%S')}\n")
+            break
+        except FileExistsError:
+            k += 1
+    target = os.path.join(home, "files", name)
+    try:
+        shutil.move(path, target)
+    except OSError:
+        os.remove(note)
+        raise
+    return target
+
+
 def browse(path: str) -> dict:
     """Folders in a folder by name in any case, and the one above."""
     with os.scandir(path) as it:

@@ -51,6 +51,75 @@ def test_background_tasks(call):
     assert '"status": "done"' in call(f"/api/task/{out['task_id']}/stream")[1] and call("/api/task/none")[0] == 404
 
 
+def finished(call, task_id):
+    end = time.time() + 90
+    while (task := call(f"/api/task/{task_id}")[1])["status"] == "running" and time.time() < end:
+        time.sleep(0.2)
+    return task
+
+
+def test_scan_settings_export_logs_and_pictures(call, spark, tmp_path, monkeypatch):
+    import os
+
+    from test_ingest import png
+
+    monkeypatch.setenv("XDG_DATA_HOME", str(tmp_path / "data"))
+    folder = tmp_path / "pics"
+    folder.mkdir()
+    (folder / "x.png").write_bytes(png(np.arange(90 * 60).reshape(60, 90) % 251))
+    os.utime(folder / "x.png", (1_700_000_000, 1_700_000_000))
+    assert call("/api/scan", {"folder": str(tmp_path / "nothing")})[0] == 400
+    task = finished(call, call("/api/scan", {"folder": str(folder)})[1]["task_id"])
+    assert task["status"] == "done" and task["result"]["processed"] == 1 and task["progress"]["total"] == 1 and call("/api/stats")[1]["photos"] == 4
+    assert call("/api/settings")[1]["recent_folders"] == [str(folder)] and call("/api/settings", {"hamming": 7, "other": 1})[1]["hamming"] == 7
+    assert call("/api/settings", {"confidence": 0.01})[0] == 400 and call("/api/settings")[1]["hamming"] == 7
+    assert call("/api/logs")[1] == {"lines": []} and call("/api/logs/clear", {})[0] == 200
+    task = finished(call, call("/api/export", {"output": str(tmp_path / "out")})[1]["task_id"])
+    assert task["result"] == {"exported": 0, "summary": {"Alice": 0, "Bob": 0}} and os.path.isdir(tmp_path / "out/Alice") and call("/api/export", {})[0] == 400
+    assert finished(call, call("/api/backfill-hashes", {})[1]["task_id"])["result"] == {"updated": 0}
+    assert call("/api/picture/face/1")[0] == 404 and call("/api/picture/photo/99")[0] == 404
+    assert call("/api/delete-photo", {"photo_id": 4})[0] == 200 and os.listdir(tmp_path / "data/Trash/files") == ["x.png"] and not (folder / "x.png").exists()
+
+
+def test_thumbnails_are_kept(spark, tmp_path):
+    import os
+
+    from test_ingest import png
+
+    from lightbox.functions.media import described
+    from lightbox.sources import thumbnails
+
+    path, cache = str(tmp_path / "a.png"), str(tmp_path / "t")
+    with open(path, "wb") as f:
+        f.write(png(np.arange(300 * 400).reshape(300, 400) % 251))
+    size = lambda p: [described(open(p, "rb").read())[k] for k in ("format", "width", "height")]
+    whole = thumbnails.thumbnail(spark, cache, "photo", 1, path)
+    assert size(whole) == ["JPEG", 150, 112] and size(thumbnails.thumbnail(spark, cache, "face", 1, path, (390, 0, 50, 50))) == ["JPEG", 20, 60]
+    os.remove(path)
+    assert thumbnails.thumbnail(spark, cache, "photo", 1, path) == whole and thumbnails.thumbnail(spark, cache, "photo", 2, path) is None
+    assert sorted(os.listdir(cache)) == ["face_1.jpg", "photo_1.jpg"]
+
+
+def test_recycle_bin(tmp_path):
+    from lightbox.sources import files
+
+    for k in range(2):
+        (tmp_path / "a b.jpg").write_bytes(b"x")
+        assert files.recycle(str(tmp_path / "a b.jpg"), str(tmp_path / "bin")).endswith(["a b.jpg", "a b_1.jpg"][k])
+    assert "a%20b.jpg" in (tmp_path / "bin/info/a b_1.jpg.trashinfo").read_text()
+    with pytest.raises(FileNotFoundError):
+        files.recycle(str(tmp_path / "a b.jpg"), str(tmp_path / "bin"))
+
+
+def test_one_wrong_landmark_does_not_turn_a_face():
+    turned = pixels.TEMPLATE[:, ::-1] * [1, -1] * 2 + [5, 300]
+    right = pixels.similarity(turned)
+    wrong = turned.copy()
+    wrong[2] += [80, -60]
+    assert np.allclose(pixels.robust_similarity(wrong), right, atol=1e-6) and not np.allclose(pixels.similarity(wrong), right, atol=0.1)
+    assert pixels.robust_similarity(np.zeros((5, 2))) is None
+
+
 def test_tasks_report_fail_cancel_and_expire():
     now = [0.0]
     t = tasks.Tasks(clock=lambda: now[0])

@@ -23,7 +23,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import chunks
@@ -35,6 +35,8 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEATED = 20, 0.30
 
 BAND, LEAST = 6.0, 50
+#: Quartiles are those of bins of these widths, counted exactly.
+BINS = {"chars_per_token": 1 / 512, "entropy": 1 / 512, "byte_share": 1 / 4096}
 #: Deviations are at least this, so that uniform corpora don't reject what hardly differs.
 FLOORS = {"chars_per_token": 0.01, "entropy": 0.03, "byte_share": 0.004}
 
@@ -117,24 +119,40 @@ def measure(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(lean(run), MEASURES)
 
 
-def _quartiles() -> list[Column]:
-    """Aggregates: the number of texts, and of each measure the median and a robust deviation."""
-    each = [F.percentile_approx(m, [0.25, 0.5, 0.75], 2000) for m in FLOORS]
-    return [F.count(F.lit(1)).alias("n"), *(F.struct(q[1].alias("mid"), ((q[2] - q[0]) / 1.349 + floor).alias("dev")).alias(m) for q, (m, floor) in zip(each, FLOORS.items(), strict=True))]
+def _binned(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """How many texts of each cell of ``keys`` have a measure in each bin: partial counts keep what is shuffled small."""
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.floor(F.col(m) / w).cast("long").alias("bin")) for m, w in BINS.items())))
+    return texts.select(*keys, each.alias("at")).groupBy(*keys, "at.measure", "at.bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _quartiles(binned: DataFrame, keys: list[str]) -> DataFrame:
+    """(of_<key>..., n, each measure's median and robust deviation) of the cells of ``keys`` from counts by bin; a bin stands
+    for its middle."""
+    sums = binned.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
+    cell = Window.partitionBy(*keys, "measure")  # no more rows than a measure has bins
+    placed = sums.withColumns({"upto": F.sum("n").over(cell.orderBy("bin")), "all": F.sum("n").over(cell)})
+    at = [F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col("bin"))) for q in (0.25, 0.5, 0.75)]
+    width = F.create_map(*(x for m, w in BINS.items() for x in (F.lit(m), F.lit(w))))[F.col("measure")]
+    floor = F.create_map(*(x for m, w in FLOORS.items() for x in (F.lit(m), F.lit(w))))[F.col("measure")]
+    found = placed.groupBy(*keys, "measure").agg(F.max("all").alias("n"), *(q.alias(f"q{k}") for k, q in enumerate(at)))
+    band = F.struct(((F.col("q1") + 0.5) * width).alias("mid"), ((F.col("q2") - F.col("q0")) * width / 1.349 + floor).alias("dev"))
+    found = found.withColumn("band", band).groupBy(*keys).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("measure") == m, F.col("band"))).alias(m) for m in BINS))
+    return found.select(*(F.col(k).alias(f"of_{k}") for k in keys), "n", *BINS)
 
 
 def _bands(usual: DataFrame, cells: DataFrame) -> DataFrame:
     """``cells`` (lang, octave, half) with the bands that ``usual`` sets for each: those of the smallest part around the cell that has
     LEAST distinct texts. ``usual`` has a text once a language; all texts together count it once."""
-    rolled = usual.rollup("lang", "octave", "half").agg(F.grouping_id().alias("level"), *_quartiles()).where(f"level in (0, 1, 3) and n >= {LEAST}")
-    whole = usual.dropDuplicates(["digest"]).agg(F.lit(7).alias("level"), *_quartiles())
-    found = written(rolled.unionByName(whole, allowMissingColumns=True), "fertility-bands")
+    binned = written(_binned(usual, ["lang", "octave", "half"]), "fertility-bins")
+    whole = written(_binned(usual.dropDuplicates(["digest"]), []), "fertility-bins")
     out = cells
-    for level, keys in ((0, ["lang", "octave", "half"]), (1, ["lang", "octave"]), (3, ["lang"]), (7, [])):
-        part = found.where(F.col("level") == level).select(*(F.col(k).alias(f"of_{k}") for k in keys), F.struct(*FLOORS).alias(f"level_{level}"))
+    for level, keys in enumerate((["lang", "octave", "half"], ["lang", "octave"], ["lang"], [])):
+        part = _quartiles(binned if keys else whole, keys)
+        part = part.where(F.col("n") >= LEAST) if keys else part
+        part = part.select(*(f"of_{k}" for k in keys), F.struct(*BINS).alias(f"level_{level}"))
         same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys), F.lit(True))
-        out = out.join(F.broadcast(part) if not keys else part, same, "left").drop(*(f"of_{k}" for k in keys))
-    return written(out.select("lang", "half", F.coalesce(*(f"level_{k}" for k in (0, 1, 3, 7))).alias("band")), "fertility-cells")
+        out = out.join(part if keys else F.broadcast(part), same, "left").drop(*(f"of_{k}" for k in keys))  # without keys it is a single row
+    return written(out.select("lang", "half", F.coalesce(*(f"level_{k}" for k in range(4))).alias("band")), "fertility-cells")
 
 
 def _far(measures: DataFrame, usual: DataFrame, cells: DataFrame) -> DataFrame:

@@ -67,8 +67,8 @@ def brute_far(rows):
         def of(part):
             out = {}
             for m, floor in floors.items():
-                v = sorted(r[m] for r in part)
-                q = [v[max(0, math.ceil(p * len(v)) - 1)] for p in (0.25, 0.5, 0.75)]
+                v = sorted(math.floor(r[m] / fertility.BINS[m]) for r in part)
+                q = [(v[max(0, math.ceil(p * len(v)) - 1)] + 0.5) * fertility.BINS[m] for p in (0.25, 0.5, 0.75)]
                 out[m] = (q[1], (q[2] - q[0]) / 1.349 + floor)
             return out
 

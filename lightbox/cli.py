@@ -54,6 +54,10 @@ def log_path(catalog: str) -> str:
     return os.path.abspath(catalog) + ".log"
 
 
+def journal_path(catalog: str) -> str:
+    return os.path.abspath(catalog) + "-journal"
+
+
 def now() -> str:
     return time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime())
 
@@ -73,7 +77,7 @@ def scan(spark, args, analyser: Callable = ingest.headers) -> int:
     catalog = Catalog.load(spark, args.catalog) if exists else Catalog.empty(spark)
     show_progress = lambda **c: log.info("%s of %s", c["processed"] + c["errors"], c["total"] - c["skipped"])
     save = committed(spark, args.catalog)
-    state, counts = ingest.scan(catalog, args.folder, now(), analyser, not args.flat, args.commit, save, show_progress, min_face=args.min_face)
+    state, counts = ingest.scan(catalog, args.folder, now(), analyser, not args.flat, args.commit, save, show_progress, min_face=args.min_face, journal=journal_path(args.catalog))
     if not exists and not counts["processed"]:
         save(state)
     print(", ".join(f"{k}: {v}" for k, v in counts.items()))

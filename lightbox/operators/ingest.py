@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import islice
 from typing import Protocol
@@ -18,7 +19,7 @@ from ..functions.geometry import large_enough, rescaled
 from ..functions.hashes import phash64
 from ..functions.media import described
 from ..functions.times import exif_iso, is_stale
-from ..plans.materialize import written
+from ..plans.materialize import remove, run_dir, written
 from ..sources import files as sources
 from .curation import drop_photos
 
@@ -110,8 +111,9 @@ def analyse(files: DataFrame, factory: Callable[[], Analyser]) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, ANALYSED)
 
 
-def store(catalog: Catalog, analysed: DataFrame, scanned_at: str, confidence: float = CONFIDENCE, min_face: int | None = None) -> Catalog:
-    """Photos of the same path go with their faces; new rows get new ids in order of path and box."""
+def store(catalog: Catalog, analysed: DataFrame, scanned_at: str | None = None, confidence: float = CONFIDENCE, min_face: int | None = None) -> Catalog:
+    """Photos of the same path go with their faces; new rows get new ids in order of path and box. Without ``scanned_at`` each
+    row of ``analysed`` has its own."""
     good = analysed.where("error is null")
     again = catalog.photos.join(good.select("path").distinct(), "path", "left_semi").select("id")
     kept = drop_photos(catalog, again)
@@ -126,7 +128,7 @@ def store(catalog: Catalog, analysed: DataFrame, scanned_at: str, confidence: fl
     ).where((F.col("detection_confidence") >= confidence) & (large_enough(F.col("bbox_w"), F.col("bbox_h")) if min_face is None else large_enough(F.col("bbox_w"), F.col("bbox_h"), min_face)))
     faces = numbered(found, ["photo_id", "k"], first_face).withColumn("dismissed", F.lit(0))
     counts = found.groupBy(F.col("photo_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("num_faces"))
-    rows = photos.join(counts, "id", "left").withColumns({"num_faces": F.coalesce("num_faces", F.lit(0)), "scanned_at": F.lit(scanned_at), "exif_date": exif_iso(F.col("exif_text"))})
+    rows = photos.join(counts, "id", "left").withColumns({"num_faces": F.coalesce("num_faces", F.lit(0)), "scanned_at": F.col("scanned_at") if scanned_at is None else F.lit(scanned_at), "exif_date": exif_iso(F.col("exif_text"))})
     return kept.to(photos=kept.photos.select(*schema.PHOTOS.names).unionByName(schema.conform(rows, schema.PHOTOS)), faces=kept.faces.select(*schema.FACES.names).unionByName(schema.conform(faces, schema.FACES)))
 
 
@@ -172,51 +174,74 @@ def hashes_of(spark, paths: list[str]) -> DataFrame:
     return sources.pixels(spark, paths).select("path", phash64("height", "width", "channels", "data").alias("phash"))
 
 
+def fold_journal(catalog: Catalog, journal: str, confidence: float = CONFIDENCE, min_face: int | None = None) -> Catalog:
+    """The catalog with all lots of a journal stored at once; of a path that is there twice the last scan counts."""
+    spark = catalog.photos.sparkSession
+    if not sources.readable(spark, [journal]):
+        return catalog
+    lots = spark.read.schema(f"{ANALYSED}, scanned_at string").parquet(f"{journal}/lot-*")
+    once = lots.groupBy("path").agg(F.max_by(F.struct(*lots.columns), "scanned_at").alias("row")).select("row.*")
+    return store(catalog, written(once, "journal"), None, confidence, min_face).settled()
+
+
 def scan(
     catalog: Catalog, folder: str, scanned_at: str, factory: Callable[[], Analyser] = headers, recursive: bool = True, commit: int = COMMIT, save: Callable[[Catalog], Catalog] | None = None,
-    on_progress: Callable[..., None] | None = None, stop: Callable[[], bool] | None = None, confidence: float = CONFIDENCE, min_face: int | None = None,
+    on_progress: Callable[..., None] | None = None, stop: Callable[[], bool] | None = None, confidence: float = CONFIDENCE, min_face: int | None = None, journal: str | None = None,
 ) -> tuple[Catalog, dict[str, int]]:
     """All new or changed pictures of ``folder`` in the catalog, with size, time taken, hash and objects; (catalog, counts).
 
-    Files are listed first; only stale ones are read, ``commit`` of them at a time. Each lot is stored whole and passed to ``save``
-    (which returns the catalog to go on with; by default ``settled``), so that a scan that breaks off or is stopped keeps
-    the lots before. A file that can't be read counts as an error and is tried again by the next scan."""
+    Files are listed first; only stale ones are read, ``commit`` of them at a time. Each lot is written whole to ``journal`` (a folder;
+    by default one for this run), and at the end, or when it is stopped, all lots are stored at once and passed to ``save``, so the work of a lot doesn't
+    grow with the catalog. Lots that a scan which broke off has left in ``journal`` are stored first. A file that can't be read counts as
+    an error and is tried again by the next scan."""
     spark = catalog.photos.sparkSession
+    save = save or (lambda c: c)
+    journal = journal or f"{run_dir(spark)}/journal-{uuid.uuid4().hex}"
+    if sources.readable(spark, [journal]):
+        catalog = save(fold_journal(catalog, journal, confidence, min_face))
+        remove(spark, journal)
     listed = written(sources.discover(spark, folder, recursive), "listed")
     stale = written(stale_files(listed.select("path", "mtime"), catalog.photos), "stale")
     total, todo = listed.count(), stale.count()
     counts = {"total": total, "skipped": total - todo, "processed": 0, "errors": 0, "faces_found": 0}
-    for lot in in_commits(stale, commit):
+    for number, lot in enumerate(in_commits(stale, commit)):
         if stop is not None and stop():
             break
         good = boxes = 0
         if there := sources.readable(spark, lot):  # others went since they were listed
             found = analyse(sources.contents(spark, there), factory)
-            found = written(found.drop("phash").join(hashes_of(spark, there), "path", "left").select(*found.columns), "analysed")
-            good, boxes = found.agg(F.count_if(F.col("error").isNull()), F.coalesce(F.sum(F.size("boxes")), F.lit(0))).first()
-            catalog = store(catalog, found, scanned_at, confidence, min_face)
-            catalog = catalog.settled() if save is None else save(catalog)
+            hashed = found.drop("phash").join(hashes_of(spark, there), "path", "left").select(*found.columns, F.lit(scanned_at).alias("scanned_at"))
+            path = f"{journal}/lot-{number:08d}"
+            hashed.write.parquet(path)
+            written_lot = spark.read.schema(hashed.schema).parquet(path)
+            good, boxes = written_lot.agg(F.count_if(F.col("error").isNull()), F.coalesce(F.sum(F.size("boxes")), F.lit(0))).first()
         counts |= {"processed": counts["processed"] + good, "errors": counts["errors"] + len(lot) - good, "faces_found": counts["faces_found"] + boxes}
         if on_progress:
             on_progress(**counts)
+    if counts["processed"]:
+        catalog = save(fold_journal(catalog, journal, confidence, min_face))
+    remove(spark, journal)
     return catalog, counts
 
 
 def backfill(catalog: Catalog, commit: int = COMMIT, save: Callable[[Catalog], Catalog] | None = None, on_progress: Callable[[int, int], None] | None = None, stop: Callable[[], bool] | None = None) -> tuple[Catalog, int]:
-    """Hashes for photos without one, from their files, so many at a time; (catalog, photos that got one)."""
+    """Hashes for photos without one, from their files, so many at a time; (catalog, photos that got one). Lots are
+    written as they come and stored at once at the end, or when it is stopped."""
     spark = catalog.photos.sparkSession
     work = written(unhashed(catalog.photos), "unhashed")
     total, seen, updated = work.count(), 0, 0
-    for lot in in_commits(work, commit):
+    lots = f"{run_dir(spark)}/hashes-{uuid.uuid4().hex}"
+    for number, lot in enumerate(in_commits(work, commit)):
         if stop is not None and stop():
             break
         if there := sources.readable(spark, lot):
-            new = written(hashes_of(spark, there).where("phash is not null"), "hashes")
-            if n := new.count():
-                catalog = backfill_hashes(catalog, new)
-                catalog = catalog.settled() if save is None else save(catalog)
-                updated += n
+            path = f"{lots}/lot-{number:08d}"
+            hashes_of(spark, there).where("phash is not null").write.parquet(path)
+            updated += spark.read.schema("path string, phash string").parquet(path).count()
         seen += len(lot)
         if on_progress:
             on_progress(seen, total)
+    if updated:
+        found = spark.read.schema("path string, phash string").parquet(f"{lots}/lot-*")
+        catalog = (save or (lambda c: c))(backfill_hashes(catalog, found).settled())
     return catalog, updated

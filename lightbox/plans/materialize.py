@@ -33,7 +33,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder wherever Spark can write, if it is there."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def discard(spark: SparkSession) -> None:
     """Removes all tables that this application has written. Results that still read them must be stored before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, run_dir(spark))

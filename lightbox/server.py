@@ -63,7 +63,7 @@ class App:
         return found.__dict__ | {"ok": True}
 
     def scan(self, folder: str, recursive: bool) -> dict:
-        """A scan as a task: every lot is saved, progress is shown, and a stop is heeded between lots."""
+        """A scan as a task: every lot is written, progress is shown, and a stop is heeded between lots."""
         if not os.path.isdir(folder):
             raise ActionError("folder not found", 400)
         found = self.settings()
@@ -73,7 +73,7 @@ class App:
         def run(task):
             with self.lock:
                 catalog = self.catalog() if os.path.isdir(os.path.join(self.path, "meta")) else Catalog.empty(self.spark)
-                _, counts = ingest.scan(catalog, folder, cli.now(), recursive=recursive, save=cli.committed(self.spark, self.path), on_progress=task.report, stop=task.stop.is_set, confidence=found.confidence, min_face=found.min_face)
+                _, counts = ingest.scan(catalog, folder, cli.now(), recursive=recursive, save=cli.committed(self.spark, self.path), on_progress=task.report, stop=task.stop.is_set, confidence=found.confidence, min_face=found.min_face, journal=cli.journal_path(self.path))
             task.report(last=True, **counts)
             return counts
 

@@ -129,6 +129,13 @@ def test_scan_fills_the_catalog_in_commits(spark, tmp_path, capsys, monkeypatch)
     stops = iter([False, True])
     state, counts = ingest.scan(Catalog.empty(spark), str(folder), "2999-01-01 00:00:00", commit=2, stop=lambda: next(stops))
     assert counts["processed"] == 2 and state.photos.count() == 2
+    # one that breaks off leaves its lots to the next one, with the time of their scan
+    journal, stops = str(tmp_path / "journal"), iter([False])
+    with pytest.raises(StopIteration):
+        ingest.scan(Catalog.empty(spark), str(folder), "2001-01-01 00:00:00", commit=2, stop=lambda: next(stops), journal=journal)
+    assert sorted(os.listdir(journal)) == ["lot-00000000"]
+    state, counts = ingest.scan(Catalog.empty(spark), str(folder), "2999-01-01 00:00:00", journal=journal, stop=lambda: True)
+    assert counts["processed"] == 0 and {r["scanned_at"] for r in state.photos.collect()} == {"2001-01-01 00:00:00"} and state.photos.count() == 2 and not os.path.exists(journal)
 
 
 def test_objects_of_pictures_by_a_table_function(spark):

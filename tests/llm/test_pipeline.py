@@ -1,4 +1,5 @@
 import public_tokenizers as P
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lightbox.llm import bpe, mixing, ngramjoin, quality, queries
@@ -55,6 +56,19 @@ def test_each_component_keeps_exactly_one_row(spark, docs, prose):
     assert len(left) == 13
 
 
+def test_stages_keep_columns_of_any_name(spark, docs, prose, odd):
+    names = ["row_digest", "key_id", "KEY_DIGEST", "pii", "masked", "mix_shard", "mix_order", "sid", "quality", "meta", "digest", "top", "a.b"]
+    texts = [prose(k, 40 + k) for k in range(12)] + [prose(3, 43), f"mail a.b@c.de {prose(99, 50)}", *odd[3:7], "", None]
+    df = docs(texts, ids=[*range(17), None, None, 3])
+    for name in names:
+        df = df.withColumn(name, F.lit(7))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = corpus_pipeline.written(stage(spark, df, SF), f"t-{name}")
+        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "kept", *names], name
+        assert all(r[c] == 7 for r in df.collect() for c in names)
+    assert df.count() and corpus_pipeline.encode(spark, df, SF).columns == ["doc_id", "source", "n_tokens", "ids"]
+
+
 def test_empty(spark, docs, tmp_path):
     docs([]).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

@@ -59,7 +59,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, units_per_block: int = 20_
     """(doc_id, size, text_crc32, shard, slot, digest) for every row of ``docs``; ``digest`` is the MD5 of the text.
 
     A group of equal texts with more than 1 / (n_shards * hot_split) of all bytes, tokens
-    or rows is salted by doc_id; there are at most 3 * n_shards * hot_split such groups,
+    or rows is salted by doc_id (rows without one by their place in the table); there are at most 3 * n_shards * hot_split such groups,
     which bounds the broadcast."""
     text = F.coalesce("text", F.lit(""))
     facts = written(
@@ -69,6 +69,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, units_per_block: int = 20_
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"),
             F.crc32(text).alias("text_crc32"),
             F.unhex(F.md5(text)).alias("digest"),
+            F.monotonically_increasing_id().alias("row"),  # written with the facts, so it stays the same
         ),
         "shard-facts",
     )
@@ -82,7 +83,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, units_per_block: int = 20_
         .select("digest", F.lit(parts).alias("salts"))
     )
     # all groups are "hot" in a tiny table; salting then changes nothing but the grain
-    salted = facts.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), "salts"), F.lit(0)).cast("int")).drop("salts")
+    salted = facts.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(F.coalesce("doc_id", -1 - F.col("row"))), "salts"), F.lit(0)).cast("int")).drop("salts")
     n_blocks = max(1, math.ceil((total["n_rows"] or 0) / units_per_block))
     units = salted.groupBy("digest", "salt").agg(*sums).withColumn("node", F.pmod(F.xxhash64("digest", "salt"), F.lit(n_blocks)))
     schema = "digest binary, salt int, n_bytes long, n_tokens long, n_rows long, node long, bin int, start long"
@@ -110,7 +111,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, units_per_block: int = 20_
         )
     else:
         homes = placed.select("digest", "salt", F.col("bin").alias("shard"), "start")
-    within = Window.partitionBy("digest", "salt").orderBy("doc_id")
+    within = Window.partitionBy("digest", "salt").orderBy("doc_id", "row")
     return salted.join(homes, ["digest", "salt"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.row_number().over(within) - 1).alias("slot"), "digest")
 
 

@@ -50,6 +50,12 @@ def test_copies_stay_together_unless_hot(docs, prose):
     assert len({r["shard"] for r in rows if r["text_crc32"] == crc}) == 1
 
 
+def test_a_hot_group_without_ids_is_spread(docs, prose):
+    rows = shards_of(docs([prose(k, 30) for k in range(200)] + [prose(9999, 30)] * 400, ids=[*range(200), *[None] * 400]))
+    sizes = Counter(r["shard"] for r in rows if r["doc_id"] is None)
+    assert gapless(rows) and len(sizes) == 8 and max(Counter(r["shard"] for r in rows).values()) < 1.1 * 75
+
+
 def test_packing_against_a_plain_one():
     """``place`` puts each vector, largest first, where the dot product with what is left of the capacity is highest."""
     r = random.Random(9)

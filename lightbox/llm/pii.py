@@ -54,6 +54,8 @@ SECRET_MARKS = ["token", "passw", "passphrase", "passcode", "pwd", "secret", "ap
 #: A secret's word is assigned to it if only these signs stand between them.
 ASSIGNED = SECRET_WORDS + r"""[\"']?\s*(?:\b(?:is|ist|est|es)\b)?\s*(?:=>|:=|[=:])?\s*[\"']?$"""
 LONGEST_SECRET, LEAST_BITS, LONG_SECRET = 512, 3.0, 32
+#: A run of so many characters that a word is assigned to needs fewer bits a character, as short random ones repeat some.
+ASSIGNED_LENGTH, ASSIGNED_BITS = 12, 2.0
 # Starting scores, gain of a confirmed checksum, and words that raise a score when near.
 START = {"email": 0.9, "ip": 0.8, "card": 0.4, "phone": 0.8, "iban": 0.4, "ssn": 0.4, "card_short": 0.2, "key": 0.9, "secret": 0.0}
 CHECKED = {"card": 0.5, "iban": 0.4, "card_short": 0.3}
@@ -164,9 +166,10 @@ def _scored(kind: str, matches: Column) -> Column:
     def score(m: Column) -> Column:
         from_context = gain(near(m), CONTEXT_GAIN[kind])
         if kind == "secret":
-            is_random = entropy(m["match"]) >= LEAST_BITS
+            assigned = m["before"].rlike(ASSIGNED)
+            is_random = entropy(m["match"]) >= F.when(assigned & (F.length(m["match"]) >= ASSIGNED_LENGTH), F.lit(ASSIGNED_BITS)).otherwise(F.lit(LEAST_BITS))
             of_form = F.when(is_random, F.lit(RANDOM_GAIN) + gain(F.length(m["match"]) >= LONG_SECRET, LONG_GAIN)).otherwise(F.lit(0.0))
-            return F.when(from_context > 0, F.round(from_context + of_form + gain(m["before"].rlike(ASSIGNED), ASSIGNED_GAIN), 3)).otherwise(F.lit(0.0))
+            return F.when(from_context > 0, F.round(from_context + of_form + gain(assigned, ASSIGNED_GAIN), 3)).otherwise(F.lit(0.0))
         return F.lit(START[kind] + CHECKED.get(kind, 0.0)) + from_context
 
     valid = F.filter(matches, lambda m: _valid(kind, m["match"]))

@@ -11,36 +11,17 @@ from ..catalog import Catalog
 from ..functions.names import auto_name, auto_number, user_defined
 from ..functions.vectors import mean_vectors
 from ..plans.materialize import written
-from .graph import connected_components
-from .neighbors import nearest_centroid, radius_join, unit
+from . import density
+from .neighbors import nearest_centroid
+from .regions import unit
 
 # Defaults of the catalog's tools.
 EPS, MIN_SAMPLES = 0.55, 3
-#: Core links that one task joins; more take rounds over the cluster.
-ONE_TASK = 1_000_000
-
-
-def density_labels(ids: DataFrame, links: DataFrame, min_samples: int) -> DataFrame:
-    """(id, label, is_core): the labels of a sequential DBSCAN over rows in id order. ``links`` (a, b) are
-    all pairs of neighbours, a < b. A row counts as its own neighbour; clusters are numbered by
-    their smallest core row; a border row takes the smallest label among its core neighbours."""
-    links = written(links.select("a", "b"), "links")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    cores = ids.select("id").where(F.lit(min_samples <= 1)) if min_samples <= 1 else both.groupBy("a").count().where(F.col("count") + 1 >= min_samples).select(F.col("a").alias("id"))
-    cores = written(cores.select("id").distinct(), "cores")
-    ca, cb = cores.withColumnRenamed("id", "a"), cores.withColumnRenamed("id", "b")
-    roots = connected_components(links.join(ca, "a", "left_semi").join(cb, "b", "left_semi"), small=ONE_TASK)
-    rooted = cores.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    numbers = rooted.select("root").distinct().withColumn("label", F.row_number().over(Window.orderBy("root")) - 1)  # one row a cluster
-    core_labels = written(rooted.join(numbers, "root").select("id", "label"), "core-labels")
-    border = both.join(cores.withColumnRenamed("id", "a"), "a", "left_anti").join(core_labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("border"))
-    labelled = ids.select("id").join(core_labels, "id", "left").join(border, "id", "left")
-    return labelled.select("id", F.coalesce("label", "border", F.lit(-1)).cast("int").alias("label"), F.col("label").isNotNull().alias("is_core"))
 
 
 def dbscan(vectors: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
     """(id, label, is_core) of ``vectors`` (id, embedding); noise has label -1; distance is cosine, eps inclusive."""
-    return density_labels(vectors, radius_join(vectors, eps), min_samples)
+    return density.dbscan(vectors, eps, min_samples)
 
 
 def centroids(catalog: Catalog) -> DataFrame:

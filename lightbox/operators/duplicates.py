@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from ..catalog import Catalog
 from ..functions.hashes import from_hex
 from ..plans.materialize import written
-from .clustering import density_labels
-from .neighbors import hamming_join
+from .density import density_labels
+from .neighbors import near_hashes
 
 # Defaults of the catalog's tools.
 BITS, LEAST_GROUP = 10, 2
 
 
 def duplicate_labels(hashes: DataFrame, bits: int = BITS, least: int = LEAST_GROUP) -> DataFrame:
-    """(id, label) of ``hashes`` (id, hash long): density clustering on Hamming distance; -1 for singles."""
-    hashes = hashes.where("id is not null and hash is not null")
-    return density_labels(hashes, hamming_join(hashes, bits), least).select("id", "label")
+    """(id, label) of ``hashes`` (id, hash long): density clustering on Hamming distance; -1 for singles.
+
+    Distinct hashes are clustered, each counting as often as it occurs, and rows get their hash's label, so no pair of equal hashes is ever made."""
+    hashes = hashes.where("id is not null and hash is not null").select("id", "hash")
+    distinct = written(hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("least")), "distinct-hashes")
+    links = near_hashes(distinct.select("hash"), bits).select(F.col("h1").alias("a"), F.col("h2").alias("b"))
+    labels = density_labels(distinct.withColumnRenamed("hash", "id"), links, least)
+    return hashes.join(labels.select(F.col("id").alias("hash"), "label"), "hash").select("id", "label")
 
 
 def detect_duplicates(catalog: Catalog, bits: int = BITS, least: int = LEAST_GROUP) -> tuple[Catalog, int]:

@@ -4,123 +4,94 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import reduce
-from itertools import combinations, islice
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashes import hamming
-from ..functions.vectors import FLOOR
 from ..plans.materialize import written
+from . import regions
+from .regions import unit
 
-#: Vectors in a part of a block, and blocks at most (their centres are held by the driver: bounded).
-BLOCK, MOST_BLOCKS = 2048, 4096
-#: Centroids that a task holds at a time.
+#: Centroids that all tasks hold.
 CENTROIDS = 4096
 #: Bands of bits whose values are probed within this many bits at most.
 LEAST_BANDS, PROBED = 4, 2
 
 
-def unit(rows) -> np.ndarray:
-    """Rows of an Arrow list column or of a sequence as unit vectors."""
-    if isinstance(rows, pa.ChunkedArray):
-        rows = rows.combine_chunks()
-    if isinstance(rows, pa.Array):
-        n = len(rows)
-        flat = rows.flatten().to_numpy(zero_copy_only=False)
-        if n and len(flat) % n == 0 and len(pc.unique(pc.list_value_length(rows))) == 1:
-            m = flat.reshape(n, -1).astype(np.float64)
-        else:
-            m = np.asarray(rows.to_pylist(), dtype=np.float64)
-    else:
-        m = np.asarray(list(rows), dtype=np.float64)
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), FLOOR) if len(m) else m.reshape(0, 0)
-
-
 def radius_join(vectors: DataFrame, eps: float) -> DataFrame:
     """All pairs (a, b, dist), a < b, of rows of ``vectors`` (id, embedding) with cosine distance <= eps.
 
-    Exact. Vectors lie in blocks around pivots; two blocks meet only if the angle between their
-    centres, less both radii, is within the angle of eps. A block of any size is dealt to parts of about BLOCK
-    vectors, and each meeting of two parts is a matrix product. Rows of null vectors are dropped."""
+    Exact. Rows lie in parts that a pivot and two angles bound; each row meets the parts in its reach that come after its own, and its
+    own one, so a pair is compared once. Rows of null vectors are dropped."""
     vectors = vectors.where("id is not null and embedding is not null").select("id", "embedding")
-    spark = vectors.sparkSession
     n = vectors.count()
-    n_blocks = min(MOST_BLOCKS, max(1, -(-n // BLOCK)))
-    if n_blocks == 1:
-        placed = vectors.select("id", "embedding", F.lit(0).alias("block"))
-        meets = np.zeros((1, 1), dtype=bool) | True
-    else:
-        pivots = unit(r[0] for r in vectors.orderBy(F.xxhash64("id"), "id").select("embedding").limit(n_blocks).collect())
+    schema = "a long, b long, dist double"
 
-        def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                m = unit(batch.column(1))
-                at = np.argmax(m @ pivots.T, axis=1) if len(m) else np.zeros(0, dtype=np.int64)
-                angle = np.arccos(np.clip(np.einsum("ij,ij->i", m, pivots[at]), -1, 1)) if len(m) else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at.astype(np.int32)), pa.array(angle)], names=["id", "embedding", "block", "angle"])
-
-        placed = written(vectors.mapInArrow(near, "id long, embedding array<float>, block int, angle double"), "vectors")
-        radius = np.full(n_blocks, -np.inf)
-        for row in placed.groupBy("block").agg(F.max("angle").alias("r")).collect():
-            radius[row["block"]] = row["r"]
-        apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1)) - radius[:, None] - radius[None, :]
-        meets = apart <= np.arccos(max(-1.0, 1 - eps)) + 1e-6
-    i, j = np.nonzero(np.triu(meets))
-    met = spark.createDataFrame(pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32)}))  # at most MOST_BLOCKS ** 2 / 2 rows of two ints
-    parts = placed.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    part = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    met = met.join(parts.toDF("i", "ni"), "i").join(parts.toDF("j", "nj"), "j").select("i", "j", "nj", part("ni").alias("pi")).select("i", "j", "pi", part("nj").alias("pj")).where("i < j or pi <= pj")
-    members = placed.join(parts, "block").select("id", "embedding", "block", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
-    task = ["i", "pi", "j", "pj"]
-    left = members.join(met, (F.col("block") == F.col("i")) & (F.col("part") == F.col("pi"))).select(*task, F.lit(0).alias("side"), "id", "embedding")
-    right = members.join(met.where("i <> j or pi <> pj"), (F.col("block") == F.col("j")) & (F.col("part") == F.col("pj"))).select(*task, F.lit(1).alias("side"), "id", "embedding")
-
-    def product(table: pa.Table) -> pa.Table:
-        side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
-        m = unit(table.column("embedding"))
-        x, a = m[side == 0], ids[side == 0]
-        alone = not (side == 1).any()
-        y, b = (x, a) if alone else (m[side == 1], ids[side == 1])
-        if alone and any(table.column(c)[0] != table.column(d)[0] for c, d in (("i", "j"), ("pi", "pj"))):
-            x, a = x[:0], a[:0]  # the other part is empty
+    def pairs(points: pa.Table, others: pa.Table) -> pa.Table:
+        a, b = (t.column("id").to_numpy() for t in (points, others))
+        x, y = unit(points.column("embedding")), unit(others.column("embedding"))
+        own = points.column("part").to_numpy()[:, None] == others.column("part").to_numpy()[:1]
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for k in range(0, len(a), 1024):
-            dist = 1.0 - x[k : k + 1024] @ y.T
-            r, c = np.nonzero(dist <= eps)
-            keep = a[k + r] < b[c] if alone else np.ones(len(r), dtype=bool)
-            r, c = r[keep], c[keep]
+        for k in range(0, len(a) if len(b) else 0, regions.ROWS):
+            dist = 1.0 - x[k : k + regions.ROWS] @ y.T
+            r, c = np.nonzero((dist <= eps) & (~own[k : k + regions.ROWS] | (a[k : k + regions.ROWS, None] < b[None, :])))
             out.append((np.minimum(a[k + r], b[c]), np.maximum(a[k + r], b[c]), dist[r, c]))
         return pa.table(dict(zip(("a", "b", "dist"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    return left.unionByName(right).groupBy(*task).applyInArrow(product, "a long, b long, dist double")
+    if n <= regions.BLOCK:
+        return vectors.withColumn("part", F.lit(0)).groupBy("part").applyInArrow(lambda t: pairs(t, t), schema)  # BLOCK rows at most
+    placed = regions.Regions.of(vectors, n)
+    part = placed.part
+    later = lambda batch: part[None, :] >= batch.column(2).to_numpy()[:, None]
+    points = placed.rows.select("id", "embedding", "part")
+    return placed.meet(points, regions.angle_of(eps), pairs, schema, fits=later, rows=points)
 
 
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, key: str = "cluster_id") -> DataFrame:
     """(id, key, dist) for each row of ``vectors`` (id, embedding): the centroid (key, centroid) of the least
-    cosine distance, the lowest key of equal ones; no row if there are no centroids. Centroids are
-    sorted once and taken to the tasks in slices of CENTROIDS."""
-    ordered = written(centroids.select(key, "centroid"), "centroids").orderBy(key).toLocalIterator(prefetchPartitions=False)
-    n, found = 0, None
-    while rows := list(islice(ordered, CENTROIDS)):
-        n += len(rows)
-        keys, matrix = np.array([r[key] for r in rows], dtype=np.int64), np.asarray([r["centroid"] for r in rows], dtype=np.float64)
-
-        def best(batches: Iterable[pa.RecordBatch], keys=keys, matrix=matrix) -> Iterator[pa.RecordBatch]:
+    cosine distance, the lowest key of equal ones; no row if there are no centroids. An id occurs once.
+
+    Up to CENTROIDS of them go to all tasks. More are an index: parts around pivots, which are centroids themselves, so the nearest pivot bounds the
+    distance, and a vector is sent only to the parts that may hold a nearer one, in one pass whatever their number. Equal centroids are one, of the lowest key."""
+    once = written(centroids.where(F.col(key).isNotNull() & F.col("centroid").isNotNull()).groupBy(F.col("centroid").alias("embedding")).agg(F.min(key).alias("id")).select("id", "embedding"), "centroids")
+    n = once.count()
+    some = vectors.where("id is not null and embedding is not null").select("id", "embedding")
+    schema = f"id long, {key} long, dist double"
+
+    def nearest(ids: pa.Array, m: np.ndarray, keys: np.ndarray, matrix: np.ndarray) -> pa.Table:
+        at, dist = np.zeros(len(m), np.int64), np.zeros(len(m))
+        for k in range(0, len(m), regions.ROWS):
+            dots = m[k : k + regions.ROWS] @ matrix.T
+            at[k : k + len(dots)] = np.argmax(dots, axis=1)
+            dist[k : k + len(dots)] = 1.0 - dots[np.arange(len(dots)), at[k : k + len(dots)]]
+        return pa.table([ids, pa.array(keys[at]), pa.array(dist)], names=["id", key, "dist"])
+
+    if n <= CENTROIDS:
+        if not n:
+            return vectors.select("id", F.lit(None).cast("long").alias(key), F.lit(None).cast("double").alias("dist")).where(F.lit(False))
+        rows = sorted(once.collect())  # CENTROIDS rows at most
+        keys, matrix = np.array([r[0] for r in rows], dtype=np.int64), np.asarray([r[1] for r in rows], dtype=np.float64)
+
+        def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                dots = unit(batch.column(1)) @ matrix.T if batch.num_rows else np.zeros((0, len(keys)))
-                at = np.argmax(dots, axis=1) if batch.num_rows else np.zeros(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys[at]), pa.array(1.0 - dots[np.arange(len(at)), at])], names=["id", key, "dist"])
+                if batch.num_rows:
+                    yield from nearest(batch.column(0), unit(batch.column(1)), keys, matrix).to_batches()
+
+        return some.mapInArrow(best, schema)
+    index = regions.Regions.of(once, n)
 
-        some = vectors.where("embedding is not null").select("id", "embedding").mapInArrow(best, f"id long, {key} long, dist double")
-        found = some if found is None else found.unionByName(some)
-    if found is None:
-        return vectors.select("id", F.lit(None).cast("long").alias(key), F.lit(None).cast("double").alias("dist")).where(F.lit(False))
-    return found if n <= CENTROIDS else found.groupBy("id").agg(F.min(F.struct("dist", key)).alias("m")).select("id", f"m.{key}", "m.dist")
+    def best_of_part(points: pa.Table, others: pa.Table) -> pa.Table:
+        if not len(others):
+            return pa.table([points.column("id").slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["id", key, "dist"])
+        others = others.sort_by("id")
+        return nearest(points.column("id"), unit(points.column("embedding")), others.column("id").to_numpy(), np.asarray(others.column("embedding").to_pylist(), dtype=np.float64))
+
+    found = index.meet(some, None, best_of_part, schema)
+    return found.groupBy("id").agg(F.min(F.struct("dist", key)).alias("m")).select("id", f"m.{key}", "m.dist")
 
 
 def _masks(width: int, radius: int) -> list[int]:
@@ -128,13 +99,12 @@ def _masks(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in some) for r in range(radius + 1) for some in combinations(range(width), r)]
 
 
-def hamming_join(hashes: DataFrame, most: int) -> DataFrame:
-    """All pairs (a, b, bits), a < b, of rows of ``hashes`` (id, hash long) that differ in at most ``most`` bits.
+def near_hashes(distinct: DataFrame, most: int) -> DataFrame:
+    """All pairs (h1, h2, bits), h1 < h2, of ``distinct`` (hash long) that differ in at most ``most`` bits.
 
     Exact: of m bands of bits one differs in at most most // m, so each hash is entered once a band and
-    looks up all values of its bands within that many bits (2 at most; 4 bands of 16 bits up to 11 bits). Equal hashes
-    are one row in this join, and a pair is made in the first band that shows it only, so nothing is made twice."""
-    hashes = hashes.where("id is not null and hash is not null").select("id", "hash")
+    looks up all values of its bands within that many bits (2 at most; 4 bands of 16 bits up to 11 bits). A pair is made in the first band
+    that shows it only, so nothing is made twice."""
     if most >= 64:  # any two
         bands, radius = 1, 64
     else:
@@ -143,7 +113,6 @@ def hamming_join(hashes: DataFrame, most: int) -> DataFrame:
     cuts = [64 * k // bands for k in range(bands + 1)]
     widths = [b - a for a, b in zip(cuts, cuts[1:], strict=False)]
     part = lambda h, k: F.shiftrightunsigned(h, cuts[k]).bitwiseAND(F.lit((1 << widths[k]) - 1 if widths[k] < 64 else -1))
-    distinct = hashes.select("hash").distinct()
     if radius > PROBED:  # a threshold that tells nothing: one key
         key = lambda h: F.array(F.struct(F.lit(0).alias("band"), F.lit(0).cast("long").alias("bits")))
         entered, looked = distinct.select("hash", F.inline(key("hash"))), distinct.select(F.col("hash").alias("other"), F.inline(key("hash")))
@@ -160,9 +129,15 @@ def hamming_join(hashes: DataFrame, most: int) -> DataFrame:
         shown = lambda k: F.bit_count(part(F.col("x.hash").bitwiseXOR(F.col("y.other")), k)) <= radius
         first = reduce(lambda a, b: a & b, (((F.col("x.band") <= k) | ~shown(k)) for k in range(bands - 1)), F.lit(True))
     x, y = entered.alias("x"), looked.alias("y")
-    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.hash") < F.col("y.other")) & (hamming(F.col("x.hash"), F.col("y.other")) <= most) & first).select(
-        F.col("x.hash").alias("h1"), F.col("y.other").alias("h2"), hamming(F.col("x.hash"), F.col("y.other")).alias("bits")
-    )
-    near = near.unionByName(distinct.select(F.col("hash").alias("h1"), F.col("hash").alias("h2"), F.lit(0).alias("bits")))
+    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.hash") < F.col("y.other"))
+    return x.join(y, met & (hamming(F.col("x.hash"), F.col("y.other")) <= most) & first).select(F.col("x.hash").alias("h1"), F.col("y.other").alias("h2"), hamming(F.col("x.hash"), F.col("y.other")).alias("bits"))
+
+
+def hamming_join(hashes: DataFrame, most: int) -> DataFrame:
+    """All pairs (a, b, bits), a < b, of rows of ``hashes`` (id, hash long) that differ in at most ``most`` bits. Pairs of equal hashes are made only here;
+    groups of near hashes (``duplicates``) need none."""
+    hashes = hashes.where("id is not null and hash is not null").select("id", "hash")
+    distinct = hashes.select("hash").distinct()
+    near = near_hashes(distinct, most).unionByName(distinct.select(F.col("hash").alias("h1"), F.col("hash").alias("h2"), F.lit(0).alias("bits")))
     p = near.join(hashes.toDF("a", "h1"), "h1").join(hashes.toDF("b", "h2"), "h2").where("h1 <> h2 or a < b")
     return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits")

@@ -13,6 +13,7 @@ from ..functions import display, geometry, hashes, names, times, vectors
 from ..operators import clustering, curation, duplicates, export, ingest, neighbors
 from ..sources import fixtures
 from . import views
+from .materialize import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,7 +124,7 @@ def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hashed_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     c = fixtures.catalog(spark, sf_dir)
-    h = hashes.simhash64(fixtures.table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "phash")
+    h = written(hashes.simhash64(fixtures.table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "phash"), "simhashes")  # read by several plans
     return c.to(photos=c.photos.drop("phash").join(h, "id", "left").select(*schema.PHOTOS.names))
 
 

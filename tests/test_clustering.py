@@ -3,7 +3,8 @@ import pytest
 from catalog_helpers import named, near, of, unit
 
 from lightbox.functions import vectors
-from lightbox.operators import clustering, neighbors
+from lightbox.operators import clustering, density, neighbors, regions
+from lightbox.plans.materialize import written
 
 
 def brute_labels(m, eps, least):
@@ -28,7 +29,7 @@ def brute_labels(m, eps, least):
 
 @pytest.mark.parametrize("block", [2048, 40])
 def test_dbscan_is_the_sequential_one(spark, monkeypatch, block):
-    monkeypatch.setattr(neighbors, "BLOCK", block)
+    monkeypatch.setattr(regions, "BLOCK", block)
     rng = np.random.RandomState(0)
     centres = rng.randn(12, 8)
     m = np.concatenate([c + 0.35 * rng.randn(12, 8) for c in centres] + [rng.randn(40, 8)]).astype(np.float32)
@@ -39,6 +40,75 @@ def test_dbscan_is_the_sequential_one(spark, monkeypatch, block):
         assert [found[i] for i in range(len(m))] == brute_labels(m.astype(float), eps, least).tolist()
 
 
+def clouds(kind):
+    r = np.random.RandomState(7)
+    unit_rows = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    if kind == "copies and noise":
+        m = np.concatenate([np.repeat(r.randn(2, 6), 90, axis=0), r.randn(80, 6)])
+    elif kind == "tight clouds":
+        m = np.concatenate([c + 0.05 * r.randn(70, 6) for c in unit_rows(r.randn(4, 6))] + [r.randn(60, 6)])
+    elif kind == "wide":
+        m = np.concatenate([c + 0.75 * r.randn(60, 12) / 12**0.5 * 3 for c in unit_rows(r.randn(4, 12)) * 2] + [r.randn(50, 12)])
+    else:  # a chain round a circle, cut twice, and its bridges
+        t = np.delete(np.linspace(0, 2 * np.pi, 300, endpoint=False), [0, 1, 2, 3, 150, 151, 152, 153])
+        m = np.stack([np.cos(t), np.sin(t), 0 * t], axis=1)
+    return m[r.permutation(len(m))].astype(np.float32)
+
+
+@pytest.mark.parametrize("kind, eps, least", [("copies and noise", 0.1, 4), ("tight clouds", 0.08, 3), ("wide", 0.35, 3), ("chain", 0.0005, 2)])
+def test_clusters_over_many_parts(spark, monkeypatch, kind, eps, least):
+    """Cells, trees, witnesses and the comparison of what is left give the labels of the sequential search."""
+    monkeypatch.setattr(regions, "BLOCK", 32)
+    monkeypatch.setattr(regions, "POINTS", 24)
+    m = clouds(kind)
+    df = spark.createDataFrame([(i * 3 + 1, [float(x) for x in v]) for i, v in enumerate(m)], "id long, embedding array<float>")
+    found = {r["id"]: (r["label"], r["is_core"]) for r in density.dbscan(df, eps, least).collect()}
+    want = brute_labels(m.astype(float), eps, least)
+    assert [found[i * 3 + 1][0] for i in range(len(m))] == want.tolist()
+    label, core = density.labels_here(np.arange(len(m)), regions.unit(m), eps, least)
+    assert label.tolist() == want.tolist() and core.tolist() == [found[i * 3 + 1][1] for i in range(len(m))]
+
+
+def test_copies_take_rows_in_proportion(spark, monkeypatch):
+    """Copies of one vector, with noise: what is written follows the rows, not their pairs."""
+    monkeypatch.setattr(regions, "BLOCK", 64)
+    rows = []
+    monkeypatch.setattr(density, "written", lambda df, name: (lambda t: (rows.append(t.count()), t)[1])(written(df, name)))
+    r = np.random.RandomState(5)
+    taken = []
+    for n in (1000, 4000):
+        m = np.concatenate([np.repeat(r.randn(1, 16), n, axis=0), r.randn(40, 16)])
+        df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, embedding array<float>")
+        rows.clear()
+        labels = density.dbscan(df, 0.2, 3)
+        assert labels.where("label = 0 and is_core").count() == n and labels.where("label = -1").count() >= 30
+        taken.append(sum(rows))
+    assert taken[1] < 5 * taken[0]
+
+
+def test_nearest_of_many_centroids(spark, monkeypatch):
+    """An index over parts of centroids gives the nearest one, of equal ones the lowest key."""
+    monkeypatch.setattr(neighbors, "CENTROIDS", 50)
+    monkeypatch.setattr(regions, "BLOCK", 20)
+    r = np.random.RandomState(4)
+    c = r.randn(400, 8)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    c[200:260] = c[:60]
+    keys = r.permutation(1000)[:400]
+    cents = spark.createDataFrame([(int(k), [float(x) for x in v]) for k, v in zip(keys, c, strict=True)], "cluster_id long, centroid array<double>")
+    m = np.concatenate([r.randn(150, 8), c[:70]]).astype(np.float32)
+    probe = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, embedding array<float>")
+    u = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    dist = 1 - u @ c.T
+    got = {row["id"]: (row["cluster_id"], row["dist"]) for row in neighbors.nearest_centroid(probe, cents).collect()}
+    assert len(got) == len(m)
+    for i in range(len(m)):
+        least = dist[i].min()
+        assert abs(got[i][1] - least) < 1e-12
+        assert got[i][0] == min(keys[np.abs(dist[i] - least) < 1e-13])
+    assert neighbors.nearest_centroid(probe, cents)._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD[id") == 1  # one pass over the vectors
+
+
 def test_full_clustering_clears_names_and_keeps_nothing_without_faces(make):
     a, b = unit(1), unit(999)
     c = make([{"id": i, "v": near(a, i), "cluster": 7} for i in range(1, 4)] + [{"id": i, "v": near(b, i)} for i in range(4, 7)] + [{"id": 7, "v": unit(70001)}, {"id": 8, "v": near(a, 8), "dismissed": 1}], [(7, "Alice")])
@@ -124,8 +194,8 @@ def test_packed_vectors_round_trip(spark):
 @pytest.mark.parametrize("block, most", [(2048, 4096), (16, 4096), (16, 3)])
 def test_radius_join_over_parts_of_blocks(spark, monkeypatch, block, most):
     """Blocks larger than BLOCK are dealt to parts; every pair is found once."""
-    monkeypatch.setattr(neighbors, "BLOCK", block)
-    monkeypatch.setattr(neighbors, "MOST_BLOCKS", most)
+    monkeypatch.setattr(regions, "BLOCK", block)
+    monkeypatch.setattr(regions, "MOST_BLOCKS", most)
     r = np.random.RandomState(1)
     m = r.randn(6, 8)[r.randint(0, 6, 150)] + 0.3 * r.randn(150, 8)
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, embedding array<float>")

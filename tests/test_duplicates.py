@@ -55,3 +55,36 @@ def test_perceptual_hash_sees_through_scale_and_light(spark):
     df = spark.createDataFrame([(128, 128, 1, bytearray(a.astype(np.uint8).tobytes())), (5, 5, 3, bytearray(b"x"))], "h int, w int, c int, d binary")
     got = [r[0] for r in df.select(hashes.phash64("h", "w", "c", "d")).collect()]
     assert len(got[0]) == 16 and got[1] is None
+
+
+def test_many_photos_of_one_hash(spark):
+    """Groups count equal hashes without a pair of them; labels are those of all photos compared with all."""
+    r = random.Random(8)
+    base = [r.getrandbits(63) for _ in range(6)]
+    values = [base[0]] * 20_000 + [b ^ (1 << r.randrange(63)) for b in base for _ in range(3)] + [r.getrandbits(63) for _ in range(5)] + [base[5]]
+    order = list(range(len(values)))
+    r.shuffle(order)
+    df = spark.createDataFrame([(k, values[i]) for k, i in enumerate(order)], "id long, hash long")
+    got = {row["id"]: row["label"] for row in duplicates.duplicate_labels(df, 2, 4).collect()}
+    distinct = sorted(set(values))
+    weight, first = {}, {}
+    for k, i in enumerate(order):
+        weight[values[i]] = weight.get(values[i], 0) + 1
+        first.setdefault(values[i], k)
+    near = {h: [o for o in distinct if (h ^ o).bit_count() <= 2] for h in distinct}
+    core = {h for h in distinct if sum(weight[o] for o in near[h]) >= 4}
+    label, n = {}, 0
+    for h in sorted(core, key=first.get):
+        if h not in label:
+            stack = [h]
+            label[h] = n
+            while stack:
+                for o in near[stack.pop()]:
+                    if o in core and o not in label:
+                        label[o] = n
+                        stack.append(o)
+            n += 1
+    for h in distinct:
+        if h not in core:
+            label[h] = min((label[o] for o in near[h] if o in core), default=-1)
+    assert got == {k: label[values[i]] for k, i in enumerate(order)}

@@ -3,7 +3,7 @@
 Each text is checked once, in the task that reads it. Exact copies are found by routed fingerprints: texts go to
 partitions by their xxhash, sorted by it, and each hash's chain holds full texts with the smallest doc_id, so equal hashes of unlike texts stay apart. A
 task first folds its own rows: of a text it sends one entry, for its smallest doc_id, and marks larger ones at once; so
-a text that a third of all rows hold sends an entry a task. Rows, as small facts by then, meet their labels in a join, and
+a text that a third of all rows hold sends an entry a task. There are as many partitions as the bytes of all texts need. Rows, as small facts by then, meet their labels in a join, and
 ``combineByKey`` adds up vectors of counts: for each set of failed filters the documents, the good and the toxic ones.
 All orders follow from such a vector of 2 ** filters counts, without another look at the texts.
 
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import trim
 
-#: Bytes of texts that a task folds before it sends them on.
-FOLDED = 32_000_000
+#: Bytes of texts that a task folds before it sends them on, and that a partition of routed texts holds about.
+FOLDED, ROUTED = 32_000_000, 64_000_000
 UPPER, MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
 COUNTS = "kept removed redundant unique_fails good_lost toxic_lost shapley".split()
 
@@ -132,8 +132,9 @@ def masks(docs: DataFrame, part: str = "lang", checks: dict[str, Callable[[Text]
     one for copies)."""
     run = tuple((CHECKS if checks is None else checks).values())
     copy = 1 << len(run)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(-(-size // ROUTED), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.col(f"`{part}`")).rdd
-    n = max(rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def fold(rows: Iterable) -> Iterator[tuple]:
         for kind, *rest in _folded(map(tuple, rows), run, copy):

@@ -1,15 +1,15 @@
 """Packing of documents into windows of a fixed number of tokens by lexical retrieval.
 
 A document's ids, with an end id, fill windows of their own as far as they go; what is left of it, its tail, is packed
-with others. Tails are routed by their two weightiest tokens, so that tails with words in common lie in one of the
+with others. Tails are routed by their documents' two weightiest tokens, so that tails with words in common lie in one of the
 shards, which hold about ``SHARD`` tokens each, however often a token occurs. A shard is an inverted
 index of BM25 weights, with document frequencies of the whole corpus. A seed's weightiest tokens are looked up in it; the
 unused neighbours fill the seed's window, best first; the one that passes its end is cut there, and
 the rest of it is the next seed. If nothing unused shares a token, the next unused tail in the shard's order follows. What is left
 at a shard's end is cut into windows of powers of two, so no window needs padding.
 
-Encoding is by the library's file: a text is cut before spaces that a word follows, where no pre-token reaches across;
-distinct pieces of common characters are encoded by merge replay, all others by the library itself.
+Encoding is by the tokenizers library's file, where a text has common characters by a faster library with the same vocabulary; texts that have others are cut before
+spaces that a word follows, where no pre-token reaches across, and only the pieces with such characters go through the first library.
 
 Defined results: a null or empty text is the end id alone; rows are packed one by one, so repeated rows, ties and null ids
 are rows like any other; a very long text gives as many windows as it fills; an empty table gives an empty result; other
@@ -18,18 +18,21 @@ columns than doc_id and text aren't read.
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import MergeReplay, _Index, chunks, gather
+from .bpe import chunks
 from .common import lean, written
 
 #: Tokens of a window, id after each document.
@@ -38,85 +41,41 @@ WINDOW, END = 2048, 1
 SHARD, DOCUMENT = 2_000_000, 100
 #: BM25's two constants, tokens of a seed that are looked up, and neighbours taken from one look-up.
 K1, B, LOOKED_UP, NEIGHBOURS = 1.2, 0.75, 12, 32
-#: Pieces of texts that a worker keeps with their ids.
-KEPT_PIECES = 300_000
 #: Characters whose classes all versions of Unicode agree on, and the string that the library takes for a special token.
 COMMON = re.compile(r"[\x00-\x7f\xa1-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-ɏΑ-ΡΣ-ωА-я‐-‧€]*")
 SPECIAL = "<|endoftext|>"
-WHITE_START = re.compile(r"\s|\x85|$")
+#: Where no pre-token reaches across: before a space that a word follows.
+PIECES = re.compile(r"(?= \S)")
+
+
+def is_common(text: str) -> bool:
+    return COMMON.fullmatch(text) is not None and SPECIAL not in text
 
 
 class Encoder:
-    """Ids by a file of the tokenizers library and the file of ranks with the same vocabulary."""
+    """Ids by a file of the tokenizers library. Common characters go through a library for the file of ranks with the same vocabulary, which
+    is faster; pieces of a text with others go through the first."""
 
     def __init__(self, path: str, ranks: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import tiktoken
         from tokenizers import Tokenizer
 
+        with open(ranks, "rb") as f:
+            vocabulary = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.library = Tokenizer.from_file(path)
-        self.replay = MergeReplay(ranks, pattern)
-        self.forget()
-
-    def forget(self) -> None:
-        """Keys: a piece that starts with a space, without it; a text's first piece, with a space before it."""
-        self.index = _Index()
-        self.ids, self.at, self.len = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.crossed = np.zeros(0, dtype=bool)
-
-    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of texts, each encoded as it stands, one after another, and each one's number of ids."""
-        common = np.array([COMMON.fullmatch(t) is not None and SPECIAL not in t for t in texts], dtype=bool)
-        plain_ids, plain_counts = self.replay.encode([t for t, c in zip(texts, common, strict=True) if c])
-        odd = [e.ids for e in self.library.encode_batch([t for t, c in zip(texts, common, strict=True) if not c], add_special_tokens=False)]
-        counts = np.zeros(len(texts), dtype=np.int64)
-        counts[common], counts[~common] = plain_counts, [len(x) for x in odd]
-        at = np.cumsum(counts) - counts
-        ids = np.zeros(int(counts.sum()), dtype=np.int32)
-        ids[gather(at[common], counts[common])] = plain_ids
-        ids[gather(at[~common], counts[~common])] = [i for x in odd for i in x]
-        return ids, counts
-
-    def learn(self) -> None:
-        new, self.index.new = self.index.new, []
-        if not new:
-            return
-        ids, counts = self.whole([k[1:] if k[:1] == " " else " " + k for k in new])
-        self.at = np.concatenate((self.at, np.cumsum(counts) - counts + len(self.ids)))
-        self.len, self.ids = np.concatenate((self.len, counts)), np.concatenate((self.ids, ids))
-        self.crossed = np.concatenate((self.crossed, np.array([k[:1] != " " and WHITE_START.match(k) is not None for k in new], dtype=bool)))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another, and each text's number of ids."""
-        if not texts:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        if len(self.index) > KEPT_PIECES:
-            self.forget()
-        number = self.index.__getitem__
-        pieces = []
-        for text in texts:
-            found = text.split(" ")
-            found[0] = " " + found[0]
-            pieces.append(np.fromiter(map(number, found), dtype=np.int32, count=len(found)))
-        self.learn()
-        # white space that follows a space may belong to a pre-token with what stands before it
-        again = [i for i, p in enumerate(pieces) if self.crossed[p].any()]
-        other_ids, other_counts = self.whole([texts[i] for i in again])
-        for i in again:
-            pieces[i] = pieces[i][:0]
-        bounds = np.cumsum([0] + [len(p) for p in pieces])
-        each = np.concatenate(pieces)
-        ends = np.concatenate(([0], np.cumsum(self.len[each])))
-        counts = np.diff(ends[bounds])
-        ids = self.ids[gather(self.at[each], self.len[each])]
-        if again:
-            counts[again] = other_counts
-            at, odd = np.cumsum(counts) - counts, np.zeros(len(texts), dtype=bool)
-            odd[again] = True
-            full = np.zeros(int(counts.sum()), dtype=np.int32)
-            full[gather(at[~odd], counts[~odd])] = ids
-            full[gather(at[odd], counts[odd])] = other_ids
-            ids = full
-        return ids, counts
+        self.common = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=vocabulary, special_tokens={}).encode_ordinary
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        if is_common(text):
+            ids = self.common(text)
+        else:
+            ids = []
+            for common, pieces in groupby(PIECES.split(text), is_common):
+                joined = "".join(pieces)
+                ids += self.common(joined) if common else self.library.encode(joined, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -129,12 +88,6 @@ def starts_of(lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(lengths) - lengths
 
 
-def binary(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """Runs of ids as little-endian unsigned 32-bit integers."""
-    offsets = np.concatenate(([0], np.cumsum(counts) * 4)).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4").tobytes())])
-
-
 def unbinary(column) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows, and each row's number of ids."""
     rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -144,20 +97,34 @@ def unbinary(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(held.tobytes(), "<u4").astype(np.int64), np.diff(ends).astype(np.int64) // 4
 
 
-def routes(ids: np.ndarray, counts: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two weightiest tokens of each run; -1 if there is none. A byte-pair vocabulary is numbered by frequency, so a token's
+def terms(ids: np.ndarray, counts: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, token, times) of the distinct tokens of each run, by run, then token."""
+    small = len(counts) * vocabulary < 1 << 31  # sorts faster
+    keys = np.repeat(np.arange(len(counts), dtype=np.int32 if small else np.int64), counts) * (np.int32 if small else np.int64)(vocabulary) + ids.astype(np.int32 if small else np.int64)
+    keys.sort()
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    found = keys[first].astype(np.int64)
+    return found // vocabulary, found % vocabulary, np.diff(np.concatenate((first, [len(keys)])))
+
+
+def routes(owner: np.ndarray, token: np.ndarray, times: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two weightiest tokens of each of ``n`` runs; -1 if there is none. A byte-pair vocabulary is numbered by frequency, so a token's
     number stands for its rarity here: routing needs no table of frequencies."""
-    first, second = np.full(len(counts), -1, np.int64), np.full(len(counts), -1, np.int64)
-    if len(ids):
-        keys, times = np.unique(np.repeat(np.arange(len(counts)), counts) * vocabulary + ids, return_counts=True)
-        owner, token = keys // vocabulary, keys % vocabulary
-        order = np.lexsort((token, times / (times + K1) * np.log1p(token), owner))
-        owner, token = owner[order], token[order]
-        last = np.flatnonzero(np.concatenate((owner[1:] != owner[:-1], [True])))
-        first[owner[last]] = token[last]
-        before = last[(last > 0) & (owner[np.maximum(last - 1, 0)] == owner[last])] - 1
-        second[owner[before]] = token[before]
-    return first, second
+    weight = times / (times + K1) * np.log1p(token)
+    starts = np.searchsorted(owner, np.arange(n))
+    held = np.flatnonzero(np.diff(np.concatenate((starts, [len(owner)]))))
+
+    def heaviest() -> np.ndarray:
+        out = np.full(n, -1, np.int64)
+        if len(owner):
+            most = np.zeros(n)
+            most[held] = np.maximum.reduceat(weight, starts[held])
+            out[held] = np.maximum.reduceat(np.where((weight == most[owner]) & (weight > 0), token, -1), starts[held])
+        return out
+
+    first = heaviest()
+    weight[token == first[owner]] = 0
+    return first, heaviest()
 
 
 def encoded_rows(docs: DataFrame, path: str, ranks: str, pattern: str, window: int, vocabulary: int) -> DataFrame:
@@ -168,21 +135,20 @@ def encoded_rows(docs: DataFrame, path: str, ranks: str, pattern: str, window: i
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 36
+        end = END.to_bytes(4, "little")
         coder, row, full, frequency = encoder(path, ranks, pattern), base, base, np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
             for rows, texts in chunks(batch):
-                found, counts = coder.encode(texts)
-                at, counts = starts_of(counts), counts + 1
-                ids = np.insert(found, at + counts - 1, END)
-                present = np.unique(np.repeat(np.arange(len(counts)), counts) * vocabulary + ids)
-                frequency += np.bincount(present % vocabulary, minlength=vocabulary)
-                left = counts % window
-                first, second = routes(ids[gather(starts_of(counts) + counts - left, left)].astype(np.int64), left, vocabulary)
-                windows = starts_of(counts // window) + full
+                found = [coder.encode(t) + end for t in texts]
+                ids, counts = np.frombuffer(b"".join(found), dtype="<u4"), np.array([len(x) // 4 for x in found], dtype=np.int64)
+                owner, token, times = terms(ids, counts, vocabulary)
+                frequency += np.bincount(token, minlength=vocabulary)
+                first, second = routes(owner, token, times, len(counts))
+                left, windows = counts % window, starts_of(counts // window) + full
                 n = len(texts)
                 nothing = pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), *map(pa.array, (np.arange(row, row + n), windows, counts, left, first, second)), binary(ids, counts), nothing, nothing], names=names
+                    [rows.column(0), *map(pa.array, (np.arange(row, row + n), windows, counts, left, first, second)), pa.array(found, pa.binary()), nothing, nothing], names=names
                 )
                 row, full = row + n, full + int((counts // window).sum())
         seen = np.flatnonzero(frequency)
@@ -201,20 +167,19 @@ class Index:
     """An inverted index of BM25 weights over runs of ids."""
 
     def __init__(self, ids: np.ndarray, counts: np.ndarray, idf: np.ndarray, mean: float):
-        n = len(counts)
-        keys, times = np.unique(np.repeat(np.arange(n), counts) * len(idf) + ids, return_counts=True)
-        owner, token = keys // len(idf), keys % len(idf)
+        self.n = len(counts)
+        owner, token, times = terms(ids, counts, len(idf))
         weight = idf[token] * times * (K1 + 1) / (times + K1 * (1 - B + B * counts[owner] / mean))
-        order = np.argsort(token, kind="stable")
-        self.n, self.docs, self.weights = n, owner[order], weight[order]
+        order = np.argsort(token.astype(np.uint16) if len(idf) <= 1 << 16 else token, kind="stable")
+        self.docs, self.weights = owner[order], weight[order]
         self.at = np.concatenate(([0], np.cumsum(np.bincount(token, minlength=len(idf)))))
         # each run's weightiest tokens
-        order = np.lexsort((token, -weight, owner))
+        order = np.argsort(owner - weight / (2 * weight.max(initial=1.0)), kind="stable")
         of = owner[order]
-        place = np.arange(len(of)) - np.searchsorted(of, of)
+        place = np.arange(len(of)) - np.searchsorted(of, np.arange(self.n))[of]
         kept = place < LOOKED_UP
         self.asked, asked_of = token[order][kept], of[kept]
-        self.asks = np.searchsorted(asked_of, np.arange(n + 1))
+        self.asks = np.searchsorted(asked_of, np.arange(self.n + 1))
 
     def scores(self, run: int) -> np.ndarray:
         """Each run's sum of weights of the tokens that ``run`` asks for."""

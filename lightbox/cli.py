@@ -72,7 +72,7 @@ def committed(spark: SparkSession, path: str) -> Callable[[Catalog], Catalog]:
     return save
 
 
-def scan(spark, args, analyser: Callable = ingest.headers) -> int:
+def scan(spark, args, analyser: Callable | None = None) -> int:
     exists = os.path.isdir(os.path.join(args.catalog, "meta"))
     catalog = Catalog.load(spark, args.catalog) if exists else Catalog.empty(spark)
     show_progress = lambda **c: log.info("%s of %s", c["processed"] + c["errors"], c["total"] - c["skipped"])

@@ -21,10 +21,11 @@ from ..functions.media import described
 from ..functions.times import exif_iso, is_stale
 from ..plans.materialize import remove, run_dir, written
 from ..sources import files as sources
+from ..sources.pictures import pictures
 from .curation import drop_photos
 
-#: Photos that are read and stored together, so that a scan that breaks off loses no more than these.
-COMMIT = 50
+#: Photos that a job reads and stores together, so that a scan that breaks off loses no more than these.
+COMMIT = 2_000
 CONFIDENCE = 0.9
 
 PHOTO = "path string, file_size long, width int, height int, format string, exif_text string, phash string, error string"
@@ -34,7 +35,7 @@ ANALYSED = f"{PHOTO}, scale double, boxes array<struct<{BOX.replace(' ', ':').re
 
 class Analyser(Protocol):
     """What looks at pixels: for a file's path and bytes a dict with the fields of ANALYSED (boxes in the
-    coordinates of the downscaled picture). Made once in each task by its factory."""
+    coordinates of the downscaled picture). Made once in each task by its factory. None as a factory asks for what files' headers say, of which only the first bytes are read."""
 
     def __call__(self, path: str, content: bytes) -> dict: ...
 
@@ -111,6 +112,31 @@ def analyse(files: DataFrame, factory: Callable[[], Analyser]) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, ANALYSED)
 
 
+def analyse_files(files: DataFrame, factory: Callable[[], Analyser] | None = None) -> DataFrame:
+    """ANALYSED for each file (path), which its task opens itself; a file that fails or went has its error."""
+    from ..sources.pictures import Store
+
+    names = [f.split()[0] for f in PHOTO.split(", ")] + ["scale", "boxes"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        analyser = None if factory is None else factory()
+        for pdf in frames:
+            out = []
+            for path in pdf["path"]:
+                row = dict.fromkeys(names) | {"path": path, "scale": 1.0, "boxes": []}
+                try:
+                    disk = Store(path)
+                    size = disk.size(disk.root)
+                    row |= {"file_size": size}
+                    row |= disk.header(disk.root) if analyser is None else analyser(path, disk.range(disk.root, 0, size))
+                except Exception as e:  # noqa: BLE001  one bad file must not end a scan
+                    row |= {"error": f"{type(e).__name__}: {e}", "boxes": []}
+                out.append(row)
+            yield pd.DataFrame(out, columns=names)
+
+    return files.select("path").mapInPandas(run, ANALYSED)
+
+
 def store(catalog: Catalog, analysed: DataFrame, scanned_at: str | None = None, confidence: float = CONFIDENCE, min_face: int | None = None) -> Catalog:
     """Photos of the same path go with their faces; new rows get new ids in order of path and box. Without ``scanned_at`` each
     row of ``analysed`` has its own."""
@@ -174,23 +200,43 @@ def hashes_of(spark, paths: list[str]) -> DataFrame:
     return sources.pixels(spark, paths).select("path", phash64("height", "width", "channels", "data").alias("phash"))
 
 
+def still_there(spark, paths: list[str]) -> list[str]:
+    """Those of a lot's paths that are pictures, as tasks see them."""
+    some = spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), spark.sparkContext.defaultParallelism))
+    return [r["path"] for r in analyse_files(some).where("error is null").select("path").collect()]
+
+
 def fold_journal(catalog: Catalog, journal: str, confidence: float = CONFIDENCE, min_face: int | None = None) -> Catalog:
     """The catalog with all lots of a journal stored at once; of a path that is there twice the last scan counts."""
     spark = catalog.photos.sparkSession
     if not sources.readable(spark, [journal]):
         return catalog
-    lots = spark.read.schema(f"{ANALYSED}, scanned_at string").parquet(f"{journal}/lot-*")
-    once = lots.groupBy("path").agg(F.max_by(F.struct(*lots.columns), "scanned_at").alias("row")).select("row.*")
+    lots = spark.read.schema(f"{ANALYSED}, scanned_at string, lot long").parquet(f"{journal}/lot-*")
+    once = lots.groupBy("path").agg(F.max_by(F.struct(*lots.drop("lot").columns), F.struct("scanned_at", "lot")).alias("row")).select("row.*")
     return store(catalog, written(once, "journal"), None, confidence, min_face).settled()
 
 
+def write_lot(spark, journal: str, number: int, paths: DataFrame, scanned_at: str, factory: Callable[[], Analyser] | None = None, hashed: bool = True) -> tuple[int, int]:
+    """Analyses files (path) and writes them whole as a lot of the journal, over what a broken attempt left; (pictures stored, their boxes). ``hashed``: with
+    hashes of the pictures that can be read, whose paths the driver holds, a lot's."""
+    found = analyse_files(paths, factory).withColumns({"scanned_at": F.lit(scanned_at), "lot": F.lit(number).cast("long")})
+    if hashed:
+        found = written(found, "analysed")
+        good = [r["path"] for r in found.where("error is null").select("path").collect()]
+        if good:
+            found = found.drop("phash").join(hashes_of(spark, good), "path", "left").select(*found.columns)
+    path = f"{journal}/lot-{number:08d}"
+    found.write.mode("overwrite").parquet(path)
+    return tuple(spark.read.schema(found.schema).parquet(path).agg(F.count_if(F.col("error").isNull()), F.coalesce(F.sum(F.size("boxes")), F.lit(0))).first())
+
+
 def scan(
-    catalog: Catalog, folder: str, scanned_at: str, factory: Callable[[], Analyser] = headers, recursive: bool = True, commit: int = COMMIT, save: Callable[[Catalog], Catalog] | None = None,
+    catalog: Catalog, folder: str, scanned_at: str, factory: Callable[[], Analyser] | None = None, recursive: bool = True, commit: int = COMMIT, save: Callable[[Catalog], Catalog] | None = None,
     on_progress: Callable[..., None] | None = None, stop: Callable[[], bool] | None = None, confidence: float = CONFIDENCE, min_face: int | None = None, journal: str | None = None,
 ) -> tuple[Catalog, dict[str, int]]:
     """All new or changed pictures of ``folder`` in the catalog, with size, time taken, hash and objects; (catalog, counts).
 
-    Files are listed first; only stale ones are read, ``commit`` of them at a time. Each lot is written whole to ``journal`` (a folder;
+    Files are listed first, each folder by a task; only stale ones are read, ``commit`` of them by a job. Each lot is written whole to ``journal`` (a folder;
     by default one for this run), and at the end, or when it is stopped, all lots are stored at once and passed to ``save``, so the work of a lot doesn't
     grow with the catalog. Lots that a scan which broke off has left in ``journal`` are stored first. A file that can't be read counts as
     an error and is tried again by the next scan."""
@@ -200,21 +246,14 @@ def scan(
     if sources.readable(spark, [journal]):
         catalog = save(fold_journal(catalog, journal, confidence, min_face))
         remove(spark, journal)
-    listed = written(sources.discover(spark, folder, recursive), "listed")
+    listed = written(pictures(spark, folder, recursive, headers=False), "listed")
     stale = written(stale_files(listed.select("path", "mtime"), catalog.photos), "stale")
     total, todo = listed.count(), stale.count()
     counts = {"total": total, "skipped": total - todo, "processed": 0, "errors": 0, "faces_found": 0}
     for number, lot in enumerate(in_commits(stale, commit)):
         if stop is not None and stop():
             break
-        good = boxes = 0
-        if there := sources.readable(spark, lot):  # others went since they were listed
-            found = analyse(sources.contents(spark, there), factory)
-            hashed = found.drop("phash").join(hashes_of(spark, there), "path", "left").select(*found.columns, F.lit(scanned_at).alias("scanned_at"))
-            path = f"{journal}/lot-{number:08d}"
-            hashed.write.parquet(path)
-            written_lot = spark.read.schema(hashed.schema).parquet(path)
-            good, boxes = written_lot.agg(F.count_if(F.col("error").isNull()), F.coalesce(F.sum(F.size("boxes")), F.lit(0))).first()
+        good, boxes = write_lot(spark, journal, number, spark.createDataFrame([(p,) for p in lot], "path string").repartition(min(len(lot), spark.sparkContext.defaultParallelism)), scanned_at, factory)
         counts |= {"processed": counts["processed"] + good, "errors": counts["errors"] + len(lot) - good, "faces_found": counts["faces_found"] + boxes}
         if on_progress:
             on_progress(**counts)
@@ -234,7 +273,7 @@ def backfill(catalog: Catalog, commit: int = COMMIT, save: Callable[[Catalog], C
     for number, lot in enumerate(in_commits(work, commit)):
         if stop is not None and stop():
             break
-        if there := sources.readable(spark, lot):
+        if there := still_there(spark, lot):
             path = f"{lots}/lot-{number:08d}"
             hashes_of(spark, there).where("phash is not null").write.parquet(path)
             updated += spark.read.schema("path string, phash string").parquet(path).count()

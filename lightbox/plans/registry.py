@@ -365,6 +365,44 @@ def scan_ingest(spark, d):
     return ingest.store(known, found, SCANNED).photos.select("path", "width", "height", "file_size", "format", "exif_date")
 
 
+@_register(_with("photos", raws=f"SELECT doc_id AS id, {RAW_DATE.format(s='VARCHAR')} AS raw FROM documents") + """
+ SELECT path, CAST(width + CASE WHEN id % 30 = 0 THEN 1 ELSE 0 END AS INT) AS width, height, CASE WHEN raw IS NULL THEN 27 ELSE 79 END AS file_size, 'JPEG' AS format,
+ strftime(coalesce(try_strptime(raw, '%Y:%m:%d %H:%M:%S'), try_strptime(raw, '%Y-%m-%d %H:%M:%S')), '%Y-%m-%dT%H:%M:%S') AS exif_date
+ FROM photos JOIN raws USING (id) WHERE id % 11 <> 0""")
+def file_stream_ingest(spark, d):
+    """Files that come in three lots, a tenth of the first lot's changed with the second, some broken, scanned as a stream from lot to lot and stored once."""
+    import uuid
+
+    from ..sources.pictures import Store
+    from ..streaming.scan import scan_stream
+    from .materialize import run_dir
+
+    base = f"{run_dir(spark)}/stream-{uuid.uuid4().hex}"
+    raws = fixtures.table(spark, d, "documents").selectExpr("doc_id as id", f"{RAW_DATE.format(s='STRING')} as raw")
+    photos = fixtures.catalog(spark, d).photos.join(raws, "id").select("id", "path", "width", "height", "raw")
+
+    def put(frames):
+        for pdf in frames:
+            disk = Store(f"{base}/pictures")
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                disk.put(disk.root + path, bytes(content))
+            yield pdf[["path"]]
+
+    for lot in range(3):
+        new = photos.where(F.col("id") % 3 == lot)
+        if lot == 1:
+            new = new.unionByName(photos.where("id % 30 = 0").withColumn("width", F.col("width") + 1))
+        new.select("path", F.unhex(F.expr(HEADER)).alias("content")).mapInPandas(put, "path string").write.format("noop").mode("overwrite").save()
+        query = scan_stream(spark, f"{base}/pictures", f"{base}/journal", f"{base}/checkpoint", lambda: SCANNED, files_per_trigger=2_000, hashed=False)
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    state = ingest.fold_journal(Catalog.empty(spark), f"{base}/journal")
+    shown = F.substring_index("path", "/pictures/", -1)
+    return state.photos.select(F.concat(F.lit("/"), shown).alias("path"), "width", "height", "file_size", "format", "exif_date")
+
+
 @_register(_with(simhash=SIMHASH) + "SELECT d.doc_id AS id, CASE WHEN d.doc_id % 6 <> 3 THEN printf('%08x%08x', hi, lo) END AS phash FROM documents d LEFT JOIN simhash s USING (doc_id)")
 def phash_backfill(spark, d):
     """Photos without a hash are the work list; those whose files can still be read get one."""

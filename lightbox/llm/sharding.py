@@ -4,8 +4,8 @@ Groups of equal texts are the units. A unit is a vector of bytes, tokens and row
 to the bin where the dot product with the bin's residual capacity is highest. Units are
 packed in blocks of bounded size (a task each); the bins of many blocks are then packed in
 the same way, level by level, until one set of shards is left, so no task ever holds more
-than ``units_per_block`` units or ``fan_in`` blocks' bins. A group that would be a large
-part of a shard is dealt to salted sub-units first.
+than ``units_per_block`` units or ``fan_in`` blocks' bins. Only a group that would be more than half
+of a shard is dealt to salted sub-units first; all others stay whole. Rows of large units are numbered in runs, so no task holds all rows of one.
 
 Defined results: a null text counts as empty (size 1, crc 0); a null doc_id is a row like
 any other; equal rows get slots of their own; an empty table gives an empty result; columns
@@ -24,6 +24,8 @@ from .common import WORD, fresh, named, other_names, written
 
 #: How much more the byte dimension counts than tokens and rows: the law is on bytes.
 BYTE_WEIGHT = 4.0
+#: Rows of a unit that are numbered together, and runs of large units at most about.
+RUN, MOST_RUNS = 100_000, 4096
 
 
 def place(vectors: list[tuple[float, ...]], n_bins: int) -> list[int]:
@@ -58,8 +60,8 @@ def _packer(n_bins: int, keys: list[str]):
 def assign_shards(docs: DataFrame, n_shards: int = 8, units_per_block: int = 20_000, fan_in: int = 1_000, hot_split: int = 32) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot, digest) for every row of ``docs``; ``digest`` is the MD5 of the text.
 
-    A group of equal texts with more than 1 / (n_shards * hot_split) of all bytes, tokens
-    or rows is salted by doc_id (rows without one by their place in the table); there are at most 3 * n_shards * hot_split such groups,
+    A group of equal texts with more than half a shard's share of all bytes, tokens
+    or rows is salted by doc_id (rows without one by their place in the table) to n_shards * hot_split units; there are at most 6 * n_shards such groups,
     which bounds the broadcast."""
     text = F.coalesce("text", F.lit(""))
     facts = written(
@@ -79,10 +81,9 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, units_per_block: int = 20_
     hot = (
         facts.groupBy("digest")
         .agg(*sums)
-        .where(" or ".join(f"{k} * {parts} > {total[k] or 0}" for k in ("n_bytes", "n_tokens", "n_rows")))
+        .where(" or ".join(f"{k} * {2 * n_shards} > {total[k] or 0}" for k in ("n_bytes", "n_tokens", "n_rows")))
         .select("digest", F.lit(parts).alias("salts"))
     )
-    # all groups are "hot" in a tiny table; salting then changes nothing but the grain
     salted = facts.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(F.coalesce("doc_id", -1 - F.col("row"))), "salts"), F.lit(0)).cast("int")).drop("salts")
     n_blocks = max(1, math.ceil((total["n_rows"] or 0) / units_per_block))
     units = salted.groupBy("digest", "salt").agg(*sums).withColumn("node", F.pmod(F.xxhash64("digest", "salt"), F.lit(n_blocks)))
@@ -111,8 +112,31 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, units_per_block: int = 20_
         )
     else:
         homes = placed.select("digest", "salt", F.col("bin").alias("shard"), "start")
-    within = Window.partitionBy("digest", "salt").orderBy("doc_id", "row")
-    return salted.join(homes, ["digest", "salt"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.row_number().over(within) - 1).alias("slot"), "digest")
+    # a unit's rows in runs of a bounded number, by a hash; one run for nearly all units
+    run_rows = max(RUN, (total["n_rows"] or 0) // MOST_RUNS)
+    large = placed.where(F.col("n_rows") > run_rows).select("digest", "salt", F.ceil(F.col("n_rows") / run_rows).alias("runs"))  # MOST_RUNS rows at most
+    in_run = salted.join(F.broadcast(large), ["digest", "salt"], "left").withColumn("run", F.coalesce(F.pmod(F.xxhash64(F.lit("run"), F.coalesce("doc_id", -1 - F.col("row"))), "runs"), F.lit(0)).cast("int")).drop("runs")
+    sizes = in_run.join(F.broadcast(large.select("digest", "salt")), ["digest", "salt"], "left_semi").groupBy("digest", "salt", "run").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("digest", "salt").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # a row a run
+    offsets = sizes.select("digest", "salt", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    started = in_run.join(homes, ["digest", "salt"]).join(F.broadcast(offsets), ["digest", "salt", "run"], "left")
+    within = Window.partitionBy("digest", "salt", "run").orderBy("doc_id", "row")
+    slot = F.col("start") + F.coalesce("before", F.lit(0)) + F.row_number().over(within) - 1
+    return started.select("doc_id", "size", "text_crc32", "shard", slot.alias("slot"), "digest")
+
+
+def copies_numbered(rows: DataFrame, name: str, doc_id: str, mark: str) -> DataFrame:
+    """``rows``, a written table, with a column ``name``: 1, 2, ... among the rows of one doc_id and mark. They are numbered within the partitions that it is read in, and
+    a partition's numbers start after those before it, so no task gets all rows of a key."""
+    part, of_id, of_mark, of_part, start = (fresh(rows, n) for n in ("copy_part", "copy_id", "copy_mark", "copy_of", "copy_start"))
+    placed = rows.withColumn(part, F.spark_partition_id())
+    counts = placed.groupBy(F.col(f"`{doc_id}`").alias(of_id), F.col(f"`{mark}`").alias(of_mark), F.col(part).alias(of_part)).agg(F.count(F.lit(1)).alias("n"))
+    several = counts.join(counts.groupBy(of_id, of_mark).agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select(F.col(of_id).alias("x"), F.col(of_mark).alias("y")), F.col(of_id).eqNullSafe(F.col("x")) & (F.col(of_mark) == F.col("y")), "left_semi")
+    before = Window.partitionBy(of_id, of_mark).orderBy(of_part).rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = several.select(of_id, of_mark, of_part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
+    within = F.row_number().over(Window.partitionBy(doc_id, mark, part).orderBy(F.lit(0)))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(of_id)) & (F.col(f"`{mark}`") == F.col(of_mark)) & (F.col(part) == F.col(of_part))
+    return placed.withColumn(name, within).join(starts, same, "left").withColumn(name, F.col(name) + F.coalesce(F.col(start), F.lit(0))).drop(part, of_id, of_mark, of_part, start)
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8, **options) -> None:
@@ -120,11 +144,11 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 8, **options) -> No
     any case) is left out, as the folders' name takes its place. Rows of one doc_id and text, null or not, are
     alike to the plan and share its places in any order."""
     mark, copy, shard, plan_id, plan_mark, plan_copy = (fresh(docs, n) for n in ("shard_mark", "shard_copy", "shard_of", "plan_id", "plan_mark", "plan_copy"))
-    same = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-    plan = assign_shards(docs, n_shards, **options)
-    plan = plan.select(F.col("doc_id").alias(plan_id), F.col("digest").alias(plan_mark), same("doc_id", "digest").alias(plan_copy), F.col("shard").alias(shard))
+    plan = written(assign_shards(docs, n_shards, **options).select("doc_id", "digest", "shard"), "shard-plan")
+    plan = plan.select(F.col("doc_id").alias(plan_id), F.col("digest").alias(plan_mark), F.col("shard").alias(shard))
+    plan = copies_numbered(plan, plan_copy, plan_id, plan_mark)
     rows = docs.select(*named(*other_names(docs, "shard"))).withColumn(mark, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    rows = rows.withColumn(copy, same("doc_id", mark))
+    rows = copies_numbered(written(rows, "shard-rows"), copy, "doc_id", mark)
     joined = rows.join(plan, F.col("doc_id").eqNullSafe(F.col(plan_id)) & (F.col(mark) == F.col(plan_mark)) & (F.col(copy) == F.col(plan_copy)))
     kept = joined.select(*named(*other_names(docs, "shard")), F.col(shard).alias("shard"), F.pmod(F.xxhash64(mark, copy), F.lit(64)).alias(copy))
     kept.repartition("shard", copy).drop(copy).write.partitionBy("shard").parquet(path)

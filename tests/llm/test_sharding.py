@@ -29,8 +29,9 @@ def test_empty(docs, spark):
     assert shards_of(docs([])) == []
 
 
-@pytest.mark.parametrize("options", [{}, {"units_per_block": 50, "fan_in": 4}])
-def test_balance_with_a_hot_group(docs, prose, options):
+@pytest.mark.parametrize("options, run", [({}, 100_000), ({"units_per_block": 50, "fan_in": 4}, 100_000), ({}, 1)])
+def test_balance_with_a_hot_group(docs, prose, monkeypatch, options, run):
+    monkeypatch.setattr(sharding, "RUN", run)
     r = random.Random(4)
     texts = [prose(k, r.randint(1, 120)) for k in range(500)] + [prose(9999, 60)] * 260
     rows = shards_of(docs(texts), **options)
@@ -50,6 +51,30 @@ def test_copies_stay_together_unless_hot(docs, prose):
     assert len({r["shard"] for r in rows if r["text_crc32"] == crc}) == 1
 
 
+@pytest.mark.parametrize("sf, most", [("sf0.01", 1.005), ("sf0.1", 1.005)])
+def test_groups_of_the_tables_stay_whole(spark, sf, most):
+    rows = sharding.assign_shards(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect()
+    of, size = defaultdict(set), Counter()
+    for r in rows:
+        of[bytes(r["digest"])].add(r["shard"])
+        size[r["shard"]] += r["size"]
+    assert all(len(s) == 1 for s in of.values())
+    assert max(size.values()) < most * sum(size.values()) / 8 and gapless([r.asDict() for r in rows])
+
+
+@pytest.mark.parametrize("run", [100_000, 3])
+def test_groups_of_several_sizes_stay_whole(docs, prose, monkeypatch, run):
+    """Groups of up to a third of a shard's rows, in one block and in many, numbered in runs."""
+    monkeypatch.setattr(sharding, "RUN", run)
+    texts = [prose(k, 30) for k in range(900)] + [prose(5000 + k, 30) for k in range(9) for _ in range(4 * (k + 1))]
+    for options in ({}, {"units_per_block": 100, "fan_in": 3}):
+        rows = shards_of(docs(texts), **options)
+        of = defaultdict(set)
+        for r in rows:
+            of[bytes(r["digest"])].add(r["shard"])
+        assert gapless(rows) and all(len(s) == 1 for s in of.values())
+
+
 def test_a_hot_group_without_ids_is_spread(docs, prose):
     rows = shards_of(docs([prose(k, 30) for k in range(200)] + [prose(9999, 30)] * 400, ids=[*range(200), *[None] * 400]))
     sizes = Counter(r["shard"] for r in rows if r["doc_id"] is None)

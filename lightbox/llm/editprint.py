@@ -391,60 +391,89 @@ def group_links(words: np.ndarray, inner: tuple[tuple[int, ...], ...], most: int
 
 def links(marks: DataFrame, n: int, least: float) -> DataFrame:
     """(a, b): pairs of fingerprints of ``marks`` (fingerprint: binary, distinct, n of them) that are alike by ``least`` or more, enough of those that the
-    bands find to join all of them. A key that more than MOST_IN_GROUP fingerprints have is dealt to parts, other ones in each route."""
+    bands find to join all of them. A route's key that more than MOST_IN_GROUP fingerprints have is dealt by its inner bands instead, a copy to each, and an inner key that
+    still has more is dealt to parts of which each meets each, so what a band finds in a small group it finds in a large one."""
     most, bands, most_in_group = bits_apart(least), Bands.of(n, bits_apart(least)), MOST_IN_GROUP
+    packs = "route int, band int, key long, inner long, n long, marks binary"
+    names = [x.split()[0] for x in packs.split(", ")]
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=names)
+
+    def dealt_by(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(keys, kind="stable")
+        cuts = np.flatnonzero(np.concatenate(([True], keys[order[1:]] != keys[order[:-1]], [True])))
+        return ((int(keys[order[a]]), order[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            data = b"".join(batch.column(0).to_pylist())
-            rows = np.frombuffer(data, dtype=np.uint8).reshape(-1, BITS // 8)
+            rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
             bits = np.unpackbits(rows, axis=1)
             for r, sampled in enumerate(bands.routes):
-                keys = keys_of(bits, sampled)
-                order = np.argsort(keys, kind="stable")
-                cuts = np.flatnonzero(np.concatenate(([True], keys[order[1:]] != keys[order[:-1]], [True])))
-                each = [order[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r] * len(each), pa.int32()), pa.array([int(keys[e[0]]) for e in each], pa.int64()), pa.array([len(e) for e in each], pa.int64()), pa.array([rows[e].tobytes() for e in each], pa.binary())],
-                    names=["route", "key", "n", "marks"],
-                )
-
-    dealt = marks.select("fingerprint").mapInArrow(lean(route), "route int, key long, n long, marks binary")
-    # at most n * routes / MOST_IN_GROUP keys, none unless a third of all texts are near each other
-    hot = {(r["route"], r["key"]): -(-r["size"] // most_in_group) for r in dealt.groupBy("route", "key").agg(F.sum("n").alias("size")).where(F.col("size") > most_in_group).toLocalIterator()}
-
-    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                yield packed([(r, -1, key, 0, len(some), rows[some].tobytes()) for key, some in dealt_by(keys_of(bits, sampled))])
+
+    def by_band(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for r, key, data in zip(*(batch.column(names.index(x)).to_pylist() for x in ("route", "key", "marks")), strict=True):
+                rows = np.frombuffer(data, dtype=np.uint8).reshape(-1, BITS // 8)
+                bits = np.unpackbits(rows, axis=1)
+                yield packed([(r, k, key, inner, len(some), rows[some].tobytes()) for k, sampled in enumerate(bands.inner[r]) for inner, some in dealt_by(keys_of(bits, sampled))])
+
+    group = ["route", "band", "key", "inner"]
+
+    def hot(of: DataFrame) -> DataFrame:
+        """Groups of more than MOST_IN_GROUP, with the parts they need."""
+        sizes = of.groupBy(*group).agg(F.sum("n").alias("size")).where(F.col("size") > most_in_group)
+        return written(sizes.select(*group, F.ceil(2 * F.col("size") / most_in_group).cast("int").alias("parts")), "editprint-hot")
+
+    def parted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each part's rows for its meetings with all parts of the group."""
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
             out = []
-            for r, key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                parts = hot.get((r, key), 1)
+            for r, k, key, inner, data, parts in zip(*columns, strict=True):
                 rows = np.frombuffer(data, dtype=np.uint64).reshape(-1, BITS // 64)
-                of = _mix(rows[:, 0] ^ _mix(rows[:, 1] + np.uint64(r))) % np.uint64(parts) if parts > 1 else np.zeros(len(rows), dtype=np.uint64)
-                out += [(r, key, int(k), rows[of == k].tobytes()) for k in np.unique(of)]
-            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["route", "key", "part", "marks"])
+                of = (_mix(rows[:, 0] ^ _mix(rows[:, 1])) % np.uint64(parts)).astype(np.int64)
+                for p, some in dealt_by(of):
+                    out += [(r, k, key, inner, min(p, q) * parts + max(p, q), rows[some].tobytes()) for q in range(parts)]
+            yield packed(out)
 
     def compare(table: pa.Table) -> pa.Table:
         words = np.frombuffer(b"".join(table.column("marks").to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
         words = words[np.lexsort(words.T)]
-        found = group_links(words, bands.inner[table.column("route")[0].as_py()], most)
+        r, band = table.column("route")[0].as_py(), table.column("band")[0].as_py()
+        found = group_links(words, bands.inner[r], most) if band < 0 else joined_near(words, np.arange(len(words)), most, _Sets(len(words)))
         return pa.table([pa.array([words[x[k]].tobytes() for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    packed = dealt.mapInArrow(split, "route int, key long, part int, marks binary") if hot else dealt.select("route", "key", F.lit(0).alias("part"), "marks")
+    def compared(of: DataFrame, tasks: int, *more: str) -> DataFrame:
+        return of.repartition(tasks, *group, *more).groupBy(*group, *more).applyInArrow(compare, "a binary, b binary")
+
+    dealt = marks.select("fingerprint").mapInArrow(lean(route), packs)
     n_tasks = max(1, min(MOST_TASKS, n * len(bands.routes) // IN_TASK))
-    return packed.repartition(n_tasks, "route", "key", "part").groupBy("route", "key", "part").applyInArrow(compare, "a binary, b binary")
+    large = hot(dealt)  # at most n * routes / MOST_IN_GROUP rows
+    if not large.limit(1).count():
+        return compared(dealt, n_tasks)
+    inner = written(dealt.join(large.drop("parts"), group, "left_semi").select(*names).mapInArrow(lean(by_band), packs), "editprint-inner")
+    larger = hot(inner)
+    met = inner.join(larger, group).select(*group, "marks", "parts").mapInArrow(lean(parted), packs)
+    small = dealt.join(large, group, "left_anti")
+    return compared(small, n_tasks).unionByName(compared(inner.join(larger, group, "left_anti"), n_tasks)).unionByName(compared(met, n_tasks, "n")).distinct()
 
 
 def leaders(prints: DataFrame, least: float = NEAR) -> DataFrame:
     """(fingerprint, leader_id, likeness) of each distinct fingerprint of ``prints``: the smallest doc_id, null last, of its group of near
     copies, and the likeness with that row's fingerprint. Groups are joined by links of ``least`` or more."""
-    own = prints.groupBy(F.unhex("fingerprint").alias("fingerprint")).agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.xxhash64("fingerprint"))
-    own = written(own, "editprint-marks")
+    own = prints.groupBy(F.unhex("fingerprint").alias("fingerprint")).agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id())
+    own = written(own, "editprint-marks")  # numbers stay as they are written
     filled = own.where(F.col("fingerprint") != F.lit(bytes(BITS // 8)))  # the empty one is like itself only
     pairs = written(links(filled, filled.count(), least), "editprint-links")
-    roots = connected_components(pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")), small=ONE_TASK)
+    ends = own.join(pairs.select(F.col("a").alias("fingerprint")).union(pairs.select("b")).distinct(), "fingerprint").select("fingerprint", "node")
+    ends = written(ends, "editprint-ends")
+    numbered = pairs.join(ends.toDF("a", "node_a"), "a").join(ends.toDF("b", "node_b"), "b")
+    roots = connected_components(numbered.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), small=ONE_TASK)
     near = written(own.join(roots, "node").select("fingerprint", "doc_id", "root"), "editprint-near")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fingerprint")).alias("best")
     led = near.join(near.groupBy("root").agg(best), "root").select("fingerprint", F.col("best.doc_id").alias("leader_id"), F.col("best.fingerprint").alias("leader"))

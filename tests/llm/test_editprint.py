@@ -115,11 +115,14 @@ def flipped(r, mark, n):
     return other
 
 
-def test_recall_against_all_pairs(spark):
-    """Pairs at all distances up to the threshold among unrelated marks: found at the recall asked for, and nothing that isn't near."""
+@pytest.mark.parametrize("most_in_group, bias", [(131_072, 0.5), (30, 0.5), (6, 0.5), (30, 0.79)])
+def test_recall_against_all_pairs(spark, monkeypatch, most_in_group, bias):
+    """Pairs at all distances up to the threshold among unrelated marks: found at the recall asked for, however few a group may hold and
+    however uneven the bits are, and nothing that isn't near."""
+    monkeypatch.setattr(editprint, "MOST_IN_GROUP", most_in_group)
     r = np.random.RandomState(7)
     most = editprint.bits_apart(editprint.NEAR)
-    base = r.randint(0, 2, (1200, editprint.BITS))
+    base = (r.rand(1200, editprint.BITS) < bias).astype(np.int64)
     rows = np.concatenate((base, [flipped(r, m, most - k % 12) for k, m in enumerate(base[:600])]))
     marks = [np.packbits(x).tobytes() for x in rows]
     words = np.array([np.frombuffer(m, dtype=np.uint64) for m in marks])
@@ -128,7 +131,30 @@ def test_recall_against_all_pairs(spark):
     df = spark.createDataFrame([(bytearray(m),) for m in marks], "fingerprint binary").repartition(3)
     number = {m: k for k, m in enumerate(marks)}
     got = {tuple(sorted((number[bytes(x["a"])], number[bytes(x["b"])]))) for x in editprint.links(df, len(marks), editprint.NEAR).collect()}
-    assert len(want) == 600 and got <= want and len(got) >= 0.9 * len(want)
+    assert 600 <= len(want) < 700 and got <= want and len(got) >= (0.95 if most_in_group > 30 else 0.93) * len(want)
+
+
+def test_recall_on_texts_by_edits(docs, prose):
+    """Texts of 1,500 to 4,000 characters with an edit each 2,000 characters or so, against their originals."""
+    r = random.Random(12)
+    texts, copies = [prose(k, r.randint(300, 800)) for k in range(120)], []
+    for t in texts:
+        c = list(t)
+        for _ in range(max(1, round(len(c) / 2000))):
+            at = r.randrange(len(c))
+            kind = r.randrange(3)
+            if kind == 0:
+                c[at] = "#"
+            elif kind == 1:
+                del c[at]
+            else:
+                c.insert(at, "#")
+        copies.append("".join(c))
+    prints = editprint.fingerprint_documents(docs(texts + copies).select("doc_id", "text"))
+    lead = {x["doc_id"]: x["leader_id"] for x in editprint.near_copies(prints).collect()}
+    found = sum(lead[k] == lead[120 + k] for k in range(120))
+    wrong = sum(lead[k] != k for k in range(120))
+    assert found >= 0.87 * 120 and wrong == 0
 
 
 def test_bands_follow_from_the_number_of_items():

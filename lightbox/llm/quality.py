@@ -386,8 +386,9 @@ def features(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model for ``docs`` (doc_id, text, lang, source) from ``labels`` (doc_id, quality)."""
     rows = written(features(docs, sample(docs, labels)), "quality-features")
-    order = F.xxhash64(F.lit(5), "doc_id")
-    known = rows.where("quality is not null").orderBy(order, "doc_id", "text", "meta").toArrow().to_pandas().drop_duplicates("doc_id")
+    # of rows with one doc_id the least, before anything comes to the driver: MOST_LABELLED rows at most
+    known = rows.where("quality is not null").groupBy("doc_id").agg(F.min(F.struct("text", "meta", "quality")).alias("least"))
+    known = known.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").select("least.*").toArrow().to_pandas()
     x = unpacked(pa.RecordBatch.from_pandas(known[["text", "meta"]], preserve_index=False, schema=pa.schema([("text", pa.binary()), ("meta", pa.binary())])))
     y = (known["quality"].to_numpy(dtype=np.int64) > 0).astype(int)
     del known

@@ -142,3 +142,15 @@ def test_clashing_columns(docs, spark):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "quality", "meta", "odd_3", "a.b", *quality.SCORES]
     kept = quality.score(df, model, only_kept=True)
     assert kept.columns == df.columns and sorted(r["a.b"] for r in kept.collect()) == [70, 71]
+
+
+def test_a_labelled_id_that_occurs_often_comes_once(docs, prose, spark, monkeypatch):
+    texts = [prose(k, 60) for k in range(30)] + ["#$% junk " * 20] * 30
+    ids = [*range(60)]
+    labels = spark.createDataFrame([(i, int(i < 30), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    seen, plain = [], quality.co_train
+    monkeypatch.setattr(quality, "co_train", lambda text, meta, y, pool, *more: (seen.append(y.copy()), plain(text, meta, y, pool, *more))[1])
+    one = docs(texts, ids=ids)
+    quality.fit(one, labels)
+    quality.fit(one.unionByName(docs([prose(1, 60), "another text"] * 50, ids=[1] * 100)), labels)
+    assert len(seen[0]) == len(seen[1]) == 60 and (seen[0] == seen[1]).all()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +9,8 @@ from ..catalog import Catalog
 from ..functions.names import auto_name, auto_number, user_defined
 from ..functions.vectors import mean_vectors
 from ..plans.materialize import written
-from . import density
+from . import density, linkage
 from .neighbors import nearest_centroid
-from .regions import unit
 
 # Defaults of the catalog's tools.
 EPS, MIN_SAMPLES = 0.55, 3
@@ -120,48 +117,9 @@ def incremental_clustering(catalog: Catalog, eps: float = EPS, min_samples: int
     return with_assignments(with_clusters(catalog, new.select("id", "name")), moves).to(last_auto=base + n[0] - n[1]), counts
 
 
-def average_linkage(rows: np.ndarray, eps: float) -> np.ndarray:
-    """Labels by agglomeration: the two groups of the least average cosine distance merge while it is under
-    eps; of equal ones the lowest pair. Labels are numbered by the groups' first rows."""
-    m = unit(rows)
-    n = len(m)
-    dist = 1.0 - m @ m.T
-    np.fill_diagonal(dist, np.inf)
-    size, group = np.ones(n), np.arange(n)
-    near = dist.argmin(axis=1)
-    for _ in range(n - 1):
-        i = int(np.argmin(dist[np.arange(n), near]))
-        j = int(near[i])
-        if not dist[i, j] < eps:
-            break
-        i, j = min(i, j), max(i, j)
-        merged = (size[i] * dist[i] + size[j] * dist[j]) / (size[i] + size[j])
-        merged[[i, j]] = np.inf
-        dist[i], dist[:, i] = merged, merged
-        dist[j], dist[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        group[group == j] = i
-        near = dist.argmin(axis=1)
-    return np.unique(group, return_inverse=True)[1]
-
-
-def linkage_labels(vectors: DataFrame, eps: float, keys: list[str] | None = None) -> DataFrame:
-    """(keys, id, label) of each group of ``vectors`` (keys, id, embedding). The method needs a whole group's
-    distances, so a group is a task: groups are single entities' faces, chosen by a user."""
-    keys = keys or []
-    kinds = ", ".join(f"{k} long" for k in keys)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        return pdf[[*keys, "id"]].assign(label=average_linkage(pdf["embedding"].tolist(), eps).astype("int32"))
-
-    grouped = vectors.groupBy(*keys) if keys else vectors.withColumn("all", F.lit(0)).groupBy("all")
-    return grouped.applyInPandas(one, (kinds + ", " if kinds else "") + "id long, label int")
-
-
 def recluster_labels(catalog: Catalog, cluster_id: int, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
     """(id, label) of the cluster's active faces, groups under min_samples as -1."""
-    raw = linkage_labels(catalog.active.where(F.col("cluster_id") == cluster_id).select("id", "embedding"), eps)
+    raw = linkage.average_linkage(catalog.active.where(F.col("cluster_id") == cluster_id).select("id", "embedding"), eps)
     n = F.count(F.lit(1)).over(Window.partitionBy("label"))
     return raw.select("id", F.when(n < min_samples, F.lit(-1)).otherwise(F.col("label")).alias("label"))
 
@@ -191,7 +149,7 @@ def split_by_similarity(catalog: Catalog, face_ids: list[int], base: str, eps: f
     """Active faces of the list go to one new cluster for each group of similar ones, named ``base``, or
     ``base 1``, ``base 2`` ... if there are several; dismissed faces are left out."""
     chosen = catalog.active.where(F.col("id").isin(face_ids)).select("id", "embedding")
-    labels = written(linkage_labels(chosen, eps), "labels")
+    labels = written(linkage.average_linkage(chosen, eps), "labels")
     n = labels.select("label").distinct().count()
     if not n:
         return catalog, []

@@ -267,9 +267,39 @@ _on_catalog("incremental_cluster", _with("faces", "clusters", recursive=True, **
 _on_catalog("absorb_after_rename", _with("faces", "clusters", u=ACTIVE_UNITS, cent=CENTROIDS) + f"""SELECT f.id AS face_id, CASE WHEN f.cluster_id = 3 OR f.id IN (
  SELECT u.id FROM u JOIN cent k ON k.cluster_id = 1 WHERE u.cluster_id IS NULL AND 1 - list_dot_product(u.e, k.c) <= {NEAR}) THEN 1 ELSE f.cluster_id END AS cluster_id FROM faces f""",
             lambda c: curation.absorb(c, 1, "Alice", NEAR)[0].faces.select(F.col("id").alias("face_id"), "cluster_id"))
-_on_catalog("recluster_one", None, lambda c: clustering.recluster_labels(c, 2, TIGHT))
-_on_catalog("recluster_state", None, lambda c: (lambda s: s.active.join(s.clusters.select(F.col("id").alias("cluster_id"), "name"), "cluster_id").groupBy("cluster_id", "name").count())(clustering.recluster(c, 2, TIGHT)[0]))
-_on_catalog("split_selected", None, lambda c: (lambda r: r[0].faces.where(F.col("cluster_id").isin(r[1])).select("id", "cluster_id"))(clustering.split_by_similarity(c, list(range(1, 40)), "Split", TIGHT)))
+
+
+def _linkage(units: str, eps: float) -> dict[str, str]:
+    """SQL: common table expressions ending in linked (id, label): the nearest two groups of ``units`` (id, e) merge while their average distance is under ``eps``.
+    A group is in the place of its smallest id, so places are labels."""
+    pairs = """flatten(list_transform(range(1, len(gs) + 1), lambda i: list_transform(range(i + 1, len(gs) + 1),
+ lambda j: {'d': 1 - list_dot_product(gs[i].s, gs[j].s) / (gs[i].n * gs[j].n), 'i': i, 'j': j})))"""
+    both = """{'ids': list_concat(gs[p.i].ids, gs[p.j].ids), 's': list_transform(range(1, len(gs[p.i].s) + 1), lambda t: gs[p.i].s[t] + gs[p.j].s[t]), 'n': gs[p.i].n + gs[p.j].n}"""
+    return {
+        "steps": f"""SELECT 0 AS step, list({{'ids': [id], 's': e, 'n': 1}} ORDER BY id) AS gs FROM {units}
+ UNION ALL SELECT step + 1, list_transform(list_filter(range(1, len(gs) + 1), lambda k: k <> p.j), lambda k: CASE WHEN k = p.i THEN {both} ELSE gs[k] END)
+ FROM (SELECT step, gs, list_sort(list_filter({pairs}, lambda x: x.d < {eps}))[1] AS p FROM steps) WHERE p IS NOT NULL""",
+        "linked": """SELECT unnest(g.ids) AS id, label FROM (SELECT unnest(gs) AS g, unnest(range(len(gs))) AS label FROM steps WHERE step = (SELECT max(step) FROM steps))""",
+    }
+
+
+def _units_of(where: str) -> str:
+    return f"SELECT id, e FROM ({ACTIVE_UNITS}) WHERE {where}"
+
+
+SIZED = "SELECT id, label, count(*) OVER (PARTITION BY label) AS size FROM linked"
+_on_catalog("recluster_one", _with("faces", recursive=True, u=_units_of("cluster_id = 2"), **_linkage("u", TIGHT), sized=SIZED) + "SELECT id, CAST(CASE WHEN size < 3 THEN -1 ELSE label END AS INT) AS label FROM sized",
+            lambda c: clustering.recluster_labels(c, 2, TIGHT))
+_on_catalog("recluster_state", _with("faces", "clusters", recursive=True, u=_units_of("cluster_id = 2"), **_linkage("u", TIGHT), sized=SIZED,
+                                     kept="SELECT label, row_number() OVER (ORDER BY size DESC, label) AS place FROM (SELECT DISTINCT label, size FROM sized WHERE size >= 3)",
+                                     fresh="""SELECT label, 2 AS id, CAST(NULL AS VARCHAR) AS name FROM kept WHERE place = 1
+ UNION ALL SELECT label, 11 + row_number() OVER (ORDER BY label), printf('Person_%03d', 1234 + row_number() OVER (ORDER BY label)) FROM kept WHERE place > 1""") + """
+ SELECT x.cluster_id, coalesce(x.name, c.name) AS name, count(*) AS count FROM (
+  SELECT cluster_id, CAST(NULL AS VARCHAR) AS name FROM faces WHERE dismissed = 0 AND cluster_id <> 2
+  UNION ALL SELECT f.id, f.name FROM sized s JOIN fresh f USING (label)) x LEFT JOIN clusters c ON c.id = x.cluster_id GROUP BY x.cluster_id, coalesce(x.name, c.name)""",
+            lambda c: (lambda s: s.active.join(s.clusters.select(F.col("id").alias("cluster_id"), "name"), "cluster_id").groupBy("cluster_id", "name").count())(clustering.recluster(c, 2, TIGHT)[0]))
+_on_catalog("split_selected", _with("faces", recursive=True, u=_units_of("id BETWEEN 1 AND 39"), **_linkage("u", TIGHT)) + "SELECT id, CAST(12 + label AS BIGINT) AS cluster_id FROM linked",
+            lambda c: (lambda r: r[0].faces.where(F.col("cluster_id").isin(r[1])).select("id", "cluster_id"))(clustering.split_by_similarity(c, list(range(1, 40)), "Split", TIGHT)))
 _on_catalog("next_auto_name", _with("clusters") + f"SELECT printf('Person_%03d', max(CAST(regexp_extract(name, '{names.AUTO_NUMBER}', 1) AS BIGINT)) + 1) AS name FROM clusters WHERE regexp_matches(name, '{names.AUTO_PREFIX}')",
             lambda c: c.clusters.agg(names.auto_name(F.max(names.auto_number(F.col("name"))) + 1).alias("name")))
 

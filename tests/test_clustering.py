@@ -3,7 +3,7 @@ import pytest
 from catalog_helpers import named, near, of, unit
 
 from lightbox.functions import vectors
-from lightbox.operators import clustering, density, neighbors, regions
+from lightbox.operators import clustering, density, linkage, neighbors, regions
 from lightbox.plans.materialize import written
 
 
@@ -147,12 +147,27 @@ def brute_linkage(m, eps):
     return {frozenset(g) for g in groups}
 
 
-def test_average_linkage_equals_brute_force():
+def test_merging_in_rounds_equals_the_sequential_one():
     rng = np.random.RandomState(3)
     for n in (1, 2, 17, 30):
-        m = rng.randn(n, 5)
-        labels = clustering.average_linkage(m, 0.8)
-        assert {frozenset(np.flatnonzero(labels == k).tolist()) for k in set(labels.tolist())} == brute_linkage(m, 0.8)
+        for eps in (0.5, 0.8, 1.1):
+            m = rng.randn(n, 5)
+            m[: n // 3] = m[: n // 3] * 0.1 + m[0]
+            u = m / np.linalg.norm(m, axis=1, keepdims=True)
+            roots = linkage.merged(np.arange(n), u, np.ones(n), eps)
+            assert {frozenset(np.flatnonzero(roots == k).tolist()) for k in set(roots.tolist())} == brute_linkage(m, eps)
+
+
+@pytest.mark.parametrize("block", [2048, 6])
+def test_average_linkage_over_parts(spark, monkeypatch, block):
+    monkeypatch.setattr(regions, "BLOCK", block)
+    rng = np.random.RandomState(4)
+    m = np.concatenate([c + 0.5 * rng.randn(8, 6) for c in rng.randn(4, 6)])[rng.permutation(32)]
+    df = spark.createDataFrame([(10 + i, [float(x) for x in v]) for i, v in enumerate(m)] + [(99, None)], "id long, embedding array<double>")
+    found = {r["id"]: r["label"] for r in linkage.average_linkage(df, 0.6).collect()}
+    groups = sorted(brute_linkage(m, 0.6), key=min)
+    assert found == {10 + i: k for k, g in enumerate(groups) for i in g}
+    assert linkage.average_linkage(df.limit(0), 0.6).count() == 0
 
 
 def test_recluster_splits_and_keeps_the_largest(make):

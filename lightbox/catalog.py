@@ -35,7 +35,8 @@ class Catalog:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Catalog:
         meta = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/meta").collect()))
-        tables = {t: spark.read.parquet(f"{path}/{t}") for t in schema.TABLES if t in meta["tables"]}
+        known = lambda t: spark.read.schema(schema.TABLES[t]) if "buckets" in meta else spark.read  # noqa: E731  an empty table in buckets has no files
+        tables = {t: known(t).parquet(f"{path}/{t}") for t in schema.TABLES if t in meta["tables"]}
         return cls(**schema.migrate(tables, meta["version"]), last_auto=meta["last_auto"])
 
     def save(self, path: str) -> None:

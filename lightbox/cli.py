@@ -6,6 +6,7 @@ it and swaps the folders, so a failure leaves the old one whole."""
 from __future__ import annotations
 
 import argparse
+import json
 import logging
 import os
 import shutil
@@ -19,6 +20,7 @@ from . import __version__
 from .catalog import Catalog
 from .operators import clustering, curation, duplicates, export, ingest
 from .plans import materialize, views
+from .plans.store import Store
 from .sources import files
 
 log = logging.getLogger("lightbox")
@@ -34,12 +36,17 @@ def opened(spark: SparkSession, path: str) -> Catalog:
     if not os.path.isdir(os.path.join(path, "meta")):
         print(f"No catalog at {path}. Run 'scan' first.", file=sys.stderr)
         raise SystemExit(1)
-    return Catalog.load(spark, path)
+    return Store.open(spark, path).load() if "buckets" in json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/meta").collect())) else Catalog.load(spark, path)
 
 
-def saved(catalog: Catalog, path: str) -> None:
+def saved(catalog: Catalog, path: str, before: Catalog | None = None) -> None:
+    """Keeps a state; of the one that was opened there as ``before`` only the buckets that differ are written."""
+    spark = catalog.photos.sparkSession
+    if before is not None and "buckets" in json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/meta").collect())):
+        Store.open(spark, path).apply(before, catalog)
+        return
     new, old = f"{path}.new-{os.getpid()}", f"{path}.old-{os.getpid()}"
-    catalog.save(new)
+    Store.create(catalog, new)
     if os.path.isdir(path):
         os.rename(path, old)
     os.rename(new, path)
@@ -111,7 +118,7 @@ def cluster(spark, args) -> int:
     else:
         state, n = clustering.full_clustering(catalog, args.threshold, args.min_size)
         print(f"{n} clusters" if n else "No clusters formed; a higher threshold joins more.")
-    saved(state, args.catalog)
+    saved(state, args.catalog, catalog)
     return 0
 
 
@@ -134,8 +141,13 @@ def stats(spark, args) -> int:
 
 
 def find_duplicates(spark, args) -> int:
-    state, n = duplicates.detect_duplicates(opened(spark, args.catalog), args.threshold)
-    saved(state, args.catalog)
+    """Photos without a hash get one from their files first, where these can still be read."""
+    catalog = opened(spark, args.catalog)
+    full, filled = ingest.backfill(catalog) if ingest.unhashed(catalog.photos).limit(1).count() else (catalog, 0)
+    state, n = duplicates.detect_duplicates(full, args.threshold)
+    saved(state, args.catalog, catalog)
+    if filled:
+        print(f"{filled} photos got a hash")
     print(f"{n} duplicate groups")
     return 0
 
@@ -167,12 +179,13 @@ def change(action: Callable) -> Callable:
     """A command that applies ``action(catalog, args) -> (catalog, message)`` and saves."""
 
     def run(spark, args) -> int:
+        catalog = opened(spark, args.catalog)
         try:
-            state, message = action(opened(spark, args.catalog), args)
+            state, message = action(catalog, args)
         except curation.ActionError as e:
             print(f"Error: {e}", file=sys.stderr)
             return 1
-        saved(state, args.catalog)
+        saved(state, args.catalog, catalog)
         print(message)
         return 0
 

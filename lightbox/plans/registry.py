@@ -486,6 +486,35 @@ def migrate_v4_v5(spark, d):
     return schema.migrate(old, 4)["photos"].select("id", "path", "phash", "duplicate_group_id")
 
 
+def _kept(name: str, sql: str, act: Callable[[Catalog], Catalog], read) -> None:
+    """A query of a store's kept counts after a change that wrote only what it touched."""
+
+    def run(spark, d):
+        import uuid
+
+        from .materialize import run_dir
+        from .store import Store
+
+        path = f"{run_dir(spark)}/store-{uuid.uuid4().hex}"
+        store = Store.create(fixtures.catalog(spark, d), path)
+        before = store.load()
+        store.apply(before, act(before))
+        return read(Store.open(spark, path))
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+MOVED = "SELECT * REPLACE (CASE WHEN cluster_id = 3 THEN 1 ELSE cluster_id END AS cluster_id) FROM faces_before"
+LEFT_OVER = dict(faces_before=fixtures.CTES["faces"], clusters_before=fixtures.CTES["clusters"], faces=MOVED, clusters="SELECT * FROM clusters_before WHERE id <> 3")
+_kept("kept_face_counts", _with(**LEFT_OVER, counted=COUNTED) + "SELECT * FROM counted", lambda c: curation.merge_people(c, 1, 3), lambda s: s.clusters_with_counts())
+_kept("kept_photo_counts", _with("photos", **LEFT_OVER) + """SELECT c.id AS cluster_id, count(DISTINCT p.path) AS photos FROM clusters c LEFT JOIN faces f ON f.cluster_id = c.id
+ LEFT JOIN photos p ON p.id = f.photo_id GROUP BY c.id""", lambda c: curation.merge_people(c, 1, 3), lambda s: s.photo_counts())
+_kept("kept_day_counts", _with("photos", "clusters", all_faces=fixtures.CTES["faces"], faces="SELECT * FROM all_faces WHERE photo_id <> 7", t=TIMELINE) + "SELECT day, count(*) AS faces FROM t GROUP BY day",
+      lambda c: curation.delete_photo(c, 7), lambda s: s.day_counts())
+_kept("kept_stats", _with("photos", all_faces=fixtures.CTES["faces"], all_clusters=fixtures.CTES["clusters"]) + """SELECT (SELECT count(*) FROM photos) AS photos, (SELECT count(*) FROM all_clusters) - 1 AS clusters,
+ count(*) FILTER (WHERE gone = 0) AS faces, count(*) FILTER (WHERE gone = 0 AND cluster_id IS NULL) AS unclustered_faces, count(*) FILTER (WHERE gone = 1) AS dismissed_faces
+ FROM (SELECT cluster_id, CASE WHEN cluster_id = 5 THEN 1 ELSE dismissed END AS gone FROM all_faces)""", lambda c: curation.dismiss_cluster(c, 5)[0], lambda s: s.stats())
+
 UPSERT_FROM = "id % 100 = 7"
 
 

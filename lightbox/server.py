@@ -43,8 +43,9 @@ class App:
 
     def change(self, action) -> dict:
         with self.lock:
-            state, result = action(self.catalog())
-            cli.saved(state, self.path)
+            before = self.catalog()
+            state, result = action(before)
+            cli.saved(state, self.path, before)
         return {"ok": True} | (result or {})
 
     def background(self, kind: str, action) -> dict:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-import shutil
-from collections.abc import Callable, Iterable
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..functions.names import sanitized
-from ..plans.materialize import written
+from ..plans.materialize import run_dir, written
+from ..sources import folders
 
-#: Entities that one job exports; a stop is heeded between jobs.
-PER_JOB = 64
 #: A name's number before its extension, which a free name adds to.
 NUMBERED = r"^(.+)_[0-9]+((?:\.[^.]*)?)$"
 
@@ -90,42 +89,36 @@ def export_summary(catalog: Catalog, plan: DataFrame) -> DataFrame:
     return named.join(plan.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("exported")), "cluster_id", "left").withColumn("exported", F.coalesce("exported", F.lit(0)))
 
 
+def names_there(spark, output: str, folders: DataFrame) -> DataFrame:
+    """(folder, file_name) of what lies in the ``folders`` (folder) of ``output``, listed by tasks."""
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            there = [(f, n) for f in pdf["folder"] if os.path.isdir(os.path.join(output, f)) for n in os.listdir(os.path.join(output, f))]
+            yield pd.DataFrame(there, columns=["folder", "file_name"])
+
+    return folders.select("folder").distinct().mapInPandas(listed, "folder string, file_name string")
+
+
 def run_export(catalog: Catalog, output: str, symlink: bool = False, on_progress: Callable[[int, int], None] | None = None, stop: Callable[[], bool] | None = None) -> dict[str, int]:
-    """Copies (or links) on a file system that driver and executors share; {name: pictures}. Missing
-    pictures are skipped, files that are there are never overwritten; a job exports PER_JOB clusters, a task a
-    folder, and it stops between jobs. A task that runs again after a failure leaves what it copied before and adds new names."""
-    pictures = written(pictures_of(catalog), "export-run")
-    clusters = catalog.clusters.select("id", "name", sanitized(F.col("name")).alias("folder")).orderBy("folder", "id").collect()  # the entities a user named, one row each
-    done: dict[int, int] = {}
-
-    def copy(pdf: pd.DataFrame) -> pd.DataFrame:
-        folder = os.path.join(output, pdf["folder"].iloc[0])
-        os.makedirs(folder, exist_ok=True)
-        rows = [r for r in pdf.sort_values(["cluster_id", "src"], kind="stable").itertuples() if os.path.exists(r.src)]
-        for row, name in zip(rows, free_names([r.base for r in rows], set(os.listdir(folder))), strict=True):
-            if symlink:
-                os.symlink(row.src, os.path.join(folder, name))
-            else:
-                shutil.copy2(row.src, os.path.join(folder, name))
-        counts = pd.Series([r.cluster_id for r in rows], dtype="int64").value_counts()
-        return pd.DataFrame({"cluster_id": counts.index, "n": counts.to_numpy()})
-
-    at = 0
-    while at < len(clusters) and not (stop is not None and stop()):
-        end = at + PER_JOB
-        while end < len(clusters) and clusters[end]["folder"] == clusters[end - 1]["folder"]:  # a folder is one task's
-            end += 1
-        some = clusters[at:end]
-        for c in some:
-            os.makedirs(os.path.join(output, c["folder"]), exist_ok=True)
-        ids = [c["id"] for c in some]
-        found = pictures.where(F.col("cluster_id").isin(ids)).groupBy("folder").applyInPandas(copy, "cluster_id long, n long").collect()
-        done |= dict.fromkeys(ids, 0) | {r["cluster_id"]: r["n"] for r in found}
-        at = min(end, len(clusters))
-        if on_progress:
-            on_progress(at, len(clusters))
+    """Copies (or links) on a file system that driver and executors share; {name: pictures}. One job for all entities: pictures are dealt to tasks one
+    by one, so an entity of any size is spread, and all of them get their names when every task has ended, or none does. Missing
+    pictures are skipped, files that are there are never overwritten. ``stop`` is heeded before the job, and a job that is cancelled leaves nothing."""
+    if stop is not None and stop():
+        return {}
+    spark = catalog.clusters.sparkSession
+    clusters = catalog.clusters.select("id", "name", sanitized(F.col("name")).alias("folder")).orderBy("id").collect()  # the entities a user named, one row each
+    for c in clusters:
+        os.makedirs(os.path.join(output, c["folder"]), exist_ok=True)
+    folders.register(spark)
+    report = f"{run_dir(spark)}/export-{uuid.uuid4().hex}"
+    plan = export_plan(catalog, names_there(spark, output, spark.createDataFrame([(c["folder"],) for c in clusters], "folder string")))
+    sink = plan.select("cluster_id", "folder", "src", "file_name").repartition(F.xxhash64("folder", "src")).write.format(folders.FORMAT)
+    sink.option("symlink", str(symlink)).option("report", report).mode("append").save(output)
+    done = {r["cluster_id"]: r["n"] for r in spark.read.schema("cluster_id long, n long").json(report).groupBy("cluster_id").agg(F.sum("n").alias("n")).collect()}  # a row an entity
+    if on_progress:
+        on_progress(len(clusters), len(clusters))
     summary: dict[str, int] = {}
-    for c in sorted(clusters, key=lambda c: c["id"]):
-        if c["id"] in done:
-            summary[c["name"]] = summary.get(c["name"], 0) + done[c["id"]]
+    for c in clusters:
+        summary[c["name"]] = summary.get(c["name"], 0) + done.get(c["id"], 0)
     return summary

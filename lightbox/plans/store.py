@@ -20,7 +20,7 @@ from ..functions.times import day
 from .materialize import remove, written
 
 #: Rows of a bucket about, and buckets at least and at most.
-ROWS, LEAST, MOST = 1_000_000, 16, 4096
+ROWS, LEAST, MOST = 100_000, 2, 4096
 PENDING, META = "_pending", "meta"
 
 

@@ -99,36 +99,55 @@ def _masks(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in some) for r in range(radius + 1) for some in combinations(range(width), r)]
 
 
-def near_hashes(distinct: DataFrame, most: int) -> DataFrame:
-    """All pairs (h1, h2, bits), h1 < h2, of ``distinct`` (hash long) that differ in at most ``most`` bits.
-
-    Exact: of m bands of bits one differs in at most most // m, so each hash is entered once a band and
-    looks up all values of its bands within that many bits (2 at most; 4 bands of 16 bits up to 11 bits). A pair is made in the first band
-    that shows it only, so nothing is made twice."""
+def _bands(most: int) -> tuple[list[int], list[int], int]:
+    """(where bands of bits begin, their widths, how far a value in one may be off): of m bands one differs in at most most // m bits."""
     if most >= 64:  # any two
         bands, radius = 1, 64
     else:
         bands = most + 1 if most < LEAST_BANDS else max(LEAST_BANDS, -(-(most + 1) // (PROBED + 1)))
         radius = most // bands
     cuts = [64 * k // bands for k in range(bands + 1)]
-    widths = [b - a for a, b in zip(cuts, cuts[1:], strict=False)]
-    part = lambda h, k: F.shiftrightunsigned(h, cuts[k]).bitwiseAND(F.lit((1 << widths[k]) - 1 if widths[k] < 64 else -1))
-    if radius > PROBED:  # a threshold that tells nothing: one key
-        key = lambda h: F.array(F.struct(F.lit(0).alias("band"), F.lit(0).cast("long").alias("bits")))
-        entered, looked = distinct.select("hash", F.inline(key("hash"))), distinct.select(F.col("hash").alias("other"), F.inline(key("hash")))
-        first = F.lit(True)
-    else:
-        entry = lambda k, bits: F.struct(F.lit(k).alias("band"), bits.alias("bits"))
-        entered = distinct.select("hash", F.inline(F.array(*(entry(k, part(F.col("hash"), k)) for k in range(bands)))))
+    return cuts, [b - a for a, b in zip(cuts, cuts[1:], strict=False)], radius
+
+
+def _part(h, cut: int, width: int):
+    return F.shiftrightunsigned(h, cut).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+
+
+def _entry(k: int, bits):
+    return F.struct(F.lit(k).alias("band"), bits.alias("bits"))
+
 
-        def probes(k: int):
-            near_by = F.array(*(F.lit(m).cast("long") for m in _masks(widths[k], radius)))
-            return F.transform(near_by, lambda m: entry(k, part(F.col("hash"), k).bitwiseXOR(m)))
+def band_entries(hashes: DataFrame, most: int) -> DataFrame:
+    """(hash, band, bits): each hash under the values of its bands; one key where the threshold tells nothing."""
+    cuts, widths, radius = _bands(most)
+    keys = [_entry(0, F.lit(0).cast("long"))] if radius > PROBED else [_entry(k, _part(F.col("hash"), cuts[k], w)) for k, w in enumerate(widths)]
+    return hashes.select("hash", F.inline(F.array(*keys)))
 
-        looked = distinct.select(F.col("hash").alias("other"), F.inline(F.concat(*map(probes, range(bands)))))
-        shown = lambda k: F.bit_count(part(F.col("x.hash").bitwiseXOR(F.col("y.other")), k)) <= radius
-        first = reduce(lambda a, b: a & b, (((F.col("x.band") <= k) | ~shown(k)) for k in range(bands - 1)), F.lit(True))
-    x, y = entered.alias("x"), looked.alias("y")
+
+def band_probes(hashes: DataFrame, most: int) -> DataFrame:
+    """(other, band, bits): each hash as ``other`` under all values that an entry of a hash near it may have in a band."""
+    cuts, widths, radius = _bands(most)
+    if radius > PROBED:
+        return hashes.select(F.col("hash").alias("other"), F.inline(F.array(_entry(0, F.lit(0).cast("long")))))
+
+    def probes(k: int):
+        near_by = F.array(*(F.lit(m).cast("long") for m in _masks(widths[k], radius)))
+        return F.transform(near_by, lambda m: _entry(k, _part(F.col("hash"), cuts[k], widths[k]).bitwiseXOR(m)))
+
+    return hashes.select(F.col("hash").alias("other"), F.inline(F.concat(*map(probes, range(len(widths))))))
+
+
+def near_hashes(distinct: DataFrame, most: int) -> DataFrame:
+    """All pairs (h1, h2, bits), h1 < h2, of ``distinct`` (hash long) that differ in at most ``most`` bits.
+
+    Exact: of m bands of bits one differs in at most most // m, so each hash is entered once a band and
+    looks up all values of its bands within that many bits (2 at most; 4 bands of 16 bits up to 11 bits). A pair is made in the first band
+    that shows it only, so nothing is made twice."""
+    cuts, widths, radius = _bands(most)
+    shown = lambda k: F.bit_count(_part(F.col("x.hash").bitwiseXOR(F.col("y.other")), cuts[k], widths[k])) <= radius
+    first = reduce(lambda a, b: a & b, (((F.col("x.band") <= k) | ~shown(k)) for k in range(len(widths) - 1)), F.lit(True)) if radius <= PROBED else F.lit(True)
+    x, y = band_entries(distinct, most).alias("x"), band_probes(distinct, most).alias("y")
     met = (F.col("x.band") == F.col("y.band")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.hash") < F.col("y.other"))
     return x.join(y, met & (hamming(F.col("x.hash"), F.col("y.other")) <= most) & first).select(F.col("x.hash").alias("h1"), F.col("y.other").alias("h2"), hamming(F.col("x.hash"), F.col("y.other")).alias("bits"))
 

@@ -147,6 +147,23 @@ def duplicate_detect(spark, d):
     return c.photos.where("duplicate_group_id is not null").select(F.col("id").alias("photo_id"), "duplicate_group_id")
 
 
+@_register(_with(recursive=True, **DUPLICATES) + "SELECT id AS photo_id, group_id AS duplicate_group_id FROM grouped")
+def duplicates_kept(spark, d):
+    """The groups of an index that most photos were brought to first, and the rest after them."""
+    import uuid
+
+    from ..operators.hashindex import HashIndex
+    from .materialize import run_dir
+
+    photos = written(_hashes(spark, d), "hashes")
+    index = HashIndex(spark, f"{run_dir(spark)}/index-{uuid.uuid4().hex}")
+    index.add(photos.where("id % 50 <> 3"))
+    index.add(photos.where("id % 50 = 3"))
+    labels = written(index.labels(photos), "index-labels")
+    index.close()
+    return labels.select(F.col("id").alias("photo_id"), (F.col("label") + 1).cast("long").alias("duplicate_group_id"))
+
+
 @_register(_with(recursive=True, **DUPLICATES) + "SELECT group_id AS id, count(*) AS photo_count FROM grouped GROUP BY group_id")
 def duplicate_groups(spark, d):
     return views.duplicate_groups(duplicates.detect_duplicates(_hashed_catalog(spark, d))[0])

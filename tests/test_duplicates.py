@@ -5,6 +5,7 @@ import pytest
 
 from lightbox.functions import hashes
 from lightbox.operators import duplicates, neighbors
+from lightbox.operators.hashindex import HashIndex
 from lightbox.plans import views
 
 
@@ -88,3 +89,40 @@ def test_many_photos_of_one_hash(spark):
         if h not in core:
             label[h] = min((label[o] for o in near[h] if o in core), default=-1)
     assert got == {k: label[values[i]] for k, i in enumerate(order)}
+
+
+def test_kept_groups_equal_a_full_run(spark, tmp_path, monkeypatch):
+    """Photos in four batches: copies of known hashes, hashes that join old groups, and a batch that breaks off."""
+    r = random.Random(3)
+    base = [r.getrandbits(63) for _ in range(8)]
+    values = [b ^ sum(1 << r.randrange(63) for _ in range(r.randrange(7))) for b in base for _ in range(12)] + base + [r.getrandbits(63) for _ in range(20)]
+    chain = [base[0]]
+    for _ in range(12):  # single steps that join families late
+        chain.append(chain[-1] ^ (0b1111 << r.randrange(60)))
+    values += chain
+    rows = list(enumerate(values + r.choices(values, k=20)))
+    r.shuffle(rows)
+    df = lambda some: spark.createDataFrame(some, "id long, hash long")
+    index, plain = HashIndex(spark, str(tmp_path / "index"), bits=6), HashIndex._append
+    cuts = [0, 60, 61, 100, len(rows)]
+    for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if n == 2:
+            with monkeypatch.context() as m:
+                m.setattr(HashIndex, "_append", lambda self, name, *more: plain(self, name, *more) if name != "moves" else 1 // 0)
+                with pytest.raises(ZeroDivisionError):
+                    index.add(df(rows[a:b]))
+            index.close()
+            index = HashIndex(spark, str(tmp_path / "index"))
+        assert index.add(df(rows[a:b])) == n + 1
+        if n != 1:
+            want = {x["id"]: x["label"] for x in duplicates.duplicate_labels(df(rows[:b]), 6).where("label >= 0").collect()}
+            assert {x["id"]: x["label"] for x in index.labels(df(rows[:b])).collect()} == want and want
+    # the index's side of the look-up isn't shuffled
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        probes = neighbors.band_probes(df([(1, 5)]).select("hash"), 6)
+        plan = probes.join(index.table("bands"), ["band", "bits"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1
+    index.close()

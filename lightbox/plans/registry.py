@@ -106,6 +106,32 @@ _on_catalog("timeline_years", _with(*FPC) + "SELECT DISTINCT coalesce(substr(p.e
 _on_catalog("timeline_year_page", _with(*FPC) + PAGE + "p.exif_date LIKE '2021%'", lambda c: views.timeline_year(c, "2021"))
 _on_catalog("timeline_undated", _with(*FPC) + PAGE + "p.exif_date IS NULL", views.timeline_undated)
 
+def _folder(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from .materialize import run_dir
+
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@_register(_with("photos") + "SELECT id, path, file_size FROM photos ORDER BY path LIMIT 40 OFFSET 120")
+def photo_page(spark, d):
+    """The fourth page of photos by path, from a sorted layout."""
+    from .pages import write_pages
+
+    photos = fixtures.catalog(spark, d).photos.select("id", "path", "file_size")
+    return write_pages(photos, _folder(spark, "pages"), {"path": F.col("path")}, page_size=40, folder=2).page(3)
+
+
+@_register(_with("photos") + "SELECT id, path FROM photos WHERE contains(lower(path), 'src7/1')")
+def photo_search(spark, d):
+    """Photos with a part of a path, by postings of its pieces."""
+    from .names_index import NamesIndex
+
+    names = fixtures.catalog(spark, d).photos.select("id", F.col("path").alias("name"))
+    return NamesIndex.create(names, _folder(spark, "names")).search(names, "SRC7/1").select("id", F.col("name").alias("path"))
+
+
 # ---------------------------------------------------------------- hashes and duplicates
 
 _BITS = ", ".join(f"sum((({h} >> {i}) & 1) * 2 - 1) AS {h}{i}" for h in ("hi", "lo") for i in range(32))

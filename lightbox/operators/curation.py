@@ -29,6 +29,13 @@ def _exists(df: DataFrame, id_: int) -> bool:
     return df.where(F.col("id") == id_).limit(1).count() > 0
 
 
+def _known(df: DataFrame, what: str, *ids: int) -> None:
+    """Raises for ids that the table doesn't have."""
+    there = {r["id"] for r in df.where(F.col("id").isin(*ids)).select("id").collect()}
+    if missing := [str(i) for i in ids if i not in there]:
+        raise ActionError(f"no {what} {' or '.join(missing)}", 404)
+
+
 def require_int(value, name: str) -> int:
     if isinstance(value, bool) or not isinstance(value, (int, str)):
         raise ActionError(f"{name} must be an integer")
@@ -69,9 +76,8 @@ def merge(c: Catalog, keep: int, source: int) -> Catalog:
 
 def merge_people(c: Catalog, keep: int, source: int) -> Catalog:
     if keep == source:
-        raise ActionError("cannot merge a cluster with itself")
-    if c.clusters.where(F.col("id").isin(keep, source)).count() < 2:
-        raise ActionError("one or both clusters not found", 404)
+        raise ActionError(f"{keep} is both sides of the merge")
+    _known(c.clusters, "cluster", keep, source)
     return merge(c, keep, source)
 
 
@@ -84,39 +90,35 @@ def merge_many(c: Catalog, target: int, sources: Iterable[int]) -> Catalog:
 
 def split_face(c: Catalog, face_id: int, name: str = "") -> tuple[Catalog, dict]:
     """One face to a new cluster; a dismissed one stays dismissed."""
-    if not _exists(c.faces, face_id):
-        raise ActionError("face not found", 404)
-    name = sanitize(name) if name.strip() else f"Split_{face_id}"
-    new = clustering.next_id(c.clusters)
-    state = clustering.with_clusters(c, c.faces.sparkSession.createDataFrame([(new, name)], "id long, name string"))
-    return assign_face(state, face_id, new), {"cluster_id": new, "name": name}
+    _known(c.faces, "face", face_id)
+    own = {"cluster_id": clustering.next_id(c.clusters), "name": sanitize(name) if name.strip() else f"Split_{face_id}"}
+    row = c.faces.sparkSession.createDataFrame([tuple(own.values())], "id long, name string")
+    return assign_face(clustering.with_clusters(c, row), face_id, own["cluster_id"]), own
 
 
 def split_faces(c: Catalog, face_ids: list[int], base: str = "", eps: float = clustering.EPS) -> tuple[Catalog, dict]:
     if not face_ids:
-        raise ActionError("face_ids required")
-    state, ids = clustering.split_by_similarity(c, face_ids, sanitize(base) if base.strip() else "Split", eps)
-    return state, {"cluster_ids": ids}
+        raise ActionError("no faces were named")
+    name = sanitize(base) if base.strip() else "Split"
+    state, made = clustering.split_by_similarity(c, face_ids, name, eps)
+    return state, {"cluster_ids": made}
 
 
 def dismiss_face(c: Catalog, face_id: int) -> Catalog:
-    if not _exists(c.faces, face_id):
-        raise ActionError("face not found", 404)
+    _known(c.faces, "face", face_id)
     hit = F.col("id") == face_id
     return c.to(faces=_set(_set(c.faces, "cluster_id", hit, F.lit(None).cast("long")), "dismissed", hit, F.lit(1)))
 
 
 def restore_face(c: Catalog, face_id: int) -> Catalog:
     """Not dismissed any more; it stays unassigned."""
-    if not _exists(c.faces, face_id):
-        raise ActionError("face not found", 404)
+    _known(c.faces, "face", face_id)
     return c.to(faces=_set(c.faces, "dismissed", F.col("id") == face_id, F.lit(0)))
 
 
 def dismiss_cluster(c: Catalog, cluster_id: int) -> tuple[Catalog, int]:
     """All its faces dismissed, the cluster deleted; also the number of faces."""
-    if not _exists(c.clusters, cluster_id):
-        raise ActionError("cluster not found", 404)
+    _known(c.clusters, "cluster", cluster_id)
     hit = F.coalesce(F.col("cluster_id") == cluster_id, F.lit(False))
     n = c.faces.where(hit).count()
     faces = c.faces.withColumns({"dismissed": F.when(hit, 1).otherwise(F.col("dismissed")), "cluster_id": F.when(hit, F.lit(None).cast("long")).otherwise(F.col("cluster_id"))})
@@ -132,19 +134,16 @@ def dismiss_many(c: Catalog, cluster_ids: Iterable[int]) -> tuple[Catalog, int]:
 
 
 def move_face(c: Catalog, face_id: int, cluster_id: int) -> Catalog:
-    if not _exists(c.faces, face_id):
-        raise ActionError("face not found", 404)
-    if not _exists(c.clusters, cluster_id):
-        raise ActionError("cluster not found", 404)
+    _known(c.faces, "face", face_id)
+    _known(c.clusters, "cluster", cluster_id)
     return assign_face(c, face_id, cluster_id)
 
 
 def move_faces(c: Catalog, face_ids: list[int], cluster_id: int) -> tuple[Catalog, int]:
     """The cluster must exist; ids of faces aren't checked, and all count as moved."""
     if not face_ids:
-        raise ActionError("face_ids required")
-    if not _exists(c.clusters, cluster_id):
-        raise ActionError("cluster not found", 404)
+        raise ActionError("no faces were named")
+    _known(c.clusters, "cluster", cluster_id)
     return c.to(faces=_set(c.faces, "cluster_id", F.col("id").isin(face_ids), F.lit(cluster_id).cast("long"))), len(face_ids)
 
 

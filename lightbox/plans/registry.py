@@ -590,3 +590,28 @@ def ingest_stream_counts(spark, d):
     source = spark.readStream.schema("id long, embedding array<float>").option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     assign_stream(source, written(clustering.centroids(c), "centroids"), NEAR, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("faces"))
+
+
+_STEP = "SELECT u.id, min_by(k.cluster_id, (1 - list_dot_product(u.e, k.c), k.cluster_id)) AS cluster_id, min(1 - list_dot_product(u.e, k.c)) AS dist FROM {rows} u JOIN {cent} k ON true GROUP BY u.id HAVING min(1 - list_dot_product(u.e, k.c)) <= " + str(NEAR)
+
+
+@_register(_with("faces", u=ACTIVE_UNITS, cent=CENTROIDS, b0="SELECT id, e FROM u WHERE cluster_id IS NULL AND id % 2 = 0", n0=_STEP.format(rows="b0", cent="cent"),
+                 cent1=_mean("SELECT coalesce(f.cluster_id, n0.cluster_id) AS cluster_id, CAST(f.embedding AS DOUBLE[]) AS v FROM faces f LEFT JOIN n0 USING (id) WHERE f.dismissed = 0 AND coalesce(f.cluster_id, n0.cluster_id) IS NOT NULL", "cluster_id"),
+                 b1="SELECT id, e FROM u WHERE cluster_id IS NULL AND id NOT IN (SELECT id FROM n0)", n1=_STEP.format(rows="b1", cent="cent1")) + """
+ SELECT id, cluster_id, 0 AS batch FROM n0 UNION ALL SELECT id, cluster_id, 1 FROM n1""")
+def growing_centroids(spark, d):
+    """Vectors in two micro-batches against centroids that the first one moves; what it left waits for the second."""
+    import uuid
+
+    from ..streaming.centroids import GrowingClusters
+    from .materialize import run_dir
+
+    base = f"{run_dir(spark)}/growing-{uuid.uuid4().hex}"
+    c = fixtures.catalog(spark, d)
+    grown = GrowingClusters(spark, base, NEAR, least=1 << 40)
+    grown.start(c.active.where("cluster_id is not null").select("cluster_id", "embedding"))
+    source = spark.readStream.schema("id long, embedding array<float>").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    for lot in (0, 1):
+        clustering.unassigned(c).where(F.col("id") % 2 == lot).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        grown.run(source, f"{base}/checkpoint").awaitTermination()
+    return grown.placed().select("id", "cluster_id", "batch")

@@ -49,12 +49,16 @@ class FolderWriter(DataSourceWriter):
         task = TaskContext.get()
         staged = os.path.join(self.staging, f"{task.partitionId()}-{task.taskAttemptId()}")
         counts: Counter[int] = Counter()
+        os.makedirs(staged, exist_ok=True)  # only here: a task that goes on after abort finds no place any more
+        made: set[str] = set()
         for row in iterator:
             cluster, folder, src, name = (row[self.place[c]] for c in ("cluster_id", "folder", "src", "file_name"))
             if not os.path.exists(src):
                 continue
+            if folder not in made:
+                os.mkdir(os.path.join(staged, folder))
+                made.add(folder)
             target = os.path.join(staged, folder, name)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
             if self.symlink:
                 os.symlink(src, target)
             else:
@@ -86,7 +90,12 @@ class FolderWriter(DataSourceWriter):
         shutil.rmtree(self.staging, ignore_errors=True)  # with what tasks left that died or ran twice
 
     def abort(self, messages: list[Copied | None]) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+        gone = f"{self.staging}-aborted"
+        try:
+            os.rename(self.staging, gone)  # first out of the way of tasks that still run
+        except FileNotFoundError:
+            return
+        shutil.rmtree(gone, ignore_errors=True)
 
 
 class FolderSink(DataSource):

@@ -41,7 +41,12 @@ def test_a_failed_job_leaves_no_half_folder(spark, album, tmp_path, monkeypatch)
     bad = spark.createDataFrame([(1, "Ann_Lee", r["src"], f"new{i}.jpg") for i, r in enumerate(export.pictures_of(album).collect())] + [(1, None, "/", "x")], "cluster_id long, folder string, src string, file_name string")
     with pytest.raises(Exception):
         bad.repartition(4).write.format(folders.FORMAT).mode("append").save(out)
-    assert tree(out) == before and not [n for n in os.listdir(out) if n.startswith(".export")]
+    assert {n: t for n, t in tree(out).items() if not n.startswith(".export")} == before
+    writer = folders.FolderWriter({"path": out}, bad.schema)
+    os.makedirs(f"{writer.staging}/0-1/Bob")
+    writer.abort([])
+    assert not [n for n in os.listdir(out) if n.startswith(writer.staging.rsplit("/", 1)[1])]
+    writer.abort([])  # nothing there
 
 
 def test_names_taken_meanwhile_and_leftovers_of_dead_tasks(spark, album, tmp_path):

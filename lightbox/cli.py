@@ -46,7 +46,7 @@ def saved(catalog: Catalog, path: str, before: Catalog | None = None) -> None:
         Store.open(spark, path).apply(before, catalog)
         return
     new, old = f"{path}.new-{os.getpid()}", f"{path}.old-{os.getpid()}"
-    Store.create(catalog, new)
+    catalog.save(new)
     if os.path.isdir(path):
         os.rename(path, old)
     os.rename(new, path)

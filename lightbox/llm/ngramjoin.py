@@ -581,12 +581,14 @@ def components(docs: DataFrame, digests: bool = False) -> DataFrame:
     links = written(_verified(stars, signatures), "join-links")
     roots = written(connected_components(links, small=ONE_TASK), "join-roots")
 
-    def apart(more_than: int, of: DataFrame) -> DataFrame:
-        """Groups of more sets than that which lie in several components."""
+    def apart(more_than: int, of: DataFrame, but: DataFrame | None = None) -> DataFrame:
+        """Groups of more sets than that which lie in several components, without those in ``but``."""
         joined = of.join(roots, of["set_id"] == roots["node"], "left")
         joined = joined.select("group_id", "set_id", "least", "place", F.coalesce("root", "set_id").alias("component"))
         some = joined.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-        return joined.join(some.where(f"size > {more_than} and low <> high").select("group_id"), "group_id", "left_semi")
+        some = some.where(f"size > {more_than} and low <> high").select("group_id", "size")
+        some = some if but is None else some.join(but, ["group_id", "size"], "left_anti")
+        return joined.join(some.select("group_id"), "group_id", "left_semi")
 
     # families whose leader doesn't reach all: a few more leaders, else what is left would meet in pairs
     more = written(_pairs(apart(2 * LEADERS, groups), signatures, n_members, leader_pairs).join(stars, ["a", "b"], "left_anti"), "join-more")
@@ -594,8 +596,8 @@ def components(docs: DataFrame, digests: bool = False) -> DataFrame:
         links = links.unionByName(written(_verified(more, signatures), "join-links"))
         roots = written(connected_components(links, small=ONE_TASK), "join-roots")
     tested = stars.unionByName(more)
-    # (a group of two sets has one pair, which its star has tested or excluded)
-    last = apart(2, own)
+    # (a group of two sets has one pair, which its star has tested or excluded, if it is among the largest groups of both)
+    last = apart(1, own, alone.groupBy("group_id").agg(F.count(F.lit(1)).alias("size")).where("size = 2"))
     if n_divided:
         blocks = written(_blocks(divided, roots), "join-blocks")
         last, n_members = last.unionByName(blocks), n_members + blocks.count()

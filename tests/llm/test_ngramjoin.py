@@ -214,3 +214,23 @@ def test_places_lose_no_link():
                     rest = [len(x) - int(np.flatnonzero(x == first)[0]) for x in (ranked[i], ranked[j])]
                     assert min(rest) >= ngramjoin.needed(len(sets[i]) + len(sets[j]))
                     assert all(int(np.flatnonzero(x == first)[0]) < ngramjoin.prefix_length(len(x)) for x in (ranked[i], ranked[j]))
+
+
+def two_in_smaller_groups_than_their_stars():
+    """Two linked texts that share a group of two only; each has two larger groups with texts it doesn't link with."""
+    common = [f"w{k}" for k in range(20)]
+    fill = lambda name, n: [f"{name}{k}" for k in range(n)]
+    texts = [" ".join([f"{x}0", f"{x}1", *common]) for x in "ab"]
+    for k in range(7):  # make the beginning of what both hold, and two passages, common
+        texts.append(" ".join(fill(f"p{k}x", 40) + common[:17] + fill(f"q{k}x", 40) + fill("f", 15) + fill(f"r{k}x", 40) + fill("g", 15) + fill(f"s{k}x", 40)))
+    for x in "ab":
+        for start in ([f"{x}0", f"{x}1", *common[:3]], [f"{x}1", *common[:4]]):
+            texts += [" ".join(start + fill(passage, 15)) for passage in "fg"]
+    return texts
+
+
+def test_a_pair_that_shares_a_group_of_two_only_is_found(docs):
+    texts = two_in_smaller_groups_than_their_stars()
+    ids = list(range(len(texts)))
+    got = found(docs(texts))
+    assert got == brute(texts, ids) and got[(1, 18, 0)] == 1

@@ -1,5 +1,6 @@
 import public_tokenizers as P
 from pyspark.sql import functions as F
+from test_ngramjoin import brute, two_in_smaller_groups_than_their_stars
 
 import corpus_pipeline
 from lightbox.llm import bpe, mixing, ngramjoin, quality, queries
@@ -56,6 +57,12 @@ def test_each_component_keeps_exactly_one_row(spark, docs, prose):
     assert len(left) == 13
 
 
+def test_near_copies_whose_stars_leave_their_pair_out(spark, docs):
+    texts = two_in_smaller_groups_than_their_stars()
+    left = corpus_pipeline.drop_near_copies(spark, docs(texts), SF)
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted({least for _, _, least in brute(texts, range(len(texts)))} - {1})
+
+
 def test_stages_keep_columns_of_any_name(spark, docs, prose, odd):
     names = ["row_digest", "key_id", "KEY_DIGEST", "pii", "masked", "mix_shard", "mix_order", "sid", "quality", "meta", "digest", "top", "a.b"]
     texts = [prose(k, 40 + k) for k in range(12)] + [prose(3, 43), f"mail a.b@c.de {prose(99, 50)}", *odd[3:7], "", None]

@@ -141,15 +141,37 @@ def band_probes(hashes: DataFrame, most: int) -> DataFrame:
 def near_hashes(distinct: DataFrame, most: int) -> DataFrame:
     """All pairs (h1, h2, bits), h1 < h2, of ``distinct`` (hash long) that differ in at most ``most`` bits.
 
-    Exact: of m bands of bits one differs in at most most // m, so each hash is entered once a band and
-    looks up all values of its bands within that many bits (2 at most; 4 bands of 16 bits up to 11 bits). A pair is made in the first band
-    that shows it only, so nothing is made twice."""
+    Exact: of m bands of bits one differs in at most most // m, 2 at most (4 bands of 16 bits up to 11 bits). In a band each hash meets those with its own
+    value and, as one side, those one bit off; for two bits both sides change one, the left side the lower, so a hash has 50 rows a band and not the
+    137 of all values within two bits. A pair is made in the first band that shows it only, so nothing is made twice. Both sides are many times
+    larger than the planner can tell from the table of hashes, so they are merged, never broadcast."""
     cuts, widths, radius = _bands(most)
-    shown = lambda k: F.bit_count(_part(F.col("x.hash").bitwiseXOR(F.col("y.other")), cuts[k], widths[k])) <= radius
-    first = reduce(lambda a, b: a & b, (((F.col("x.band") <= k) | ~shown(k)) for k in range(len(widths) - 1)), F.lit(True)) if radius <= PROBED else F.lit(True)
-    x, y = band_entries(distinct, most).alias("x"), band_probes(distinct, most).alias("y")
-    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.hash") < F.col("y.other"))
-    return x.join(y, met & (hamming(F.col("x.hash"), F.col("y.other")) <= most) & first).select(F.col("x.hash").alias("h1"), F.col("y.other").alias("h2"), hamming(F.col("x.hash"), F.col("y.other")).alias("bits"))
+    bits = hamming(F.col("x.hash"), F.col("y.other"))
+    n_tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashes = distinct.select("hash").repartition(n_tasks, "hash")  # a small file would be one task for all rows that come of it
+    if radius > PROBED:
+        x, y, first = band_entries(hashes, most), band_probes(hashes, most), F.lit(True)
+        x, y = (df.withColumn("flip", F.lit(place)) for df, place in ((x, 0), (y, 1)))
+    else:
+
+        def rows(name: str, near_by: bool) -> DataFrame:
+            """(name, band, bits, flip): under an even number a band's value, with ``near_by`` those one bit off; under an odd one the values with bit ``flip`` changed."""
+
+            def of(k: int):
+                value = _part(F.col("hash"), cuts[k], widths[k])
+                row = lambda band, mask, flip: F.struct(F.lit(band).alias("band"), value.bitwiseXOR(mask).alias("bits"), flip.alias("flip"))
+                flipped = lambda band, flip: F.transform(F.sequence(F.lit(0), F.lit(widths[k] - 1)), lambda b: row(band, F.call_function("shiftleft", F.lit(1).cast("long"), b), flip(b)))
+                own = F.array(row(2 * k, F.lit(0).cast("long"), F.lit(int(near_by))))
+                return [own] + [flipped(2 * k, lambda _: F.lit(1))] * (near_by and radius > 0) + [flipped(2 * k + 1, lambda b: b)] * (radius > 1)
+
+            return hashes.select("hash", F.inline(F.concat(*(part for k in range(len(widths)) for part in of(k))))).withColumnRenamed("hash", name)
+
+        x, y = rows("hash", False), rows("other", True)
+        shown = lambda k: F.bit_count(_part(F.col("x.hash").bitwiseXOR(F.col("y.other")), cuts[k], widths[k])) <= radius
+        first = reduce(lambda a, b: a & b, (((F.col("x.band") < 2 * k + 2) | ~shown(k)) for k in range(len(widths) - 1)), F.lit(True))
+    x, y = x.hint("merge").alias("x"), y.alias("y")
+    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.flip") < F.col("y.flip")) & (F.col("x.hash") < F.col("y.other"))
+    return x.join(y, met & (bits <= most) & first).select(F.col("x.hash").alias("h1"), F.col("y.other").alias("h2"), bits.alias("bits"))
 
 
 def hamming_join(hashes: DataFrame, most: int) -> DataFrame:

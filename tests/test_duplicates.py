@@ -126,3 +126,19 @@ def test_kept_groups_equal_a_full_run(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 1
     index.close()
+
+
+@pytest.mark.parametrize("most", [6, 10])
+def test_probes_are_never_broadcast(spark, tmp_path, most):
+    """The planner knows the size of the table of hashes, not that of the many values each is looked up by; a small table's went through the driver."""
+    r = random.Random(most)
+    values = [r.getrandbits(63) for _ in range(3_000)]
+    spark.createDataFrame([(v,) for v in values + [v ^ 3 for v in values[:50]]], "hash long").write.parquet(str(tmp_path / "hashes"))
+    near = neighbors.near_hashes(spark.read.parquet(str(tmp_path / "hashes")), most)
+    assert near.count() >= 50
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    index = HashIndex(spark, str(tmp_path / "index"), bits=most)
+    index.add(spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id long, hash long"))
+    index.add(spark.createDataFrame([(k + 5_000, v ^ 3) for k, v in enumerate(values[:50])], "id long, hash long"))
+    assert index.groups().count() >= 100
+    index.close()

@@ -177,8 +177,8 @@ def near_hashes(distinct: DataFrame, most: int) -> DataFrame:
 def hamming_join(hashes: DataFrame, most: int) -> DataFrame:
     """All pairs (a, b, bits), a < b, of rows of ``hashes`` (id, hash long) that differ in at most ``most`` bits. Pairs of equal hashes are made only here;
     groups of near hashes (``duplicates``) need none."""
-    hashes = hashes.where("id is not null and hash is not null").select("id", "hash")
-    distinct = hashes.select("hash").distinct()
+    hashes = written(hashes.where("id is not null and hash is not null").select("id", "hash"), "hashes")
+    distinct = written(hashes.select("hash").distinct(), "distinct-hashes")
     near = near_hashes(distinct, most).unionByName(distinct.select(F.col("hash").alias("h1"), F.col("hash").alias("h2"), F.lit(0).alias("bits")))
     p = near.join(hashes.toDF("a", "h1"), "h1").join(hashes.toDF("b", "h2"), "h2").where("h1 <> h2 or a < b")
     return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits")

@@ -81,11 +81,12 @@ class HashIndex:
         new = written(photos.where("id is not null and hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("least")), "index-new")
         known = self.table("hashes").select("hash").distinct()
         fresh = written(new.select("hash").join(known, "hash", "left_anti"), "index-fresh")
-        met = band_probes(fresh, self.bits).join(self.table("bands").select("band", "bits", "hash"), ["band", "bits"]).select("other", "hash").distinct()
+        met = band_probes(fresh, self.bits).hint("merge").join(self.table("bands").select("band", "bits", "hash"), ["band", "bits"]).select("other", "hash").distinct()
         met = met.where(F.bit_count(F.col("other").bitwiseXOR(F.col("hash"))) <= self.bits)
         roots = self._moved(self.table("hashes").where("root is not null").select("hash", "root"))
         old = met.join(roots, "hash").select(F.col("other").alias("a"), F.col("root").alias("b"))
-        links = written(old.unionByName(near_hashes(fresh, self.bits).select(F.col("h1").alias("a"), F.col("h2").alias("b"))).distinct(), "index-links")
+        own = near_hashes(fresh, self.bits).select(F.col("h1").alias("a"), F.col("h2").alias("b"))
+        links = written((old.unionByName(own) if batch > 1 else own).distinct(), "index-links")  # the first batch meets nothing old
         found = written(connected_components(links, small=ONE_TASK), "index-components")
         rooted = fresh.join(found, fresh["hash"] == found["node"], "left").select("hash", F.coalesce("root", "hash").alias("root"))
         counts = new.join(rooted, "hash", "left").select("hash", "weight", "least", "root")  # rows that add to a known hash have no root of their own

@@ -5,7 +5,8 @@ only if its header goes on, up to a limit. Filters on path and mtime are settled
 
 As a stream, a file's place is the time of its last change (of its content or, where the file system tells, of its entry, so that
 a copy with an old time counts as new). A trigger takes what changed after the last one; with ``maxFilesPerTrigger`` about so many files, the oldest changes
-first, where ``progress`` names a folder of the stream's own for how far it has planned. A batch that runs again reads the same stretch of time.
+first, where ``progress`` names a folder of the stream's own for how far it has planned. One listing plans batches for up to PLANNED files, and a planned batch
+lists only the folders that hold its files. A batch that runs again reads the same stretch of time; after a restart it lists all folders for it.
 
 Options: path, recursive (true), dataDir (the catalog's own folder, left out), headers (true; false reads no file), headerBytes (1 MB), partitions (32), settleSeconds (0: how
 long a file must be unchanged before a stream takes it), maxFilesPerTrigger, progress."""
@@ -44,6 +45,8 @@ FORMAT = "pictures"
 SCHEMA = "path string, mtime timestamp, length long, width int, height int, format string, exif_text string, error string"
 #: Bytes of a file that are read first, and at most; sub-folders that are enough to deal out, and partitions they are dealt to.
 FIRST, MOST, ENOUGH, PARTS = 16_384, 1 << 20, 512, 32
+#: Files of a stream that one listing plans batches for; the driver holds the folder and time of so many.
+PLANNED = 200_000
 
 
 @dataclass(frozen=True)
@@ -239,7 +242,7 @@ class PictureStreamReader(_Files, DataSourceStreamReader):
         self.limit, self.progress = int(options.get("maxFilesPerTrigger", 0)), options.get("progress", "").removeprefix("file://").removeprefix("file:")
         if self.limit and not self.progress:
             raise ValueError("maxFilesPerTrigger needs a folder for progress")
-        self.planned = -1
+        self.planned, self.plans = -1, deque()
 
     def _far(self) -> int:
         """How far batches are planned; Spark doesn't tell it after a restart."""
@@ -257,8 +260,29 @@ class PictureStreamReader(_Files, DataSourceStreamReader):
         if not self.limit:
             return {"until": now}
         far = self._far()
-        changes = (f.changed_ns for part in self.folders(far, now) for f in self.listed(part))
-        return {"until": max(heapq.nsmallest(self.limit, changes), default=max(far, -1))}
+        while self.plans and self.plans[0][1] <= far:
+            self.plans.popleft()
+        if not self.plans or self.plans[0][0] != far:
+            self._plan(far, now)
+        return {"until": self.plans[0][1] if self.plans else max(far, -1)}
+
+    def _plan(self, far: int, now: int) -> None:
+        """Batches of what changed after ``far``: (after, until, folders). Files of one time are in one batch."""
+        self.plans.clear()
+        most = max(PLANNED, self.limit)
+        changes = heapq.nsmallest(most, ((f.changed_ns, os.path.dirname(f.path)) for part in self.folders(far, now) for f in self.listed(part)))
+        whole, k, after = len(changes) < most, 0, far
+        while k < len(changes):
+            end = min(k + self.limit, len(changes))
+            until = changes[end - 1][0]
+            while end < len(changes) and changes[end][0] == until:
+                end += 1
+            if end == len(changes) and not whole:  # more files of the last time may be left
+                if not self.plans:
+                    self.plans.append((after, until, None))
+                return
+            self.plans.append((after, until, tuple(sorted({folder for _, folder in changes[k:end]}))))
+            k, after = end, until
 
     def partitions(self, start: dict, end: dict) -> list[Folders]:
         if end["until"] <= start["until"]:
@@ -270,6 +294,10 @@ class PictureStreamReader(_Files, DataSourceStreamReader):
                 json.dump(end["until"], f)
             os.replace(new, os.path.join(self.progress, "until"))
         self.planned = max(self.planned, end["until"])
+        for after, until, folders in self.plans:
+            if (after, until) == (start["until"], end["until"]) and folders is not None:
+                found = [(d, False) for d in folders]
+                return [Folders(tuple(found[k :: self.parts]), after, until) for k in range(min(self.parts, len(found)))]
         return self.folders(start["until"], end["until"])
 
     def read(self, partition: Folders) -> Iterator[tuple]:

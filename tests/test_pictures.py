@@ -124,3 +124,33 @@ def test_options_are_checked():
         pictures.PictureReader({})
     with pytest.raises(ValueError):
         pictures.PictureStreamReader({"path": "/x", "maxFilesPerTrigger": "5"})
+
+
+def test_batches_of_a_stream_list_only_their_folders(tmp_path, monkeypatch):
+    """One listing plans many batches; before, each batch listed every folder twice."""
+    from lightbox.sources import pictures as source
+
+    for k in range(40):
+        (tmp_path / f"in/d{k}").mkdir(parents=True)
+        (tmp_path / f"in/d{k}/a.jpg").write_bytes(b"x")
+    calls, plain = [], source.Store.entries
+    monkeypatch.setattr(source.Store, "entries", lambda self, folder: calls.append(folder) or plain(self, folder))
+
+    def drained(reader, start):
+        seen, batches = [], 0
+        while (end := reader.latestOffset()) != start:
+            rows = [r[0] for part in reader.partitions(start, end) for r in reader.read(part)]
+            seen, start, batches = seen + rows, end, batches + 1
+        return seen, start, batches
+
+    options = {"path": str(tmp_path / "in"), "headers": "false", "maxFilesPerTrigger": "4", "progress": str(tmp_path / "progress")}
+    for planned in (200_000, 6):
+        monkeypatch.setattr(source, "PLANNED", planned)
+        calls.clear()
+        reader = source.PictureStreamReader(options | {"progress": str(tmp_path / f"progress-{planned}")})
+        seen, end, batches = drained(reader, reader.initialOffset())
+        assert sorted(seen) == sorted(str(tmp_path / f"in/d{k}/a.jpg") for k in range(40)) and batches >= 2
+        if planned == 200_000:
+            assert len(calls) <= 4 * 41 + 40
+    (tmp_path / "in/d7/a.jpg").write_bytes(b"y")
+    assert drained(reader, end)[0] == [str(tmp_path / "in/d7/a.jpg")]

@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers as P
 from pyspark.sql import functions as F
 from test_ngramjoin import brute, two_in_smaller_groups_than_their_stars
@@ -63,6 +65,19 @@ def test_near_copies_whose_stars_leave_their_pair_out(spark, docs):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted({least for _, _, least in brute(texts, range(len(texts)))} - {1})
 
 
+def test_near_copies_outside_the_groups_that_stars_take(spark, docs):
+    """Texts made of a few common passages, most with their ends changed, so that a set lies in many groups and its links in any of them."""
+    r, texts = random.Random(2), []
+    for c in range(10):
+        passages = [[f"c{c}p{k}w{i}" for i in range(r.randrange(2, 9))] for k in range(20)]
+        some = lambda: passages[min(int(r.paretovariate(0.7)) - 1, 19)]  # noqa: E731, B023
+        for _ in range(30):
+            base = [w for _ in range(r.randrange(2, 8)) for w in some()]
+            texts += [" ".join(w) for w in (base, base[r.randrange(3) :], base + some()[:2], some()[-1:] + base)]
+    left = corpus_pipeline.drop_near_copies(spark, docs(texts), SF)
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted({least for _, _, least in brute(texts, range(len(texts)))})
+
+
 def test_stages_keep_columns_of_any_name(spark, docs, prose, odd):
     names = ["row_digest", "key_id", "KEY_DIGEST", "pii", "masked", "mix_shard", "mix_order", "sid", "quality", "meta", "digest", "top", "a.b"]
     texts = [prose(k, 40 + k) for k in range(12)] + [prose(3, 43), f"mail a.b@c.de {prose(99, 50)}", *odd[3:7], "", None]
